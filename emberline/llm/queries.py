@@ -7,11 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
+from .langid import identify_languages
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .packing import pack_documents
+from .quality import judge_quality
 from .runtime import table
 from .url_filter import UrlRule, judge_urls
 
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary file is; every machine has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 URL_RULES = (
     UrlRule("net", "/", "block"),
     UrlRule("example.net", "/en/", "allow"),
@@ -28,6 +39,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -36,13 +55,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources,
         op2_url_filter,
+        op3_quality_rules,
+        op4_pack_documents,
         op7_exact_dedup,
         op8_line_dedup,
+        op9_language_id,
     )
 }
 
