@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import judge_quality
 from .runtime import table
+from .suffix_dedup import remove_repeats
 from .url_filter import UrlRule, judge_urls
 
 
@@ -59,6 +60,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_exact_dedup,
         op8_line_dedup,
         op9_language_id,
+        op10_suffix_dedup,
     )
 }
 
