@@ -10,6 +10,7 @@ from .exact_dedup import exact_groups
 from .langid import identify_languages
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import judge_quality
 from .runtime import table
@@ -48,6 +49,10 @@ def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_url_filter,
         op3_quality_rules,
         op4_pack_documents,
+        op6_near_dedup,
         op7_exact_dedup,
         op8_line_dedup,
         op9_language_id,
