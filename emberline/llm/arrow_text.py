@@ -61,19 +61,19 @@ def counts_between(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts.
 
-    ``ids``: number of each word in ``distinct``; ``bounds``: the words of text i are
+    ``member``: the bytes of words, if others than those that are not white space. ``breaks``: further places where a word ends and another begins. ``ids``: number of each word in ``distinct``; ``bounds``: the words of text i are
     ``bounds[i]:bounds[i+1]``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray | None = None, member: np.ndarray | None = None):
         if lower:
             data = LOWER[data]
-        inside = ~SPACE[data]
+        inside = ~SPACE[data] if member is None else member[data]
         n = len(data)
         before = np.empty(n + 1, dtype=bool)
         before[0] = False
         before[1:] = inside
-        edges = offsets[offsets < n]
+        edges = offsets[offsets < n] if breaks is None else np.concatenate([offsets[offsets < n], breaks])
         left = inside & ~before[:-1]
         left[edges] = inside[edges]
         starts = np.flatnonzero(left)
@@ -81,7 +81,7 @@ class Words:
         after[:-1] = inside
         after[-1] = False
         right = inside & ~after[1:]
-        lasts = offsets[(offsets > 0) & (offsets <= n)] - 1
+        lasts = (offsets[(offsets > 0) & (offsets <= n)] if breaks is None else np.concatenate([offsets[(offsets > 0) & (offsets <= n)], breaks])) - 1
         right[lasts] = inside[lasts]
         ends = np.flatnonzero(right) + 1
         self.bounds = np.searchsorted(starts, offsets)

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .arrow_text import Words, mix64, slices, utf8
 
@@ -224,7 +225,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     """``doc_id, lang_pred, score`` (and ``spans``: language, first word, words) for each row, from its text alone.
 
     The predicted language labels most letters of the text, ``score`` is its share of them; a null
-    text or one without letters is ``und`` with score 0. Columns named in ``carry`` are passed on.
+    text or one without letters is ``und`` with score 0. Columns named in ``carry`` are passed on as a struct ``carried``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "lang_pred", "score", *(["spans"] if with_spans else [])]
@@ -247,12 +248,16 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
                     arrays.append(pa.array([_spans(words, labels, i, m.languages) if k else [] for i in range(n)], span_type))
                 yield pa.RecordBatch.from_arrays([*arrays, *[part.column(c) for c in carried]], [*names, *carried])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
-    carried = [f"carry_{i}" for i in range(len(carry))]
+    extra = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
+    carried = ["carried"] if carry else []
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
-    schema = "doc_id long, lang_pred string, score double" + (", spans array<struct<lang:string,first_word:long,n_words:long>>" if with_spans else "")
-    schema += "".join(f", carry_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    return base.mapInArrow(run, schema).withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
+    schema = StructType().add("doc_id", "long").add("lang_pred", "string").add("score", "double")
+    if with_spans:
+        schema = schema.add("spans", ArrayType(StructType().add("lang", "string").add("first_word", "long").add("n_words", "long")))
+    if carry:
+        schema = schema.add("carried", base.schema["carried"].dataType)
+    return base.mapInArrow(run, schema)
 
 
 def _spans(words: Words, labels: np.ndarray, i: int, languages: tuple[str, ...]) -> list[dict]:

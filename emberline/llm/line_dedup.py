@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -51,7 +52,7 @@ def _hashes(least: int):
     return run
 
 
-def _reassemble(least: int, with_text: bool):
+def _reassemble(least: int, with_text: bool, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -75,13 +76,16 @@ def _reassemble(least: int, with_text: bool):
             names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
             if with_text:
                 arrays, names = [*arrays, pa.array(cols[4], pa.string())], [*names, "kept_text"]
+            if carry:
+                arrays, names = [*arrays, batch.column(3)], [*names, "carried"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, documents: int = 3, with_text: bool = False) -> DataFrame:
-    """One row per document: ``doc_id, n_lines, n_dropped, kept_sha256`` and, if asked, ``kept_text``.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, documents: int = 3, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: ``doc_id, n_lines, n_dropped, kept_sha256`` and, if asked, ``kept_text``
+    and a struct ``carried`` of the columns named in ``carry``.
 
     A line's key is the line stripped of ASCII white space, A-Z lower-cased. Keys of at least
     ``least`` code points that at least ``documents`` documents hold lose all their lines, except
@@ -90,8 +94,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with the largest id keep the line; a null id never holds the kept copy; an empty table gives
     no rows; other columns of ``docs`` are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = base.mapInArrow(_hashes(least), "doc_id long, hi long, lo long")
+    extra = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
+    lines = base.select("doc_id", "text").mapInArrow(_hashes(least), "doc_id long, hi long, lo long")
     common = lines.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= documents).select("hi", "lo", "holder")
     gone = (
         lines.join(common, ["hi", "lo"])
@@ -100,5 +105,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
         .withColumnRenamed("doc_id", "gone_id")
     )
-    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return base.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").select("doc_id", "text", "gone").mapInArrow(_reassemble(least, with_text), schema)
+    schema = StructType().add("doc_id", "long").add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
+    if with_text:
+        schema = schema.add("kept_text", "string")
+    if carry:
+        schema = schema.add("carried", base.schema["carried"].dataType)
+    whole = base.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    return whole.select("doc_id", "text", "gone", *(["carried"] if carry else [])).mapInArrow(_reassemble(least, with_text, bool(carry)), schema)

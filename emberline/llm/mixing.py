@@ -90,11 +90,12 @@ def mix_sources(
     alpha: float = 0.5,
     max_sources: int = 1000,
     keep: tuple[str, ...] = (),
+    as_struct: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: id, source, its block, the block's window and slot, its place there.
 
     Columns: ``doc_id, source, n_chars, block, block_offset, release, deadline, slot`` and the columns
-    named in ``keep``; ``(slot, block_offset, doc_id)`` is the mixed order. A block is
+    named in ``keep`` (in a struct ``kept_columns`` if ``as_struct``); ``(slot, block_offset, doc_id)`` is the mixed order. A block is
     ``block_chars`` characters of a source; a document is in the block in which it starts.
     Defined cases: a null source is the source "" and a null text has no characters; a null id
     is placed as the id ""; repeated rows each get a row (rows alike in all but ``keep`` share
@@ -133,4 +134,4 @@ def mix_sources(
         (frame_no * frame + F.get(F.col("slots"), nth.cast("int"))["frame_slot"]).alias("slot"),
         *(["kept_columns"] if keep else []),
     )
-    return out.select("doc_id", "source", "n_chars", "block", "block_offset", "release", "deadline", "slot", "kept_columns.*") if keep else out
+    return out.select("doc_id", "source", "n_chars", "block", "block_offset", "release", "deadline", "slot", "kept_columns.*") if keep and not as_struct else out

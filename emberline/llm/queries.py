@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .langid import identify_languages
+from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -49,6 +51,16 @@ def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def document_path() -> Column:
+    """A place for a document in a tree of its source: files of 1000 and of 100 ids share directories."""
+    doc = F.col("doc_id")
+    return F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(doc / 1000).cast("string"), F.floor(doc / 100).cast("string"), F.concat(doc.cast("string"), F.lit(".txt")))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), document_path())
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -76,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_url_filter,
         op3_quality_rules,
         op4_pack_documents,
+        op5_license_scan,
         op6_near_dedup,
         op7_exact_dedup,
         op8_line_dedup,
