@@ -7,8 +7,9 @@ that suffices) is one shift and one lowest-set-bit; when no bin may be opened an
 fullest one closes first. A piece's place is final when it is placed, so rows stream through and
 memory does not grow with the data. Within one slice of a batch the longer pieces go first.
 
-Words are tokenized once each: white space separates words for this tokenizer, so a text's ids
-are those of its white-space-separated chunks. A bounded cache maps chunks to ids.
+Chunks of text are tokenized once each: the tokenizer drops white space, lower-cases, and never
+joins a letter with punctuation, so a text's ids are those of its chunks between white space and
+between letters and plain punctuation. A bounded cache maps chunks to ids.
 """
 
 from __future__ import annotations
@@ -62,24 +63,57 @@ class BinPacker:
 
 
 class ChunkTokenizer:
-    """Token ids of white-space-separated chunks, with a cache of ``cached`` chunks."""
+    """Token ids of chunks: a flat array with a place for each of at most ``cached`` chunks."""
+
+    #: Chunks that are joined, with a special token between them, for one call of the tokenizer.
+    JOINED = 2000
 
     def __init__(self, path: str, cached: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special]
+        self.border = (special[-1][1].content, special[-1][0]) if special else None
         self.cached = cached
-
-    def ids(self, chunks: list[bytes]) -> list[tuple[int, ...]]:
-        out = [self.cache.get(c) for c in chunks]
-        missing = [i for i, x in enumerate(out) if x is None]
-        if missing:
-            if len(self.cache) + len(missing) > self.cached:
-                self.cache.clear()
-            for i, e in zip(missing, self.tokenizer.encode_batch([chunks[i].decode() for i in missing], add_special_tokens=False)):
-                out[i] = self.cache[chunks[i]] = tuple(e.ids)
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.ends = np.zeros(1 << 15, dtype=np.int64)
+
+    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of ids of each chunk)."""
+        if self.border is None or any(b"<|" in c for c in chunks):
+            each = [e.ids for e in self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)]
+            return np.fromiter((i for e in each for i in e), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+        text, border = self.border
+        joined = [text.encode().join(chunks[i : i + self.JOINED]).decode() for i in range(0, len(chunks), self.JOINED)]
+        ids = np.concatenate([np.array([*e.ids, border], dtype=np.uint32) for e in self.tokenizer.encode_batch(joined, add_special_tokens=False)])
+        borders = np.flatnonzero(ids == border)
+        return ids[ids != border], np.diff(borders, prepend=-1) - 1
+
+    def places(self, chunks: list[bytes]) -> np.ndarray:
+        """The place of each chunk; chunks that are new are tokenized first."""
+        get = self.place.get
+        out = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
+        new = np.flatnonzero(out < 0)
+        if len(new) and len(self.place) + len(new) > self.cached and self.place:
+            self.clear()
+            return self.places(chunks)
+        if len(new):
+            missing = [chunks[i] for i in new.tolist()]
+            ids, counts = self.encode(missing)
+            known, used = len(self.place), int(self.ends[len(self.place) - 1]) if self.place else 0
+            while used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while known + len(new) > len(self.ends):
+                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.ids[used : used + len(ids)] = ids
+            self.ends[known : known + len(new)] = used + np.cumsum(counts)
+            out[new] = np.arange(known, known + len(new))
+            self.place.update(zip(missing, range(known, known + len(new))))
         return out
 
 
@@ -92,20 +126,43 @@ def chunk_tokenizer(path: str, cached: int) -> ChunkTokenizer:
     return _TOKENIZERS[path, cached]
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: Punctuation that no contraction and no special token contains.
+_MARK = np.zeros(256, dtype=bool)
+_MARK[list(b'.,!?#*$%&:;()"-_+=/@~^[]{}')] = True
+
+
+def chunk_breaks(data: np.ndarray) -> np.ndarray:
+    """Where a chunk may end inside a word: between a letter of ASCII or Latin-1 and plain punctuation."""
+    letter, mark = _LETTER[data], _MARK[data]
+    ends_letter = letter.copy()
+    # The second byte of a letter from U+00C0 to U+00FF; U+00D7 and U+00F7 are signs.
+    ends_letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    starts_letter = letter
+    starts_letter[:-1] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    return np.flatnonzero((ends_letter[:-1] & mark[1:]) | (mark[:-1] & starts_letter[1:])) + 1
+
+
 def token_ids(column: pa.Array, tokenizer: ChunkTokenizer, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after another, each with ``end_id`` at its end; offsets of the texts)."""
-    words = Words(*utf8(column))
-    chunks = tokenizer.ids(words.distinct) if len(words) else []
-    chunks.append((end_id,))
-    sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-    flat = np.fromiter((i for c in chunks for i in c), np.uint32, int(sizes.sum()))
-    begins = np.cumsum(sizes) - sizes
-    order = np.insert(words.ids if len(words) else np.zeros(0, np.int64), words.bounds[1:], len(chunks) - 1)
-    counts = sizes[order]
-    ends = np.cumsum(counts)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins[order] - (ends - counts), counts)
-    text_ends = np.concatenate([[0], ends[words.bounds[1:] + np.arange(len(words.bounds) - 1)]])
-    return flat[at], text_ends
+    data, offsets = utf8(column)
+    plain = b"<|" not in data.tobytes()
+    words = Words(data, offsets, lower=plain, breaks=chunk_breaks(data) if plain and len(data) else None)
+    places = tokenizer.places(words.distinct) if len(words) else np.zeros(0, np.int64)
+    last = tokenizer.ends[places]
+    first = np.where(places > 0, tokenizer.ends[places - 1], 0)
+    word_ids = words.ids if len(words) else np.zeros(0, np.int64)
+    counts = (last - first)[word_ids]
+    # One more id at the end of each text: words of text i move i places on.
+    text_of = words.texts
+    ends = np.cumsum(counts) + text_of
+    out = np.full(int(counts.sum()) + len(words.bounds) - 1, end_id, dtype=np.uint32)
+    step = np.repeat(ends - counts, counts) - (np.cumsum(counts) - counts).repeat(counts)
+    within = np.arange(int(counts.sum()))
+    out[within + step] = tokenizer.ids[within - (np.cumsum(counts) - counts).repeat(counts) + np.repeat(first[word_ids], counts)]
+    total = np.concatenate([[0], np.cumsum(counts)])
+    return out, total[words.bounds] + np.arange(len(words.bounds))
 
 
 def pack_documents(
@@ -116,7 +173,7 @@ def pack_documents(
     length: int = 2048,
     end_id: int = 0,
     open_bins: int = 1024,
-    cached_chunks: int = 300_000,
+    cached_chunks: int = 1_000_000,
     with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``).
