@@ -48,6 +48,10 @@ def _around(i: Column) -> Column:
     return F.trim(F.array_join(window, "\n"))
 
 
+def _any_line(regex: str) -> Column:
+    return F.exists("lines", lambda x: x.rlike(f"(?i){regex}"))
+
+
 def _first_snippet(regex: str) -> Column:
     return _around(F.array_position(F.transform("lines", lambda x: x.rlike(f"(?i){regex}")), True).cast("int") - 1)
 
@@ -71,7 +75,7 @@ def mine(code: DataFrame, docs: DataFrame, specs: Sequence[PatternSpec]) -> Data
     found = hits.select(F.explode("which").alias("pattern_name"), proof.alias("e")).groupBy("pattern_name").agg(F.count(F.lit(1)).alias("n_evidence"), F.array_sort(F.collect_list("e")).alias("evidence"))
     doc_lines = with_lines(docs)
     firsts = F.array_compact(
-        F.array(*[F.when(in_scope(F.col("path"), s.scopes) & F.exists("lines", lambda x, r=s.doc_regex: x.rlike(f"(?i){r}")), F.struct(F.lit(s.name).alias("pattern_name"), _first_snippet(s.doc_regex).alias("snippet"))) for s in specs])
+        F.array(*[F.when(in_scope(F.col("path"), s.scopes) & _any_line(s.doc_regex), F.struct(F.lit(s.name).alias("pattern_name"), _first_snippet(s.doc_regex).alias("snippet"))) for s in specs])
     )
     origins = doc_lines.select("path", F.inline(firsts)).groupBy("pattern_name").agg(F.min_by(F.struct("path", "snippet"), F.col("path")).alias("origin"))
     row = table.join(found, "pattern_name", "left").join(origins, "pattern_name", "left")

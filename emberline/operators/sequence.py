@@ -21,19 +21,26 @@ from .sequence_state import MOST_INSTANCES, Completed, Correlator
 OUT = "shard string, type string, root_rule_id string, seq_id string, root_order string, step_idx int, matched_rule_id string, path array<string>, steps int, event_order string"
 
 
-def nanos(column: Column, is_timestamp: bool) -> Column:
-    return F.unix_micros(column) * 1000 if is_timestamp else column.cast("long")
+def utc_micros(ts: Column) -> Column:
+    """Microseconds of a time without zone, read as UTC whatever the session's zone."""
+    return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
+
+
+def nanos(column: Column, kind: str) -> Column:
+    if kind == "timestamp_ntz":
+        return utc_micros(column) * 1000
+    return F.unix_micros(column) * 1000 if kind == "timestamp" else column.cast("long")
 
 
 def prepared(matches: DataFrame, snapshot: RuleSnapshot) -> DataFrame:
     """Only matches that start or advance a sequence, with one key for shard, time, order and pid."""
     c = snapshot.catalog
-    is_ts = dict(matches.dtypes)[c.order[0]].startswith("timestamp")
+    kind = dict(matches.dtypes)[c.order[0]]
     pid = c.meta.get("pid", "pid")
     listened = sorted(snapshot.listened)
     return matches.where(F.col("rule_id").isin(*listened) if listened else F.lit(False)).select(
         F.concat_ws("/", *[F.coalesce(F.col(s).cast("string"), F.lit("")) for s in c.shard]).alias("shard"),
-        nanos(F.col(c.order[0]), is_ts).alias("t"),
+        nanos(F.col(c.order[0]), kind).alias("t"),
         F.col(c.order[-1]).cast("long").alias("event"),
         F.col("cand_pos").alias("pos"),
         "rule_id",
