@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import Words, first_of_runs, mix64, slices, utf8
 from .components import merge_labels
-from .runtime import cut, cut_table
+from .runtime import cut, cut_table, small_batches
 
 _RANDOM = np.random.default_rng(7)
 _TIMES = (_RANDOM.integers(0, 2**63, 1024, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -146,23 +146,19 @@ def _agreement(x: Column, y: Column) -> Column:
 class _Links:
     """The confirmed links of one table, found round by round."""
 
-    def __init__(self, texts: DataFrame, reps: DataFrame, width: int, percent: int, agree: int):
-        self.texts, self.reps, self.width, self.percent, self.agree = texts, reps, width, percent, agree
+    def __init__(self, nodes: DataFrame, width: int, percent: int, agree: int):
+        self.nodes, self.width, self.percent, self.agree = nodes, width, percent, agree
         self.labels: DataFrame | None = None
 
-    def text_of(self, nodes: DataFrame) -> DataFrame:
-        return self.texts.join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-
     def agreeing(self, pairs: DataFrame) -> DataFrame:
         """Pairs ``a, b`` whose sizes and signatures allow a link."""
-        sig = self.reps.select("node", "n", "sig")
+        sig = self.nodes.select("node", "n", "sig")
         full = pairs.join(sig.toDF("a", "na", "sa"), "a").join(sig.toDF("b", "nb", "sb"), "b")
         sized = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
         return full.where(sized & (_agreement(F.col("sa"), F.col("sb")) >= self.agree)).select("a", "b")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        texts = self.text_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+        texts = self.nodes.select("node", "text")
         full = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         return cut(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm_pairs(self.width, self.percent), "a long, b long"))
 
@@ -191,7 +187,7 @@ class _Links:
     def exact_round(self, posts: DataFrame, small: int, block_shingles: int) -> None:
         """Every member of a post against every other component of the post."""
         posts = cut(self.open_posts(posts))
-        members = self.labelled(self.reps.select("node", "n", "sig"))
+        members = self.labelled(self.nodes.select("node", "n"))
         sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass"))
         sized = posts.join(sizes.select("label", "size"), "label")
         groups = sized.select("key", "cell", F.struct("size", "label").alias("other")).distinct()
@@ -205,9 +201,9 @@ class _Links:
             labels = large.select("label").distinct()
             blocks = F.ceil(F.col("mass") / F.lit(block_shingles))
             dealt = members.join(labels, "label", "left_semi").join(sizes.select("label", "mass"), "label").select("node", "label", F.pmod(F.xxhash64("node"), blocks).alias("block"))
-            texts = self.text_of(dealt)
+            texts = self.nodes.select("node", "text")
             filled = dealt.join(texts, "node").groupBy("label", "block").agg(F.collect_list(F.struct("node", "text")).alias("members"))
-            own = self.text_of(large).toDF("node", "text_a")
+            own = texts.toDF("node", "text_a")
             rows = large.select("node", "label").join(own, "node").join(filled, "label").select(F.col("node").alias("a"), "text_a", "members")
             edges = edges.unionByName(cut(rows.mapInArrow(_confirm_blocks(self.width, self.percent), "a long, b long")))
         self.add(edges)
@@ -230,14 +226,15 @@ def near_duplicates(
     whole sequence). Sets are linked if 100 * common >= ``percent`` * union; ``component_id`` is
     the smallest id that links reach. Defined cases: a null text or one without words has an
     empty set and links with nothing; a null id never stands for a component; rows that repeat
-    an id are each judged by their own set, and sets whose smallest id is the same are one node;
-    an empty table gives no rows; other columns are ignored.
+    an id are each judged by their own set; of sets whose smallest id is the same one takes part
+    in the search for links, and of texts with that id the smallest stands for it; an empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut_table(base.mapInArrow(_signatures(width, coordinates), "doc_id long, n_shingles long, hi long, lo long, sig array<int>"))
     sets = ["hi", "lo", "n_shingles"]
     classes = cut_table(rows.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig")))
-    reps = classes.where(F.col("node").isNotNull()).select("node", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["node"])
+    reps = classes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min_by(F.struct(F.col("n_shingles").alias("n"), "sig"), F.struct(*sets)).alias("own")).select("node", "own.*")
 
     posts = reps.select("node", "n", F.posexplode("sig").alias("at", "value")).select("node", "n", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long")).alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -248,7 +245,12 @@ def near_duplicates(
     cell = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent * 1.00001)))
     kept_posts = cut_table(by_node.select("node", F.explode(taken).alias("p"), cell.alias("c")).select("node", "p.key", F.explode(F.array("c", F.col("c") + 1)).alias("cell")))
 
-    links = _Links(base.withColumnRenamed("doc_id", "node"), reps, width, percent, agree)
+    # Only representatives that share a post can be linked: the texts of the others are not looked at again.
+    involved = kept_posts.select("node").distinct()
+    texts = base.withColumnRenamed("doc_id", "node").join(involved, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    nodes = cut_table(reps.join(involved, "node", "left_semi").join(texts, "node"))
+
+    links = _Links(nodes, width, percent, agree)
     links.hub_round(kept_posts, F.col("node"))
     links.hub_round(kept_posts, F.xxhash64("node"))
     links.exact_round(kept_posts, small, block_shingles)

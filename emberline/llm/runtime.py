@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -19,21 +20,49 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+#: Rows of texts that go to a Python worker at once; with Spark's default of 10,000 a batch of long texts is large.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sends at most ``BATCH_ROWS`` rows to Python at once, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished steps.
+
+    It acts when the driver's JVM collects what nobody refers to, which on an idle driver can take
+    as long as the job; operators of many steps ask for it when a step's result is written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder and drop its lineage.
 
     The files survive the loss of executors, unlike a local checkpoint or a cache, and Spark's
     context cleaner removes them once the DataFrame is out of use (if the session asks for it).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    release(spark)
+    return out
 
 
 def cut_table(df: DataFrame) -> DataFrame:
     """The same as a Parquet table in the shared folder: smaller, and read by column. It stays there."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    spark, schema = df.sparkSession, df.schema
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
