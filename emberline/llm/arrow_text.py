@@ -36,6 +36,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         stop = max(start + 1, int(np.searchsorted(size, base + limit, side="right")))
         yield batch.slice(start, stop - start)
         base, start = int(size[stop - 1]), stop
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .arrow_text import Words, mix64, slices, utf8
+from .runtime import small_batches
 
 #: First code points of script ranges and their names; fixed values of the Unicode block layout.
 SCRIPT_STARTS = (0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3130, 0x3190, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0x20000)
@@ -180,6 +181,7 @@ def fit_languages(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_
     It is fitted on about ``per_language`` documents of each language at most: those whose digest
     is under a threshold set from the language's number of documents.
     """
+    small_batches(docs.sparkSession)
     ready = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["n"] for r in ready.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = tuple(sorted(sizes))
@@ -248,6 +250,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
                     arrays.append(pa.array([_spans(words, labels, i, m.languages) if k else [] for i in range(n)], span_type))
                 yield pa.RecordBatch.from_arrays([*arrays, *[part.column(c) for c in carried]], [*names, *carried])
 
+    small_batches(docs.sparkSession)
     extra = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
     carried = ["carried"] if carry else []

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, slices, utf8
+from .runtime import small_batches
 
 #: Short forms by which files state a licence; fixed public wordings.
 TEMPLATES: dict[str, str] = {
@@ -178,6 +179,7 @@ def scan_licenses(
     path inherits nothing; repeated rows are judged each on its own; an empty table gives no
     rows; other columns are ignored.
     """
+    small_batches(files.sparkSession)
     base = files.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), (F.lit(False) if is_license_file is None else F.coalesce(is_license_file, F.lit(False))).alias("named")).alias("file"), F.col(text_col).alias("text"))
     probe = Matcher(templates, 1, {})
     sums = {r["term"]: r["n"] for r in base.select("text").mapInArrow(_vocabulary_counts(probe.vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .runtime import small_batches
+
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -94,6 +96,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with the largest id keep the line; a null id never holds the kept copy; an empty table gives
     no rows; other columns of ``docs`` are ignored.
     """
+    small_batches(docs.sparkSession)
     extra = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
     lines = base.select("doc_id", "text").mapInArrow(_hashes(least), "doc_id long, hi long, lo long")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, slices, utf8
+from .runtime import small_batches
 
 
 class BinPacker:
@@ -80,6 +81,7 @@ class ChunkTokenizer:
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
+        self.seen = np.zeros(1 << 15, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.ends = np.zeros(1 << 15, dtype=np.int64)
 
@@ -100,7 +102,7 @@ class ChunkTokenizer:
         out = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
         new = np.flatnonzero(out < 0)
         if len(new) and len(self.place) + len(new) > self.cached and self.place:
-            self.clear()
+            self.forget()
             return self.places(chunks)
         if len(new):
             missing = [chunks[i] for i in new.tolist()]
@@ -110,12 +112,32 @@ class ChunkTokenizer:
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while known + len(new) > len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+                self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
             self.ids[used : used + len(ids)] = ids
             self.ends[known : known + len(new)] = used + np.cumsum(counts)
             out[new] = np.arange(known, known + len(new))
             self.place.update(zip(missing, range(known, known + len(new))))
+        self.seen[out] += 1
         return out
 
+    def forget(self) -> None:
+        """Keeps the chunks that were asked for again; all go if that leaves more than half of the room taken."""
+        kept = [(c, p) for c, p in self.place.items() if self.seen[p] > 1]
+        if 2 * len(kept) > self.cached:
+            self.clear()
+            return
+        old = np.array([p for _, p in kept], dtype=np.int64)
+        first, last = np.where(old > 0, self.ends[old - 1], 0), self.ends[old]
+        ids = [self.ids[a:b].copy() for a, b in zip(first.tolist(), last.tolist())]
+        self.clear()
+        if not kept:
+            return
+        flat = np.concatenate(ids)
+        self.ids = np.concatenate([flat, np.zeros(1 << 16, dtype=np.uint32)])
+        self.ends = np.concatenate([np.cumsum(last - first), np.zeros(1 << 15, dtype=np.int64)])
+        self.seen = np.zeros(len(self.ends), dtype=np.int32)
+        self.place = {c: i for i, (c, _) in enumerate(kept)}
+
 
 _TOKENIZERS: dict[tuple[str, int], ChunkTokenizer] = {}
 
@@ -173,7 +195,7 @@ def pack_documents(
     length: int = 2048,
     end_id: int = 0,
     open_bins: int = 1024,
-    cached_chunks: int = 1_000_000,
+    cached_chunks: int = 300_000,
     with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``).
@@ -212,6 +234,7 @@ def pack_documents(
                     arrays.append(pa.array([ids[s : s + n].astype(np.int32) for n, s in zip(cols[0], cols[5])], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
