@@ -5,7 +5,7 @@
    at least ``agree`` of ``coordinates`` places share one of the ``coordinates - agree + 1``
    rarest posts of either, so only those are kept (the prefix), and of them only posts that
    somebody else has. Posts are split by size class, as linked sets differ little in size.
-3. Posts are merged without pairing all their members. In two rounds each member meets one hub
+3. Posts are merged without pairing all their members. In a few rounds each member meets one hub
    of the post. After each, components are merged, and posts whose members are all in one
    component are skipped. What is left is compared exactly: each member with every other
    component of the post, small components member by member, large ones in blocks of texts.
@@ -179,8 +179,9 @@ class _Links:
 
     def hub_round(self, posts: DataFrame, order: Column) -> None:
         posts = self.open_posts(posts) if self.labels is not None else self.labelled(posts)
-        hubs = posts.groupBy("key", "cell").agg(F.min_by(F.struct("node", "label"), order).alias("hub"))
-        met = posts.join(hubs, ["key", "cell"]).where(F.col("label") != F.col("hub.label"))
+        hubs = posts.groupBy("key", "cell").agg(F.min_by(F.struct("node", "label", "n"), order).alias("hub"))
+        sized = 100 * F.least("n", "hub.n") >= self.percent * F.greatest("n", "hub.n")
+        met = posts.join(hubs, ["key", "cell"]).where((F.col("label") != F.col("hub.label")) & sized)
         pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         self.add(self.confirm(self.agreeing(pairs)))
 
@@ -219,6 +220,7 @@ def near_duplicates(
     agree: int = 32,
     small: int = 8,
     block_shingles: int = 40_000,
+    hub_turns: int = 2,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -243,7 +245,7 @@ def near_duplicates(
     # Posts that nobody shares are the rarest and take their places in the prefix first.
     taken = F.slice("common", F.lit(1), F.greatest(F.lit(0), F.lit(prefix - coordinates) + F.size("common")))
     cell = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent * 1.00001)))
-    kept_posts = cut_table(by_node.select("node", F.explode(taken).alias("p"), cell.alias("c")).select("node", "p.key", F.explode(F.array("c", F.col("c") + 1)).alias("cell")))
+    kept_posts = cut_table(by_node.select("node", "n", F.explode(taken).alias("p"), cell.alias("c")).select("node", "n", "p.key", F.explode(F.array("c", F.col("c") + 1)).alias("cell")))
 
     # Only representatives that share a post can be linked: the texts of the others are not looked at again.
     involved = kept_posts.select("node").distinct()
@@ -252,7 +254,9 @@ def near_duplicates(
 
     links = _Links(nodes, width, percent, agree)
     links.hub_round(kept_posts, F.col("node"))
-    links.hub_round(kept_posts, F.xxhash64("node"))
+    # From now on every post has a hub of its own, so a member of many posts meets many others.
+    for turn in range(hub_turns):
+        links.hub_round(kept_posts, F.xxhash64("node", "key", F.lit(turn)))
     links.exact_round(kept_posts, small, block_shingles)
 
     of_class = classes.select(*sets, "node")
