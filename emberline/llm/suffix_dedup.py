@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import first_of_runs, mix64, slices, utf8
-from .runtime import cut_table
+from .runtime import cut, cut_table, small_batches
 
 KEY = ["doc_id", "part"]
 _RANDOM = np.random.default_rng(20)
@@ -97,41 +98,97 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by rank and class: those whose rank a neighbour has, and which start a run of a class.
+#: Kinds of rows that ``_runs`` gives.
+REPEATED, MIXED, CROWDED, EDGE = 0, 1, 2, 3
+#: Rows of one rank that a task holds back to count its classes.
+_HELD_ROWS = 100_000
 
-    The first and last row of a partition may have their equals next door: they are kept, and a
-    run that goes on from the partition before starts anew here.
+
+def _runs(group_rows: int, held_rows: int = _HELD_ROWS):
+    """What becomes of anchors, from rows sorted by rank, class, document and position.
+
+    A row that does not begin a run of its class repeats; one that does is compared further if
+    its rank has other classes (``CROWDED``: more than ``group_rows``), and needs nothing if not.
+    The first and the last rank of a partition may go on next door, and a rank of very many rows
+    is not held back: the beginnings of their runs are ``EDGE`` rows, with rank and class.
     """
-    held: pa.RecordBatch | None = None
-    before: tuple[int, int] | None = None
 
-    def emit(rows: pa.RecordBatch, count: int, at_end: bool) -> pa.RecordBatch:
-        """The first ``count`` rows; the next one, if there, is their neighbour."""
+    def emit(rows: pa.Table, edges: tuple[bool, bool], before: tuple[int, int] | None) -> pa.RecordBatch:
         ranks, classes = rows.column("rank").to_numpy(), rows.column("class").to_numpy()
-        same = ranks[1:] == ranks[:-1]
-        keep = np.zeros(len(ranks), dtype=bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        first = np.ones(len(ranks), dtype=bool)
-        first[1:] = ~same | (classes[1:] != classes[:-1])
-        keep[0] |= before is None or before[0] == ranks[0]
-        first[0] = before is None or before != (ranks[0], classes[0])
-        keep[-1] |= at_end
-        chosen = pa.array(np.flatnonzero(keep[:count]))
-        return pa.RecordBatch.from_arrays([*[rows.column(c).take(chosen) for c in ("rank", "class", *KEY, "pos")], pa.array(first[:count]).take(chosen)], ["rank", "class", *KEY, "pos", "first"])
+        new_rank = first_of_runs(ranks)
+        first = new_rank | first_of_runs(classes)
+        if before is not None and before == (ranks[0], classes[0]):
+            first[0] = False
+        starts = np.flatnonzero(new_rank)
+        group = np.cumsum(new_rank) - 1
+        n_classes = np.add.reduceat(first.astype(np.int64), starts)
+        edge = np.zeros(len(starts), dtype=bool)
+        edge[0] |= edges[0] or before is not None and before[0] == ranks[0]
+        edge[-1] |= edges[1]
+        kind = np.where(edge[group], EDGE, np.where(n_classes[group] > group_rows, CROWDED, MIXED))
+        kind[~first] = REPEATED
+        keep = np.flatnonzero(~first | edge[group] | (n_classes[group] > 1))
+        take, is_edge = pa.array(keep), kind[keep] == EDGE
+        return pa.RecordBatch.from_arrays(
+            [pa.array(kind[keep].astype(np.int8)), pa.array(ranks[keep], mask=~is_edge), pa.array(classes[keep], mask=~is_edge), *[rows.column(c).take(take).combine_chunks() for c in (*KEY, "pos")]],
+            ["kind", "rank", "class", *KEY, "pos"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        before: tuple[int, int] | None = None
+        last: tuple | None = None
+        at_start = True
+        columns = ["rank", "class", *KEY, "pos"]
+        for batch in gathered(batches, 20_000):
+            end = tuple(batch.column(c)[-1].as_py() for c in columns)
+            batch, last = distinct_places(batch, columns, last), end
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_tables([held, batch]).combine_chunks()
+            ranks = rows.column("rank").to_numpy()
+            whole = int(np.searchsorted(ranks, ranks[-1], side="left"))
+            held = rows.slice(whole)
+            if whole:
+                yield emit(rows.slice(0, whole), (at_start, False), before)
+                at_start, before = False, None
+            if at_start or before is not None or held.num_rows > held_rows:
+                yield emit(held, (True, True), before)
+                before = (held.column("rank")[-1].as_py(), held.column("class")[-1].as_py())
+                held, at_start = None, False
+        if held is not None and held.num_rows:
+            yield emit(held, (True, True), before)
+
+    return run
+
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of at least ``rows`` rows, but for the last."""
+    held: list[pa.RecordBatch] = []
+    n = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        count = rows.num_rows - 1
-        if count:
-            yield emit(rows, count, False)
-            before = (rows.column("rank")[count - 1].as_py(), rows.column("class")[count - 1].as_py())
-        held = rows.slice(count)
-    if held is not None:
-        yield emit(held, 1, True)
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def distinct_places(rows: pa.Table, columns: list[str], last: tuple | None = None) -> pa.Table:
+    """Sorted rows without those that are the same in ``columns`` as the one before (at the start: as ``last``).
+
+    Only rows of the input that are alike give such rows; neither is earlier than the other.
+    """
+    same = np.ones(rows.num_rows, dtype=bool)
+    for i, c in enumerate(columns):
+        column = rows.column(c)
+        values, nulls = pc.fill_null(column, 0).to_numpy(), pc.is_null(column).to_numpy()
+        same[1:] &= (values[1:] == values[:-1]) & (nulls[1:] == nulls[:-1])
+        same[0] &= last is not None and (None if nulls[0] else values[0]) == last[i]
+    return rows.filter(pa.array(~same)) if same.any() else rows
 
 
 def _positions(lists: pa.Array, i: int) -> np.ndarray:
@@ -182,16 +239,21 @@ def repeated_windows(group: np.ndarray, left: np.ndarray, contexts: list[bytes],
     matrix = np.zeros((len(contexts), wide), dtype=np.uint8)
     row = np.repeat(np.arange(len(contexts)), sizes)
     matrix[row, np.arange(len(flat)) - begins[row] + (before - left)[row]] = flat
+    # A window's hash is a sum over its columns, so the next offset takes one column in and one out.
     table = np.random.default_rng(21).integers(0, 2**63, (wide, 256), dtype=np.uint64)
-    sums = np.zeros((len(contexts), wide + 1), dtype=np.uint64)
-    np.cumsum(table[np.arange(wide)[None, :], matrix], axis=1, out=sums[:, 1:])
+    sums = np.zeros(len(contexts), dtype=np.uint64)
+    for column in range(before, wide):
+        sums += table[column][matrix[:, column]]
+    salt = mix64(group.astype(np.uint64))
     found: list[tuple[int, int, int]] = []
     hit = np.zeros((len(contexts), before + 1), dtype=bool)
     for d in range(before + 1):
+        if d:
+            sums += table[before - d][matrix[:, before - d]] - table[wide - d][matrix[:, wide - d]]
         valid = np.flatnonzero((left >= d) & (sizes - left >= length - d))
         if len(valid) < 2:
             continue
-        key = mix64(sums[valid, before - d + length] - sums[valid, before - d]) ^ mix64(group[valid].astype(np.uint64))
+        key = mix64(sums[valid]) ^ salt[valid]
         order = np.argsort(key, kind="stable")
         hit[valid[order[~first_of_runs(key[order])]], d] = True
     for r in np.flatnonzero(hit.any(axis=1)).tolist():
@@ -205,7 +267,8 @@ def repeated_windows(group: np.ndarray, left: np.ndarray, contexts: list[bytes],
 def _compare_groups(length: int, gram: int, chunk: int = 20_000):
     """Window intervals that repeat, from rows sorted by rank, document and position."""
 
-    def resolve(rows: pa.Table) -> pa.RecordBatch:
+    def resolve(rows: pa.Table) -> list[pa.RecordBatch]:
+        rows = distinct_places(rows, ["rank", *KEY, "pos"])
         found = repeated_windows(rows.column("rank").to_numpy(), rows.column("left").to_numpy().astype(np.int64), rows.column("context").to_pylist(), length, gram)
         take = pa.array([f[0] for f in found], pa.int64())
         pos = rows.column("pos").take(take).to_numpy()
@@ -269,7 +332,7 @@ def _remove(length: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, group_rows: int = 5_000, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, group_rows: int = 50_000, with_text: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept_bytes``).
 
     A byte goes if a ``length``-byte string covers it that also starts earlier in the table: in a
@@ -278,32 +341,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by a digest of their texts, and of rows alike in both none is earlier; an empty table gives
     no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.pmod(F.crc32(text), F.lit(1 << 16)).cast("int").alias("part"), text.alias("text"))
     key_types = "doc_id long, part int"
     order = ["rank", "class", *KEY, "pos"]
     ranked = base.mapInArrow(_anchor_rows(length, gram), f"rank long, class long, {key_types}, pos long")
-    runs = cut_table(ranked.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, f"rank long, class long, {key_types}, pos long, first boolean"))
+    kinds = f"kind byte, rank long, class long, {key_types}, pos long"
+    runs = cut_table(ranked.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs(group_rows), kinds))
     place = F.struct(*KEY, "pos")
-    # A class starts once in every partition over which it was split: the list has at most so many rows.
-    classes = runs.where("first").groupBy("rank", "class").agg(F.min(place).alias("winner"), F.collect_list(place).alias("starts"))
-    repeated = runs.where("not first").select(*KEY, "pos").unionByName(
-        classes.where(F.size("starts") > 1).select(F.explode(F.filter("starts", lambda x: ~x.eqNullSafe(F.col("winner")))).alias("p")).select("p.*")
-    )
+    # A class begins once in every partition over which it was split: the list has at most so many rows.
+    edges = runs.where(F.col("kind") == EDGE).groupBy("rank", "class").agg(F.min(place).alias("winner"), F.collect_list(place).alias("starts"))
+    beaten = edges.where(F.size("starts") > 1).select(F.explode(F.filter("starts", lambda x: ~x.eqNullSafe(F.col("winner")))).alias("p")).select("p.*")
+    repeated = runs.where(F.col("kind") == REPEATED).select(*KEY, "pos").unionByName(beaten)
     whole_windows = repeated.select(*KEY, (F.col("pos") - (length - gram)).alias("first_start"), F.col("pos").alias("last_start"))
 
-    firsts = classes.select("rank", "winner.*")
-    several = firsts.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    mixed = firsts.join(several, "rank")
+    winners = edges.select("rank", "winner.*")
+    several = cut(winners.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    split = winners.join(several, "rank")
     context_types = f"rank long, {key_types}, pos long, left int, context binary"
 
-    def contexts_of(rows: DataFrame) -> DataFrame:
+    def compared(kind: int, more: DataFrame) -> DataFrame:
+        """Contexts of the anchors that are to be compared."""
+        rows = runs.where(F.col("kind") == kind).select(*KEY, "pos").unionByName(more.select(*KEY, "pos"))
         return _with(base, rows.groupBy(*KEY).agg(F.collect_list("pos").alias("listed")), "inner").mapInArrow(_contexts(length, gram), context_types)
 
-    few = contexts_of(mixed.where(F.col("n") <= group_rows))
+    few = compared(MIXED, split.where(F.col("n") <= group_rows))
     spans = whole_windows.unionByName(few.repartition("rank").sortWithinPartitions("rank", *KEY, "pos").mapInArrow(_compare_groups(length, gram), f"{key_types}, first_start long, last_start long"))
-    if not several.where(F.col("n") > group_rows).isEmpty():
-        spans = spans.unionByName(_compare_by_window(contexts_of(mixed.where(F.col("n") > group_rows)), length, gram))
+    if not several.where(F.col("n") > group_rows).isEmpty() or not runs.where(F.col("kind") == CROWDED).isEmpty():
+        spans = spans.unionByName(_compare_by_window(compared(CROWDED, split.where(F.col("n") > group_rows)), length, gram))
     by_doc = spans.groupBy(*KEY).agg(F.collect_list(F.struct("first_start", "last_start")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_bytes binary" if with_text else "")
     return _with(base, by_doc, "left").mapInArrow(_remove(length, with_text), schema)
