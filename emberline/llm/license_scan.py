@@ -2,10 +2,14 @@
 
 1. One pass counts in how many files each template term occurs; the vocabulary is bounded by the
    templates, so only that many sums come to the driver.
-2. Every window of a file's lines, up to ``window`` lines, is compared with every template. Terms outside the
+2. Every window of a file's lines, up to ``window`` lines, is compared with every short form. Terms outside the
    templates weigh as unseen ones. A bound that needs only sums per line (what the template
    terms of a window weigh against its other words) leaves few windows for the exact cosine.
-3. Files that are licence files set the licence of their directory. A file without a licence of
+3. Whole licence texts, headers and short forms are compared with every window of as many terms as they have,
+   wherever lines end. The part of a template's norm that a text's terms can reach bounds each cosine, so few
+   texts are searched; there, dot products and norms of all windows are running sums.
+4. An SPDX tag states its licence exactly.
+5. Files that are licence files set the licence of their directory. A file without a licence of
    its own takes that of its nearest ancestor directory: its ancestors are joined, one equal key
    each, with the directories that have one, and the longest path wins.
 """
@@ -15,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, slices, utf8
+from .license_texts import known_texts
 from .runtime import small_batches
 
 #: Short forms by which files state a licence; fixed public wordings.
@@ -47,12 +52,21 @@ def terms(text: bytes) -> list[bytes]:
     return _TERM.findall(text.lower())
 
 
+def version_terms(name: str, words: Mapping[bytes, int]) -> list[bytes]:
+    """The numbers of a licence's version that a header or notice of it holds; a trailing 0 may be left out.
+
+    A whole text needs none: other versions differ by more than their number.
+    """
+    return [v for v in re.findall(rb"[0-9]+", name.encode()) if v != b"0" and v in words] if sum(words.values()) < 200 else []
+
+
 class Matcher:
     """Templates as weighted vectors over their own vocabulary."""
 
     def __init__(self, templates: Mapping[str, str], files: int, df: Mapping[bytes, int]):
         self.names = sorted(templates)
         counts = [Counter(terms(templates[n].encode())) for n in self.names]
+        self.versions = [version_terms(n, c) for n, c in zip(self.names, counts)]
         self.vocabulary = sorted({t for c in counts for t in c})
         self.number = {t: i for i, t in enumerate(self.vocabulary)}
         self.unseen = math.log(1 + max(files, 1))
@@ -76,6 +90,75 @@ class Matcher:
         return self.rows @ vector / norm if norm else np.zeros(len(self.names))
 
 
+class TermMatcher:
+    """Texts of any length as weighted vectors, for windows that have as many terms as they.
+
+    Weights are 1 + log((1 + files) / (1 + files with the term)): a notice that every file has still counts.
+    """
+
+    def __init__(self, texts: Sequence[tuple[str, str]], files: int, df: Mapping[bytes, int]):
+        texts = sorted(set(texts))
+        counts = [Counter(terms(text.encode())) for _, text in texts]
+        self.names = [name for name, _ in texts]
+        self.lengths = [sum(c.values()) for c in counts]
+        self.vocabulary = sorted({t for c in counts for t in c})
+        self.number = {t: i for i, t in enumerate(self.vocabulary)}
+        self.unseen = 1 + math.log(1 + max(files, 1))
+        self.idf = np.array([1 + math.log((1 + max(files, 1)) / (1 + df.get(t, 0))) for t in self.vocabulary])
+        rows = np.zeros((len(texts), len(self.vocabulary)))
+        for i, c in enumerate(counts):
+            for t, k in c.items():
+                rows[i, self.number[t]] = k * self.idf[self.number[t]]
+        self.rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+        self.squares = np.ascontiguousarray((self.rows**2).T.astype(np.float32))
+        self.versions = [[self.number[v] for v in version_terms(n, c)] for n, c in zip(self.names, counts)]
+
+    def candidates(self, texts: np.ndarray, known: np.ndarray, n: int, threshold: float) -> Iterator[tuple[int, int]]:
+        """(text, template): all pairs in which a window can have the cosine.
+
+        It is at most the norm of what the template's vector has on the terms of the text.
+        """
+        present = np.zeros((n, len(self.vocabulary)), dtype=np.float32)
+        present[texts[known >= 0], known[known >= 0]] = 1
+        reach = present @ self.squares
+        yield from np.argwhere(reach >= threshold**2 - 1e-3).tolist()
+
+    def best(self, template: int, words: np.ndarray, known: np.ndarray) -> tuple[float, int, int]:
+        """(cosine, first term, end) of the best window of a text; ``words`` are any numbers of its terms."""
+        n = len(words)
+        width = min(self.lengths[template], n)
+        weight = np.where(known >= 0, self.idf[np.maximum(known, 0)], self.unseen)
+        part = np.where(known >= 0, self.rows[template][np.maximum(known, 0)], 0.0)
+        # How often a term's word is among the width - 1 terms before it and after it.
+        order = np.argsort(words, kind="stable")
+        key = words[order] * (n + 1) + order
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.arange(n)
+        at = np.arange(n)
+        before = rank - np.searchsorted(key, words * (n + 1) + np.maximum(at - width + 1, 0), side="left")
+        after = np.searchsorted(key, words * (n + 1) + np.minimum(at + width - 1, n - 1), side="right") - rank - 1
+        gain, loss = weight**2 * (2 * before + 1), weight**2 * (2 * after + 1)
+        norm = gain[:width].sum() + np.concatenate([[0.0], np.cumsum(gain[width:] - loss[: n - width])])
+        cos = _sums(part * weight, width) / np.sqrt(np.maximum(norm, 1e-12))
+        for v in self.versions[template]:
+            cos[_sums((known == v).astype(float), width) < 0.5] = -1.0
+        k = int(np.argmax(cos))
+        inside = np.flatnonzero(part[k : k + width] > 0)
+        return float(cos[k]), k + (int(inside[0]) if len(inside) else 0), k + width
+
+
+_SPDX_ID = rb"\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*"
+_SPDX = re.compile(rb"SPDX-License-Identifier:[ \t]*(" + _SPDX_ID + rb"(?:[ \t]+(?:OR|AND|WITH)[ \t]+" + _SPDX_ID + rb")*)", re.IGNORECASE)
+
+
+def spdx_license(expression: str, names: Mapping[str, str]) -> str:
+    """The licence of one identifier as templates name it (``names`` by lower case); an expression as it is written."""
+    if re.search(r"\s", expression):
+        return " ".join(expression.split())
+    one = re.sub(r"(?i)(-only|-or-later|\+)$", "", expression.strip("()").rstrip("-."))
+    return names.get(one.lower(), one)
+
+
 def _vocabulary_counts(vocabulary: list[bytes]):
     number = {t: i for i, t in enumerate(vocabulary)}
 
@@ -103,7 +186,10 @@ def _known_terms(data: np.ndarray, offsets: np.ndarray, number: Mapping[bytes, i
     return found, of_distinct[found.ids]
 
 
-def _best_windows(matcher: Matcher, window: int, threshold: float):
+def _best_windows(matcher: Matcher, by_terms: TermMatcher, window: int, threshold: float):
+    short_of = np.array([matcher.number.get(t, -1) for t in by_terms.vocabulary], dtype=np.int64)
+    names = {n.lower(): n for n in (*matcher.names, *by_terms.names)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -115,7 +201,8 @@ def _best_windows(matcher: Matcher, window: int, threshold: float):
                 ends = np.sort(np.concatenate([breaks, offsets[1:]]), kind="stable")
                 per_text = np.diff(np.searchsorted(breaks, offsets)) + 1
                 line_text = np.repeat(np.arange(n), per_text)
-                found, known = _known_terms(data, offsets, matcher.number)
+                found, known_all = _known_terms(data, offsets, by_terms.number)
+                known = np.where(known_all >= 0, short_of[np.maximum(known_all, 0)], -1)
                 # Only lines that hold a term have starts between their ends; empty lines weigh nothing.
                 line = np.searchsorted(begins, found.starts, side="right") - 1
                 ok = known >= 0
@@ -133,11 +220,25 @@ def _best_windows(matcher: Matcher, window: int, threshold: float):
                     m = len(begins) - w + 1
                     maybe = (line_text[:m] == line_text[w - 1 :]) & (bound >= threshold) & lines_with_terms[:m] & lines_with_terms[w - 1 :]
                     for i in np.flatnonzero(maybe).tolist():
-                        cos = matcher.cosine(terms(raw[begins[i] : ends[i + w - 1]]))
+                        words = terms(raw[begins[i] : ends[i + w - 1]])
+                        cos = matcher.cosine(words)
+                        cos[[k for k, v in enumerate(matcher.versions) if not set(v) <= set(words)]] = -1.0
                         k = int(np.argmax(cos))
                         t = int(line_text[i])
                         if cos[k] >= threshold and cos[k] > best[t][0] + 1e-12:
                             best[t] = (float(cos[k]), matcher.names[k], i - int(np.searchsorted(line_text, t)))
+                if len(found):
+                    ids = found.ids
+                    for t, k in by_terms.candidates(found.texts, known_all, n, threshold):
+                        a, b = found.bounds[t], found.bounds[t + 1]
+                        cos, first, _ = by_terms.best(k, ids[a:b], known_all[a:b])
+                        if cos >= threshold and cos > best[t][0] + 1e-9:
+                            best[t] = (cos, by_terms.names[k], int(line[a + first]) - int(np.searchsorted(line_text, t)))
+                    spdx = [i for i, word in enumerate(found.distinct) if word == b"spdx"]
+                    for t in np.unique(found.texts[np.isin(ids, spdx)]).tolist():
+                        if tag := _SPDX.search(raw, int(offsets[t]), int(offsets[t + 1])):
+                            name = spdx_license(tag[1].decode(), names)
+                            best[t] = (1.0, name, int(np.searchsorted(begins, tag.start(), side="right")) - 1 - int(np.searchsorted(line_text, t)))
                 hit = [b[0] >= 0 for b in best]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -165,13 +266,16 @@ def scan_licenses(
     text_col: str = "text",
     id_col: str = "doc_id",
     templates: Mapping[str, str] = TEMPLATES,
+    texts: Sequence[tuple[str, str]] | None = None,
     window: int = 3,
     threshold: float = 0.8,
 ) -> DataFrame:
     """One row per file: ``doc_id, path, own_license, score, line, license, from_path``.
 
-    ``own_license`` is the template with the highest cosine (at least ``threshold``; ties: the
-    shorter window, then the earlier line, then the smaller name). ``license`` is the file's own or that of
+    ``own_license`` is what the first SPDX tag says (score 1), otherwise the template with the highest cosine (at
+    least ``threshold``; ties: a short form within ``window`` lines before other windows, the shorter window, then
+    the earlier line, then the smaller name). ``templates`` are short forms, ``texts`` (licence, text) whole texts,
+    headers and notices (default: ``known_texts()``). A version that a template names must be in the window. ``license`` is the file's own or that of
     the nearest ancestor directory with a licence file; ``from_path`` is the directory. A licence
     file is one with a licence for which ``is_license_file`` holds (default: named LICENSE or
     COPYING, or of at most ``window`` lines). Of several in one directory the highest score,
@@ -181,10 +285,11 @@ def scan_licenses(
     """
     small_batches(files.sparkSession)
     base = files.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), (F.lit(False) if is_license_file is None else F.coalesce(is_license_file, F.lit(False))).alias("named")).alias("file"), F.col(text_col).alias("text"))
-    probe = Matcher(templates, 1, {})
+    every = [*templates.items(), *(known_texts() if texts is None else texts)]
+    probe = TermMatcher(every, 1, {})
     sums = {r["term"]: r["n"] for r in base.select("text").mapInArrow(_vocabulary_counts(probe.vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    matcher = Matcher(templates, sums.get(-1, 0), {t: sums.get(i, 0) for i, t in enumerate(probe.vocabulary)})
-    scored = base.mapInArrow(_best_windows(matcher, window, threshold), "file struct<doc_id:long,path:string,named:boolean>, own_license string, score double, line long, n_lines long")
+    counts = sums.get(-1, 0), {t: sums.get(i, 0) for i, t in enumerate(probe.vocabulary)}
+    scored = base.mapInArrow(_best_windows(Matcher(templates, *counts), TermMatcher(every, *counts), window, threshold), "file struct<doc_id:long,path:string,named:boolean>, own_license string, score double, line long, n_lines long")
     own = scored.select("file.*", "own_license", "score", "line", "n_lines")
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     default = F.startswith(name, F.lit("license")) | F.startswith(name, F.lit("copying")) | (F.col("n_lines") <= window)
