@@ -41,6 +41,24 @@ def reachable(edges: DataFrame, start: DataFrame, depth: int, source: str = "cal
     return seen
 
 
+def reachable_points(points: DataFrame, start: DataFrame, depth: int, callers: bool = False, key: str = "id") -> DataFrame:
+    """The rows of ``reachable`` over ``call_edges(points)``, without its edges.
+
+    A level goes from chunks to the distinct symbols that they call (or define), and from those to the chunks that
+    define (or call) them: a symbol with many definitions and many calls makes rows in proportion to their sum, not product.
+    """
+    outward, inward = ("symbols", "calls") if callers else ("calls", "symbols")
+    front = points.join(start.select(F.col("node").alias(key)), key, "left_semi").select(F.col(key).alias("node")).distinct()
+    levels = front.withColumn("depth", F.lit(0))
+    there = points.select(F.col(key).alias("node"), F.explode(F.array_distinct(inward)).alias("symbol"))
+    for d in range(1, min(max(depth, 1), MOST_DEPTH) + 1):
+        here = points.join(front.select(F.col("node").alias(key)), key, "left_semi")
+        symbols = here.select(F.explode(outward).alias("symbol")).distinct()
+        front = there.join(symbols, "symbol", "left_semi").select("node").distinct()
+        levels = levels.unionByName(front.withColumn("depth", F.lit(d)))
+    return levels.groupBy("node").agg(F.min("depth").alias("depth"))
+
+
 class Tracer:
     """The ordered, capped walk for one symbol. Each visit reads at most a handful of rows; a walk is a few dozen."""
 

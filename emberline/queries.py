@@ -751,3 +751,26 @@ def trace_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = call_points(spark, sf_dir)
     return trace.reachable(trace.call_edges(points).select("caller", "callee").distinct(), points.where("id < 5").select(F.col("id").alias("node")), 3, "callee", "caller")
+
+
+def whole_call_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document "defines" its 3rd word and "calls" every word after it."""
+    words = F.split(F.lower("text"), "\\s+")
+    return table(spark, sf_dir, "documents").where(F.size(words) >= 3).select(F.col("doc_id").alias("id"), F.slice(words, 3, 1).alias("symbols"), F.array_distinct(F.slice(words, 4, F.greatest(F.size(words), F.lit(1)))).alias("calls"))
+
+
+def searched(points: DataFrame) -> DataFrame:
+    """The query set of a search: ids divisible by 100."""
+    return points.where("id % 100 = 0").select(F.col("id").alias("node"))
+
+
+@query()
+def trace_callees_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = whole_call_points(spark, sf_dir)
+    return trace.reachable_points(points, searched(points), 3)
+
+
+@query()
+def trace_callers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = whole_call_points(spark, sf_dir)
+    return trace.reachable_points(points, searched(points), 3, callers=True)
