@@ -147,7 +147,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray
     # Forward again from the known entry, with back pointers, then back from the known exit.
     v = np.full((n_blocks, n_lang), -1e18)
     v[np.arange(n_blocks), entries] = 0.0
-    back = np.zeros((steps, n_blocks, n_lang), dtype=np.int8)
+    back = np.zeros((steps, n_blocks, n_lang), dtype=np.min_scalar_type(-max(n_lang, 1)))
     for t in range(steps):
         best = v.argmax(axis=1)
         jump = v.max(axis=1, keepdims=True) - switch
