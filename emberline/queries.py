@@ -487,9 +487,9 @@ def seq_threshold_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def seq_instance_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crowded shards go through the state machine: the cap is small here, so most are."""
+    """Crowded shards, which may reach the cap of live instances, go through the state machine."""
     snapshot = two_step("", grouped_catalog(), "5d")
-    return correlate(match_rules(grouped(spark, sf_dir), snapshot), snapshot, most=20)
+    return correlate(match_rules(grouped(spark, sf_dir), snapshot), snapshot)
 
 
 # --- watchdog, sampling ---------------------------------------------------------------------
