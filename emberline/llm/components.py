@@ -8,34 +8,20 @@ from pyspark.sql import functions as F
 from .runtime import cut
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, label`` for each end of ``edges`` (columns ``a``, ``b``): the smallest node of its component.
 
     Each round takes the smallest label around a node and then the label of that label, so the
-    paths to the smallest node shrink at least by half; lineage is cut after every round.
+    paths to the smallest node shrink at least by half and the rounds, however many the data
+    needs, end by themselves; lineage is cut after every round.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("seen")), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "seen").alias("low"))
-        jump = lower.join(labels.select(F.col("node").alias("low"), F.col("label").alias("next")), "low").select("node", "label", F.least("low", "next").alias("new"))
-        jump = cut(jump)
-        changed = jump.where("new <> label").isEmpty()
+        jump = cut(lower.join(labels.select(F.col("node").alias("low"), F.col("label").alias("next")), "low").select("node", "label", F.least("low", "next").alias("new")))
+        settled = jump.where("new <> label").isEmpty()
         labels = jump.select("node", F.col("new").alias("label"))
-        if changed:
+        if settled:
             return labels
-    raise RuntimeError("components did not settle")
-
-
-def merge_labels(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """Labels after ``edges`` between nodes are added to what ``labels`` already joins."""
-    if labels is None:
-        return connected_components(edges)
-    of_a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    lifted = edges.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    above = connected_components(lifted)
-    lifted_up = labels.join(above.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-    new = above.join(labels, "node", "left_anti")
-    return cut(lifted_up.unionByName(new))

@@ -65,10 +65,25 @@ def test_near_same_as_plain(spark):
     assert near(df, width=2) == plain_components(data, 2)
 
 
-def test_near_blocks_of_large_components(spark):
-    data = corpus(6, 150)
+@pytest.mark.parametrize("seed", [6, 7])
+def test_near_large_groups_are_dealt_out(spark, seed):
+    data = corpus(seed, 400)
     df = frame(spark, [(d, t, "en", "a") for d, t in data], clashing=False)
-    assert near(df, width=2, small=1, block_shingles=100) == plain_components(data, 2)
+    assert near(df, width=2, post_rows=20, family_rows=20, family_shingles=500) == plain_components(data, 2)
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4, 5, 6])
+def test_near_texts_of_few_words(spark, width):
+    for n in range(7):
+        text = " ".join("abcdefg"[:n])
+        got = near(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1), width=width)
+        assert got == plain_components([(1, text)], width)
+
+
+def test_near_repeated_ids(spark):
+    rows = [(1, "a b c d e f g h i j k l"), (1, "p q r s t u v w x y z 1"), (2, "a b c d e f g h i j k l m"), (3, "p q r s t u v w x y z 1 2"), (None, "a b c d e f g h i j k l")]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in out) == [(0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
 
 
 def test_near_odd_rows(spark, empty):
