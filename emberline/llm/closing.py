@@ -86,7 +86,8 @@ def close_groups(members: DataFrame, payload: list[str], kernel: Kernel, most_ro
     ``members``: ``grp, node, weight`` and the columns ``payload``; a node may be in many groups.
     ``kernel`` gets rows ``task, node, *payload`` sorted by task and gives links ``a, b`` inside tasks.
     """
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("mass")).where("n > 1")
+    # A table of its own, so that the join has two plain exchanges and Spark can split a hot group.
+    sizes = cut(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("mass")).where("n > 1"))
     chunks = F.when(F.col("n") > 2 * hubs, F.greatest(F.ceil(F.col("n") / most_rows), F.ceil(F.col("mass") / most_weight))).otherwise(F.lit(1))
     sized = members.join(sizes.select("grp", F.col("n").alias("of"), chunks.cast("int").alias("chunks")), "grp")
     home = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
