@@ -4,8 +4,12 @@ Texts become token ids by a given tokenizer; a document's ids end with one separ
 documents longer than a sequence are cut. A task keeps a fixed number of open bins. A bitset has
 one bit for each amount of free space that some open bin has, so the best fit (the least space
 that suffices) is one shift and one lowest-set-bit; when no bin may be opened any more, the
-fullest one closes first. A piece's place is final when it is placed, so rows stream through and
-memory does not grow with the data. Within one slice of a batch the longer pieces go first.
+fullest one closes first. Rows stream through and memory does not grow with the data. Within one
+slice of a batch the longer pieces go first.
+
+The pieces in bins that tasks leave open with some space are packed once more, the longest first,
+in as few tasks as ``REPACKED_PIECES`` allows: many tasks cost hardly more sequences than one.
+That pass has a row for each such piece and no texts.
 
 Chunks of text are tokenized once each: the tokenizer drops white space, lower-cases, and never
 joins a letter with punctuation, so a text's ids are those of its chunks between white space and
@@ -17,15 +21,21 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, slices, utf8
-from .runtime import small_batches
+from .runtime import cut_table, small_batches
+
+#: Pieces that one task of the second pass packs.
+REPACKED_PIECES = 200_000
+#: The smallest number of a sequence of the second pass.
+REPACKED = 1 << 62
 
 
 class BinPacker:
@@ -54,6 +64,10 @@ class BinPacker:
             self.n_open += 1
         return bin_id, self.capacity - free
 
+    def left_open(self) -> list[tuple[int, int]]:
+        """The open bins with more than a 64th of their capacity free."""
+        return [b for bins in self.by_free[self.capacity // 64 + 1 :] for b in bins]
+
     def _take(self, free: int) -> int:
         bins = self.by_free[free]
         bin_id = bins.pop()
@@ -187,6 +201,21 @@ def token_ids(column: pa.Array, tokenizer: ChunkTokenizer, end_id: int) -> tuple
     return out, total[words.bounds] + np.arange(len(words.bounds))
 
 
+def _repack(length: int, open_bins: int):
+    """Pieces, the longest first, with new places; a sequence has the smallest stretch of its pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        packer = BinPacker(length, open_bins, REPACKED + ((context.partitionId() if context else 0) << 36))
+        for batch in batches:
+            places = [packer.place(n) for n in batch.column("length").to_pylist()]
+            for name, values in (("sequence_id", [p[0] for p in places]), ("offset", [p[1] for p in places])):
+                batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(values, pa.int64()))
+            yield batch
+
+    return run
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,
@@ -197,44 +226,76 @@ def pack_documents(
     open_bins: int = 1024,
     cached_chunks: int = 300_000,
     with_ids: bool = False,
+    stretch: Column | None = None,
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``).
 
     Pieces of a sequence follow each other without gaps from offset 0. ``sequence_id`` is unique
-    over the whole result. Defined cases: a null or empty text is the end id alone; a null id
-    stays null; repeated rows are packed each on its own; an empty table gives no rows; other
-    columns are ignored.
+    over the whole result. ``stretch``, an integer expression, numbers stretches of an order that
+    is to be kept: they are packed apart, as far as their bins get full, and each piece has the
+    smallest ``stretch`` of its sequence. Defined cases: a null or empty text is the end id
+    alone; a null id stays null; repeated rows are packed each on its own; a null stretch counts
+    as -1; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         packer = BinPacker(length, open_bins, (context.partitionId() if context else 0) << 36)
         tokenizer = chunk_tokenizer(tokenizer_path, cached_chunks)
+        at = None
+
+        def left(packer: BinPacker) -> pa.RecordBatch:
+            rows = packer.left_open()
+            none = pa.nulls(len(rows), pa.int64())
+            arrays = [none, none.cast(pa.int32()), none, none, none, pa.array(rows, pa.int64()), none, none, pa.array([True] * len(rows), pa.bool_())]
+            if with_ids:
+                arrays.append(pa.nulls(len(rows), pa.list_(pa.int32())))
+            return pa.RecordBatch.from_arrays(arrays, names)
+
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, ends = token_ids(part.column("text"), tokenizer, end_id)
-                rows = []
-                for doc, begin, end in zip(part.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                whole = []
+                for doc, where, begin, end in zip(part.column("doc_id").to_pylist(), part.column("stretch").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                     for piece, start in enumerate(range(begin, end, length)):
                         stop = min(start + length, end)
-                        rows.append((stop - start, doc, piece, start - begin, zlib.crc32(ids[start:stop].astype("<u4").tobytes()), start))
-                rows.sort(key=lambda r: -r[0])
-                places = [packer.place(r[0]) for r in rows]
-                cols = list(zip(*rows)) if rows else [[]] * 6
-                arrays = [
-                    pa.array(cols[1], pa.int64()),
-                    pa.array(cols[2], pa.int32()),
-                    pa.array(cols[3], pa.int64()),
-                    pa.array(cols[0], pa.int64()),
-                    pa.array(cols[4], pa.int64()),
-                    pa.array([p[0] for p in places], pa.int64()),
-                    pa.array([p[1] for p in places], pa.int64()),
-                ]
-                if with_ids:
-                    arrays.append(pa.array([ids[s : s + n].astype(np.int32) for n, s in zip(cols[0], cols[5])], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                        whole.append((where, stop - start, doc, piece, start - begin, zlib.crc32(ids[start:stop].astype("<u4").tobytes()), start))
+                for where, rows in groupby(whole, key=lambda r: r[0]):
+                    if at is not None and where != at:
+                        yield left(packer)
+                        packer = BinPacker(length, open_bins, packer.next_id)
+                    at = where
+                    rows = sorted(rows, key=lambda r: -r[1])
+                    places = [packer.place(r[1]) for r in rows]
+                    cols = list(zip(*rows))
+                    arrays = [
+                        pa.array(cols[2], pa.int64()),
+                        pa.array(cols[3], pa.int32()),
+                        pa.array(cols[4], pa.int64()),
+                        pa.array(cols[1], pa.int64()),
+                        pa.array(cols[5], pa.int64()),
+                        pa.array([p[0] for p in places], pa.int64()),
+                        pa.array([p[1] for p in places], pa.int64()),
+                        pa.array([at] * len(rows), pa.int64()),
+                        pa.array([False] * len(rows), pa.bool_()),
+                    ]
+                    if with_ids:
+                        arrays.append(pa.array([ids[s : s + n].astype(np.int32) for n, s in zip(cols[1], cols[6])], pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+        if at is not None:
+            yield left(packer)
 
     small_batches(docs.sparkSession)
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, stretch long, open boolean" + (", ids array<int>" if with_ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    order = F.lit(-1) if stretch is None else F.coalesce(stretch, F.lit(-1))
+    rows = cut_table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), order.cast("long").alias("stretch")).mapInArrow(run, schema))
+    bins, pieces = rows.where("open").select("sequence_id"), rows.where("NOT open").drop("open")
+    loose = cut_table(pieces.join(bins, "sequence_id", "left_semi"))
+    tasks = max(1, -(-loose.count() // REPACKED_PIECES))
+    sorted_pieces = loose.repartition(tasks, F.xxhash64("sequence_id", "offset")).sortWithinPartitions(F.desc("length"), "stretch", "doc_id", "piece", "ids_crc32")
+    packed = sorted_pieces.mapInArrow(_repack(length, open_bins), loose.schema)
+    if stretch is not None:
+        packed = packed.withColumn("stretch", F.min("stretch").over(Window.partitionBy("sequence_id")))
+    out = pieces.join(bins, "sequence_id", "left_anti").unionByName(packed)
+    return out.select(*[n for n in names if n != "open" and (n != "stretch" or stretch is not None)])

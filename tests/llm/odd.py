@@ -36,7 +36,7 @@ TWICE = [(20, "twice here with quite a few words of its own that no other row ha
 def frame(spark, data, partitions=3, clashing=True):
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(partitions)
     if clashing:
-        names = "kept keep_id sha salt content group_size rank class pos label node sig gone carried slot block digest bucket score rule verdict piece listed spans n_shingles component_id lang_pred held_out"
+        names = "kept keep_id sha salt content group_size rank class pos label node sig gone carried slot block digest bucket score rule verdict piece listed spans n_shingles component_id lang_pred held_out kept_id text_hash stretch grp weight key single row"
         for name in names.split():
             df = df.selectExpr("*", f"'{name}' AS {name}")
     return df

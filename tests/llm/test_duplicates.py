@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 import pytest
 from odd import ODD, PASSAGE, TWICE, frame
 
+from pyspark.sql import functions as F
+
 from emberline.llm.components import connected_components
 from emberline.llm.near_dedup import near_duplicates
 from emberline.llm.suffix_dedup import remove_repeats, removed_runs
@@ -179,6 +181,15 @@ def test_pipeline(spark):
     assert packed.select("doc_id").distinct().count() == sizes[4]
 
 
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline as p
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, text), (7, text), (7, text + " end"), (8, text), (None, text), (None, "alone " + text[::-1]), (9, ""), (10, None)]
+    out = p.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept_id", F.lit("x")), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] is not None and len(r["text"]) > 0) for r in out) == [(0, True), (7, True), (9, False), (10, False)]
+
+
 def test_pipeline_odd_rows(spark):
     import corpus_pipeline as p
 

@@ -44,6 +44,24 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(frame(spark, []), path).count() == 0
 
 
+def test_packing_on_many_tasks_and_in_stretches(spark):
+    path = tokenizer_path("word_bpe_49k.json")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    used = {}
+    for tasks in (1, 16, 64):
+        out = packing.pack_documents(docs.repartition(tasks), path).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("offset").alias("first")).collect()
+        assert all(r["n"] == r["end"] <= 2048 and r["first"] == 0 for r in out)
+        used[tasks] = len(out)
+    assert max(used.values()) <= min(used.values()) + 3
+    ordered = docs.repartition(2).withColumn("place", F.floor(F.col("doc_id") / 300)).sortWithinPartitions("place")
+    out = packing.pack_documents(ordered, path, stretch=F.col("place")).join(docs.select("doc_id", F.floor(F.col("doc_id") / 300).alias("own")), "doc_id").collect()
+    assert {r["doc_id"] for r in out} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    of = defaultdict(set)
+    for r in out:
+        of[r["sequence_id"]].add(r["own"])
+    assert sum(len(x) == 1 for x in of.values()) > 0.9 * len(of) and len({(r["sequence_id"], r["stretch"]) for r in out}) == len(of)
+
+
 def test_chunked_tokens_equal_whole_texts():
     import random
 
