@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one slice holds, unless a single text is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True

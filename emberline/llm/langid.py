@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .arrow_text import Words, mix64, slices, utf8
-from .runtime import small_batches
+from .runtime import forget_kept, small_batches
 
 #: First code points of script ranges and their names; fixed values of the Unicode block layout.
 SCRIPT_STARTS = (0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3130, 0x3190, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0x20000)
@@ -194,6 +194,7 @@ def fit_languages(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) < share * F.lit(float(1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         grams = np.zeros((len(languages), 1 << GRAM_BITS), dtype=np.int64)
         scripts = np.zeros((len(languages), len(SCRIPTS)), dtype=np.int64)
         for batch in batches:
@@ -233,6 +234,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     names = ["doc_id", "lang_pred", "score", *(["spans"] if with_spans else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         m = shared.value
         for batch in batches:
             for part in slices(batch, "text"):

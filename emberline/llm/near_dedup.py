@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import Words, first_of_runs, mix64, slices, utf8
 from .closing import close_groups, forest, roots, whole_groups
-from .runtime import cut_table, small_batches
+from .runtime import cut_table, forget_kept, small_batches
 
 _RANDOM = np.random.default_rng(7)
 _TIMES = (_RANDOM.integers(0, 2**63, 1024, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -83,6 +83,7 @@ def minhash(keys: np.ndarray, begins: np.ndarray, coordinates: int) -> np.ndarra
 
 def _signatures(width: int, coordinates: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts, keys = hashed_shingles(Words(*utf8(part.column("text")), lower=True), width)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, slices, utf8
-from .runtime import cut_table, small_batches
+from .runtime import cut_table, kept_in_worker, small_batches
 
 #: Pieces that one task of the second pass packs.
 REPACKED_PIECES = 200_000
@@ -153,15 +153,6 @@ class ChunkTokenizer:
         self.place = {c: i for i, (c, _) in enumerate(kept)}
 
 
-_TOKENIZERS: dict[tuple[str, int], ChunkTokenizer] = {}
-
-
-def chunk_tokenizer(path: str, cached: int) -> ChunkTokenizer:
-    if (path, cached) not in _TOKENIZERS:
-        _TOKENIZERS[path, cached] = ChunkTokenizer(path, cached)
-    return _TOKENIZERS[path, cached]
-
-
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 #: Punctuation that no contraction and no special token contains.
@@ -241,7 +232,7 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         packer = BinPacker(length, open_bins, (context.partitionId() if context else 0) << 36)
-        tokenizer = chunk_tokenizer(tokenizer_path, cached_chunks)
+        tokenizer = kept_in_worker((tokenizer_path, cached_chunks), lambda: ChunkTokenizer(tokenizer_path, cached_chunks))
         at = None
 
         def left(packer: BinPacker) -> pa.RecordBatch:

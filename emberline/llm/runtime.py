@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept_in_worker(key: object, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps from task to task: one at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget_kept() -> None:
+    """Operators that keep nothing free what another one has left in the worker."""
+    _KEPT.clear()
+
+
 #: Rows of texts that go to a Python worker at once; with Spark's default of 10,000 a batch of long texts is large.
 BATCH_ROWS = 2000
 
