@@ -13,7 +13,7 @@ from emberline.llm.mixing import mix_sources
 from emberline.llm.near_dedup import near_duplicates
 from emberline.llm.packing import pack_documents
 from emberline.llm.queries import tokenizer_path
-from emberline.llm.runtime import cut_table, table
+from emberline.llm.runtime import cut, cut_table, table
 
 #: A text whose main language has a smaller share of its letters is rejected.
 LEAST_LANGUAGE_SHARE = 0.5
@@ -55,13 +55,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     kept = near_duplicates(docs, with_hash=True).where("kept")
     alone = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("text_hash"))
-    chosen = kept.groupBy("doc_id", alone.alias("alone")).agg(F.min("text_hash").alias("text_hash"), F.min(F.col("n_shingles") > 0).alias("grouped"))
+    chosen = kept.groupBy("doc_id", alone.alias("alone")).agg(F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("rows"), F.min(F.col("n_shingles") > 0).alias("grouped"))
     digest = F.xxhash64("doc_id", "text_hash").alias("digest")
-    chosen = chosen.select(F.col("doc_id").alias("kept_id"), (F.col("grouped") & F.col("doc_id").isNotNull()).alias("single"), digest)
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).select("row", "doc_id", digest)
-    met = rows.join(chosen, "digest").where(F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    turn = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy("digest"))
-    return met.withColumn("turn", turn).where("turn = 1 OR NOT single").select("row.*")
+    single = F.col("grouped") & F.col("doc_id").isNotNull() & (F.col("rows") > 1)
+    chosen = cut(chosen.select(F.col("doc_id").alias("kept_id"), single.alias("single"), digest))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).select("row", "doc_id", digest.alias("of"))
+    own = (F.col("of") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    if chosen.where("single").isEmpty():
+        return rows.join(chosen, own, "left_semi").select("row.*")
+    turn = F.row_number().over(Window.partitionBy("of", "doc_id").orderBy("of"))
+    return rows.join(chosen, own).withColumn("turn", turn).where("turn = 1 OR NOT single").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
