@@ -244,7 +244,7 @@ def pack_documents(
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 ids, ends = token_ids(part.column("text"), tokenizer, end_id)
                 whole = []
                 for doc, where, begin, end in zip(part.column("doc_id").to_pylist(), part.column("stretch").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
