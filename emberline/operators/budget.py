@@ -27,6 +27,12 @@ def before_cliff(ranked: DataFrame, group: list[str], rank: str = "rank", score:
     return marked.where(F.col("_cliff").isNull() | (F.col(rank) < F.col("_cliff"))).drop("_fall", "_cliff")
 
 
+def within_limit(ranked: DataFrame, preset: str = "exploration", rank: str = "rank") -> DataFrame:
+    """What is left of ranked results when the preset has a limit of its own; applied after the cliff."""
+    limit = PRESETS[preset][1]
+    return ranked if limit is None else ranked.where(F.col(rank) <= limit)
+
+
 def tier_budgets(ranked: DataFrame, group: list[str], preset: str = "exploration", total: int | None = None, shares: tuple[float, float, float] | None = None, rank: str = "rank", score: str = "score") -> DataFrame:
     """``ranked`` with ``tier`` and ``budget``: by the ratio to the best score, the shares of empty tiers passed on."""
     default_total, _, default_shares = PRESETS[preset]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.catalog import Field, FieldCatalog
 from ..plans.rules import Action, Rule, RuleSnapshot
 
 #: Rules whose tests share one array expression; bounds the size of a generated method.
@@ -12,12 +16,13 @@ RULES_PER_ARRAY = 100
 MATCH_TYPE = "array<struct<rule_id:string,rule_hash:string,severity:string,cand_pos:int>>"
 
 
-def match_array(snapshot: RuleSnapshot, rules: list[Rule] | None = None) -> Column:
-    """The rules that match a row, in evaluation order."""
+def match_array(snapshot: RuleSnapshot, rules: list[Rule] | None = None, catalog: FieldCatalog | None = None) -> Column:
+    """The rules that match a row, in evaluation order; ``catalog`` says where their fields are, if not the snapshot's."""
+    catalog = catalog or snapshot.catalog
     order = {r.id: i for i, r in enumerate(snapshot.candidates)}
     chosen = [r for r in snapshot.candidates if rules is None or r in rules]
     hits = [
-        F.when(r.predicate(snapshot.catalog), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.hash).alias("rule_hash"), F.lit(r.severity).alias("severity"), F.lit(order[r.id]).alias("cand_pos")))
+        F.when(r.predicate(catalog), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.hash).alias("rule_hash"), F.lit(r.severity).alias("severity"), F.lit(order[r.id]).alias("cand_pos")))
         for r in chosen
         if r.kinds is None or r.kinds
     ]
@@ -27,6 +32,22 @@ def match_array(snapshot: RuleSnapshot, rules: list[Rule] | None = None) -> Colu
     return parts[0] if len(parts) == 1 else F.flatten(F.array(*parts))
 
 
+def with_fields(events: DataFrame, snapshot: RuleSnapshot) -> tuple[DataFrame, FieldCatalog]:
+    """``events`` with a column for every field that rules use and that takes computing, and where fields are then.
+
+    Each is computed once a row, however many rules ask for it.
+    """
+    c = snapshot.catalog
+    used = {c.find(condition.field).column for rule in snapshot.rules for condition in rule.conditions}
+    names = {column: f"_field{i}" for i, column in enumerate(sorted(x for x in used if not re.fullmatch(r"\w+", x)))}
+
+    def moved(f: Field) -> Field:
+        return replace(f, column=names.get(f.column, f.column))
+
+    slim = FieldCatalog([moved(f) for f in c.fields.values()], c.kind_column, c.shard, c.order, c.kinds, {k: moved(f) for k, f in c.suffixes.items()}, c.meta)
+    return events.select("*", *[F.expr(column).alias(name) for column, name in names.items()]), slim
+
+
 def match_rules(events: DataFrame, snapshot: RuleSnapshot, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per match: order and shard columns, ``rule_id, rule_hash, severity, cand_pos, uid, pid, comm``.
 
@@ -35,7 +56,8 @@ def match_rules(events: DataFrame, snapshot: RuleSnapshot, keep: tuple[str, ...]
     c = snapshot.catalog
     base = list(dict.fromkeys([*c.order, *c.shard, c.kind_column, *keep]))
     meta = [F.expr(column).alias(f"meta_{name}") for name, column in c.meta.items()]
-    found = events.select(*base, *meta, F.explode(match_array(snapshot)).alias("m"))
+    events, slim = with_fields(events, snapshot)
+    found = events.select(*base, *meta, F.explode(match_array(snapshot, catalog=slim)).alias("m"))
     return found.select(*base, "m.*", *[F.col(f"meta_{name}").alias(name) for name in c.meta if name not in base])
 
 

@@ -63,11 +63,24 @@ def dense_topk(points: DataFrame, query: Sequence[float], k: int, key: str = "id
     return points.withColumn("score", cosine(F.col(vector), q)).orderBy(F.desc("score"), key).limit(k)
 
 
-def term_weights(docs: DataFrame, key: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, average: float | None = None) -> DataFrame:
-    """``key, term, weight``: BM25 term-frequency weights (no IDF) of lower-cased ``\\w+`` terms."""
-    words = docs.select(key, F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("(\\w+)"), 1).alias("words")).withColumn("n", F.size("words"))
-    mean = F.lit(average) if average is not None else F.greatest(words.agg(F.avg("n")).scalar(), F.lit(1e-9))
-    tf = words.select(key, "n", F.explode("words").alias("term")).groupBy(key, "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+_TERM = "(\\w+)"
+
+
+def term_weights(docs: DataFrame, key: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, average: float | None = None, only: Sequence[str] | None = None) -> DataFrame:
+    """``key, term, weight``: BM25 term-frequency weights (no IDF) of lower-cased ``\\w+`` terms.
+
+    With ``only`` just these terms get rows: they are counted inside each text, without a shuffle.
+    ``average``: the mean number of terms, where it is known; else a pass over the texts counts it.
+    """
+    text = F.lower(F.coalesce(text_col, F.lit("")))
+    words = docs.select(key, F.regexp_extract_all(text, F.lit(_TERM), 1).alias("words"))
+    mean = F.lit(average) if average is not None else F.greatest(docs.agg(F.avg(F.regexp_count(text, F.lit(_TERM)))).scalar(), F.lit(1e-9))
+    if only is not None:
+        asked = F.filter("words", lambda w: w.isin(*only)) if only else F.array().cast("array<string>")
+        found = words.select(key, F.size("words").alias("n"), asked.alias("asked")).where(F.size("asked") > 0)
+        tf = found.select(key, "n", "asked", F.explode(F.array_distinct("asked")).alias("term")).select(key, "n", "term", F.size(F.filter("asked", lambda w: w == F.col("term"))).alias("tf"))
+    else:
+        tf = words.select(key, F.size("words").alias("n"), F.explode("words").alias("term")).groupBy(key, "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / mean))
     return tf.select(key, "term", weight.alias("weight"))
 
@@ -112,6 +125,13 @@ def rrf_merge(legs: Sequence[DataFrame], limit: int, key: str = "id", k: int = R
     return fused.orderBy(F.desc("score"), "first.leg", "first.rank").limit(limit).select(key, "score", F.col("first.leg").alias("first_leg"), F.col("first.rank").alias("first_rank"))
 
 
+def merged_search(code: DataFrame, notes: DataFrame | None, limit: int, key: str = "id") -> DataFrame:
+    """Two ranked lists (``key, score``) of bounded length fused once more; without notes the code alone, with its own scores."""
+    if notes is None or notes.isEmpty():
+        return code.select(key, "score").orderBy(F.desc("score"), key).limit(limit)
+    return rrf_merge([code, notes], limit, key).select(key, "score")
+
+
 def hybrid_search(points: DataFrame, weights: DataFrame, query: Sequence[float], terms: DataFrame, limit: int, conditions: Sequence[Column] = (), key: str = "id", vector: str = "dense") -> DataFrame:
     """Both legs over the filtered points, ``PREFETCH`` of each, fused."""
     chosen = apply_filter(points, conditions)

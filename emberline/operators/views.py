@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import SEVERITIES
+from ..sources.shared import cut
 
 RING = 250
 
@@ -47,14 +48,23 @@ def correlation_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.coalesce("step_idx", F.lit(2147483647)), "event_order")
 
 
+#: Bits of ``monotonically_increasing_id`` that count rows inside a partition.
+_ROW_BITS = 33
+
+
 def response_ids(responses: DataFrame, order: list[str]) -> DataFrame:
-    """Ids 0, 1, 2 … in emission order, by range partitions and their sizes instead of one task."""
-    spread = responses.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    sizes = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    """Ids 0, 1, 2 … in emission order: a range sort, written once, then each partition's rows moved by the sizes before it.
+
+    The sorted rows are a checkpoint, so sizes and rows speak of the same partitions; no row meets another again.
+    """
+    spread = responses.repartitionByRange(*order).sortWithinPartitions(*order)
+    spread = cut(spread.withColumn("_at", F.monotonically_increasing_id()))
+    part, nth = F.shiftright("_at", _ROW_BITS), F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    # One row a partition: the window and the broadcast are as small as that.
+    sizes = spread.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_part").orderBy(*order)
-    return spread.join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + F.row_number().over(within) - 1).drop("_part", "_start")
+    return spread.withColumn("_part", part).join(F.broadcast(starts), "_part", "left").withColumn("id", F.col("_start") + nth).drop("_part", "_start", "_at")
 
 
 def enabled_hooks(hooks: DataFrame) -> DataFrame:

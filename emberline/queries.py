@@ -19,6 +19,7 @@ from .operators.sequence import correlate, prepared, run_exact, utc_micros
 from .plans.catalog import FieldCatalog, bench_catalog, document_catalog
 from .plans.rules import RuleSnapshot, compile_rules
 from .sources.events import hook_table
+from .sources.shared import checkpoint_dir
 from .streaming.matching import stream_matches, stream_sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -535,12 +536,7 @@ def ui_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(out: DataFrame) -> DataFrame:
     """What a stream gives for the input that is there, by a file sink in the shared folder."""
     spark = out.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberline-"))
-    base = f"{sc._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
@@ -668,7 +664,7 @@ _SPARSE = f"SELECT doc_id, sum(weight) AS score FROM weights WHERE term IN {_TER
 
 
 def sparse(spark: SparkSession, sf_dir: str, k: int = 40) -> DataFrame:
-    weights = retrieval.term_weights(table(spark, sf_dir, "documents"), "doc_id")
+    weights = retrieval.term_weights(table(spark, sf_dir, "documents"), "doc_id", only=_TERMS)
     return retrieval.sparse_topk(weights, retrieval.query_terms(spark, " ".join(_TERMS)), k, "doc_id")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -46,13 +47,29 @@ def save_state(state: DataFrame, path: str) -> None:
 
 
 def load_state(spark: SparkSession, path: str, schema: str = "path string, hash string") -> DataFrame:
-    """The saved state, empty if there is none or it cannot be read."""
+    """The saved state; empty if there is none or its files are not Parquet. Other errors are raised."""
     try:
         df = spark.read.schema(schema).parquet(path)
         df.limit(1).count()
         return df
-    except Exception:
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    except Exception as e:
+        if "is not a Parquet file" not in str(e) and "CANNOT_READ_FILE_FOOTER" not in str(e):
+            raise
+    return spark.createDataFrame([], schema)
+
+
+def note_rows(texts: DataFrame, text_col: str = "text", metadata_col: str | None = None) -> DataFrame:
+    """Rows of a notes collection, each with a random id: the same text twice is two notes."""
+    metadata = F.col(metadata_col) if metadata_col else F.lit(None).cast("string")
+    return texts.select(F.replace(F.uuid(), F.lit("-"), F.lit("")).alias("id"), F.lit("mcp_stored").alias("type"), F.col(text_col).alias("document"), metadata.alias("metadata"))
+
+
+def insert_notes(notes: DataFrame, path: str) -> None:
+    """Appends notes; their ids are drawn once, when they are written."""
+    notes.write.mode("append").parquet(path)
 
 
 def ensure_table(spark: SparkSession, name: str, schema: str, recreate: bool = False) -> None:
