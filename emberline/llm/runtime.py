@@ -3,22 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only where none is set (tests)."""
-    sc = spark.sparkContext
-    jsc = sc._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get()
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberline-checkpoint-"))
-    return jsc.getCheckpointDir().get()
+from ..sources.shared import checkpoint_dir
 
 
 _KEPT: dict[object, object] = {}
@@ -65,7 +55,7 @@ def cut(df: DataFrame) -> DataFrame:
     context cleaner removes them once the DataFrame is out of use (if the session asks for it).
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
     del df
     release(spark)
@@ -75,7 +65,7 @@ def cut(df: DataFrame) -> DataFrame:
 def cut_table(df: DataFrame) -> DataFrame:
     """The same as a Parquet table in the shared folder: smaller, and read by column. It stays there."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
     release(spark)
