@@ -97,29 +97,36 @@ def stale(previous: DataFrame, current: DataFrame, key: str = "pattern_id") -> D
     return previous.join(current.select(key), key, "left_anti")
 
 
+# Name, pattern in code, pattern in documents, reason, tags, scopes. {root} stands for the folder of the
+# workspace's source tree, {ROOT} for its name in capitals.
+BUILT_IN = (
+    ("Determinism via BTreeMap", r"\bBTreeMap\s*<", r"\bdeterminism\b|\bBTreeMap\b", "Deterministic iteration/serialization for auditability.", ("determinism", "collections"), ("{root}/crucibles", "{root}/kernel", "{root}/runtime")),
+    ("no_std imports", r"\buse\s+(alloc|core)::", r"\bno_std\b|\balloc\b|\bcore\b", "no_std compatibility for kernel/runtime crates.", ("no_std",), ("{root}/crucibles", "{root}/runtime", "{root}/kernel")),
+    ("Feature gate std", r"#\s*\[\s*cfg\(feature\s*=\s*\"std\"\)\s*]", r"\bfeature gate\b|\bcfg\(feature *= *\"std\"", "Conditional compilation boundary for std-only code.", ("feature-gate",), ("{root}/crucibles", "{root}/runtime")),
+    ("Spin mutex", r"\bspin::Mutex\b", r"\bspin::Mutex\b|\bthread safety\b", "Spinlock for no_std synchronization.", ("sync", "no_std"), ("{root}/crucibles", "{root}/runtime", "{root}/kernel")),
+    ("Schema versioning", r"\bschema_version\b", r"\bschema version\b", "Forward/backward compatibility contract.", ("versioning",), ("{root}/crucibles", "{root}/runtime", "{root}/kernel")),
+    ("Domain separation", r"Temper\.[A-Za-z0-9_.-]+", r"\bdomain separation\b|Temper\.", "Prevents cross-protocol key reuse.", ("crypto", "domain-separation"), ("{root}/runtime/temper",)),
+    ("Content-addressed IDs (BLA3)", r"\bBLAKE3\b|\bObjectId\b", r"\bcontent-addressed\b|\bBLAKE3\b", "Deterministic IDs for integrity/audit.", ("integrity",), ("{root}/kernel/ledgerfs", "{root}/crucibles/fs-cbl")),
+    ("Setup/Exec/Check test structure", r"Setup:?|Exec:?|Check:?", r"\bSetup/Exec/Check\b|\btest structure\b", "Consistent test documentation and flow.", ("testing",), ("tests", "{root}")),
+    ("Capability gates", r"\bAUDIT_CBL_CAP\b|\bCapabilityId\b", r"\bcapability\b|\bAUDIT_CBL_CAP\b", "Least-privilege capability enforcement.", ("capability", "security"), ("{root}/crucibles", "{root}/kernel/forge")),
+    ("Batch IPC op codes", r"\bBatch[A-Za-z]+|IPC\b", r"\bIPC\b|\bbatch ops\b", "Deterministic IPC batching patterns.", ("ipc", "performance"), ("{root}/crucibles/fs-cbl",)),
+    ("Boot phase breadcrumbs", r'console_write\(b"(INIT:[A-Z_]+)', r"INIT:START|INIT:TLS_OK|INIT:HEAP_OK|INIT:MANIFEST|INIT:ENGINE_RUN", "Boot sequence progress markers — if missing from serial, boot halted before this point.", ("boot", "debug", "serial"), ("{root}/kernel/forge-init", "{root}/kernel/forge-boot")),
+    ("LedgerFS on-disk layout", r"SUPERBLOCK_MAGIC|PART_TYPE_{ROOT}_LFS|0xC0|SECTORS_PER_BLOCK|BLOCK_SIZE", r"LedgerFS|superblock|partition.*0xC0|block.*4096", "LedgerFS disk format constants — needed for partition probing and superblock verification.", ("ledgerfs", "boot", "disk"), ("{root}/kernel/forge-boot", "{root}/kernel/ledgerfs", "{root}/kernel/forge-builder")),
+    ("Service lifecycle states", r"ServiceStatus::(Idle|Starting|Running|Failed|Crashed|Unavailable)", r"service.*lifecycle|Idle.*Starting.*Running|forge-rc.*supervisor", "Service state machine transitions — diagnose why services aren't reaching Running.", ("services", "forge-rc", "lifecycle"), ("{root}/kernel/forge-rc", "{root}/kernel/forge-init")),
+    ("Kernel syscall interface", r"(?:process_create|process_yield|ipc_recv|ipc_send|console_write|file_open)\s*\(", r"syscall|ProcessCreate|IpcRecv|process_create", "Userspace → kernel syscall boundary.", ("syscall", "kernel", "ipc"), ("{root}/kernel",)),
+    ("ATA PIO disk I/O", r"ata_pio_read|ata_pio_write|port::inb|port::outb.*0x1F", r"ATA.*PIO|sector.*read|disk.*I/O", "Raw disk I/O — the only way the kernel reads LedgerFS before drivers are loaded.", ("disk", "ata", "boot", "hardware"), ("{root}/kernel/forge-boot", "{root}/kernel/forge-drivers")),
+    ("MBR partition table", r"MBR_PARTITION_TABLE_OFFSET|0x55AA|partition.*entry|PART_TYPE", r"MBR|partition.*table|boot.*signature", "MBR parsing — if partition probing fails, boot halts.", ("boot", "mbr", "partition"), ("{root}/kernel/forge-boot", "{root}/kernel/forge-builder")),
+    ("ELF loading and process creation", r"process_create\(|elf.*parse|elf.*load|\.elf\b", r"ELF.*binary|process.*create|spawn.*service", "How service binaries are loaded from disk into new processes.", ("elf", "process", "spawn"), ("{root}/kernel/forge-init", "{root}/kernel/forge-rc", "{root}/kernel/forge-boot")),
+    ("Serial port debug output", r"SerialPort::new|serial_panic|sp\.init\(\)|writeln!\(sp", r"serial.*port|0x3F8|serial.*panic|serial.*debug", "Serial output is the primary debug channel.", ("debug", "serial", "boot"), ("{root}/kernel/forge-boot", "{root}/kernel/forge-init")),
+    ("Forge-rc service manifest and boot order", r"boot_order|build_manifest|register_from_rcf|set_spawner|ServiceEngine", r"manifest|boot.*order|service.*engine|forge-rc", "How services are registered and ordered for boot.", ("services", "manifest", "boot-order"), ("{root}/kernel/forge-rc", "{root}/kernel/forge-init")),
+    ("Cryptographic verification (ML-DSA / SLH-DSA / BLAKE3)", r"mldsa|slhdsa|ML-DSA|SLH-DSA|verify_root_seal|verify_signature|blake3::hash", r"ML-DSA|SLH-DSA|root.*seal|signature.*verification|post-quantum", "Cryptographic verification in the boot chain. Failure = halt (fail-closed).", ("crypto", "verification", "boot", "pqc"), ("{root}/kernel/forge-boot", "{root}/runtime/temper", "{root}/crypto")),
+)
+
+
 def built_in(root: str) -> list[PatternSpec]:
-    """The built-in table for a workspace whose source tree is the folder ``root``. Fixed values."""
-    crucibles, kernel, runtime, crypto = (f"{root}/{d}" for d in ("crucibles", "kernel", "runtime", "crypto"))
-    k = lambda *names: tuple(f"{kernel}/{n}" for n in names)
-    return [
-        PatternSpec("Determinism via BTreeMap", r"\bBTreeMap\s*<", r"\bdeterminism\b|\bBTreeMap\b", "Deterministic iteration/serialization for auditability.", ("determinism", "collections"), (crucibles, kernel, runtime)),
-        PatternSpec("no_std imports", r"\buse\s+(alloc|core)::", r"\bno_std\b|\balloc\b|\bcore\b", "no_std compatibility for kernel/runtime crates.", ("no_std",), (crucibles, runtime, kernel)),
-        PatternSpec("Feature gate std", r"#\s*\[\s*cfg\(feature\s*=\s*\"std\"\)\s*]", r"\bfeature gate\b|\bcfg\(feature *= *\"std\"", "Conditional compilation boundary for std-only code.", ("feature-gate",), (crucibles, runtime)),
-        PatternSpec("Spin mutex", r"\bspin::Mutex\b", r"\bspin::Mutex\b|\bthread safety\b", "Spinlock for no_std synchronization.", ("sync", "no_std"), (crucibles, runtime, kernel)),
-        PatternSpec("Schema versioning", r"\bschema_version\b", r"\bschema version\b", "Forward/backward compatibility contract.", ("versioning",), (crucibles, runtime, kernel)),
-        PatternSpec("Domain separation", r"Temper\.[A-Za-z0-9_.-]+", r"\bdomain separation\b|Temper\.", "Prevents cross-protocol key reuse.", ("crypto", "domain-separation"), (f"{runtime}/temper",)),
-        PatternSpec("Content-addressed IDs (BLA3)", r"\bBLAKE3\b|\bObjectId\b", r"\bcontent-addressed\b|\bBLAKE3\b", "Deterministic IDs for integrity/audit.", ("integrity",), (f"{kernel}/ledgerfs", f"{crucibles}/fs-cbl")),
-        PatternSpec("Setup/Exec/Check test structure", r"Setup:?|Exec:?|Check:?", r"\bSetup/Exec/Check\b|\btest structure\b", "Consistent test documentation and flow.", ("testing",), ("tests", root)),
-        PatternSpec("Capability gates", r"\bAUDIT_CBL_CAP\b|\bCapabilityId\b", r"\bcapability\b|\bAUDIT_CBL_CAP\b", "Least-privilege capability enforcement.", ("capability", "security"), (crucibles, f"{kernel}/forge")),
-        PatternSpec("Batch IPC op codes", r"\bBatch[A-Za-z]+|IPC\b", r"\bIPC\b|\bbatch ops\b", "Deterministic IPC batching patterns.", ("ipc", "performance"), (f"{crucibles}/fs-cbl",)),
-        PatternSpec("Boot phase breadcrumbs", r'console_write\(b"(INIT:[A-Z_]+)', r"INIT:START|INIT:TLS_OK|INIT:HEAP_OK|INIT:MANIFEST|INIT:ENGINE_RUN", "Boot sequence progress markers — if missing from serial, boot halted before this point.", ("boot", "debug", "serial"), k("forge-init", "forge-boot")),
-        PatternSpec("LedgerFS on-disk layout", rf"SUPERBLOCK_MAGIC|PART_TYPE_{root.upper()}_LFS|0xC0|SECTORS_PER_BLOCK|BLOCK_SIZE", r"LedgerFS|superblock|partition.*0xC0|block.*4096", "LedgerFS disk format constants — needed for partition probing and superblock verification.", ("ledgerfs", "boot", "disk"), k("forge-boot", "ledgerfs", "forge-builder")),
-        PatternSpec("Service lifecycle states", r"ServiceStatus::(Idle|Starting|Running|Failed|Crashed|Unavailable)", r"service.*lifecycle|Idle.*Starting.*Running|forge-rc.*supervisor", "Service state machine transitions — diagnose why services aren't reaching Running.", ("services", "forge-rc", "lifecycle"), k("forge-rc", "forge-init")),
-        PatternSpec("Kernel syscall interface", r"(?:process_create|process_yield|ipc_recv|ipc_send|console_write|file_open)\s*\(", r"syscall|ProcessCreate|IpcRecv|process_create", "Userspace → kernel syscall boundary.", ("syscall", "kernel", "ipc"), (kernel,)),
-        PatternSpec("ATA PIO disk I/O", r"ata_pio_read|ata_pio_write|port::inb|port::outb.*0x1F", r"ATA.*PIO|sector.*read|disk.*I/O", "Raw disk I/O — the only way the kernel reads LedgerFS before drivers are loaded.", ("disk", "ata", "boot", "hardware"), k("forge-boot", "forge-drivers")),
-        PatternSpec("MBR partition table", r"MBR_PARTITION_TABLE_OFFSET|0x55AA|partition.*entry|PART_TYPE", r"MBR|partition.*table|boot.*signature", "MBR parsing — if partition probing fails, boot halts.", ("boot", "mbr", "partition"), k("forge-boot", "forge-builder")),
-        PatternSpec("ELF loading and process creation", r"process_create\(|elf.*parse|elf.*load|\.elf\b", r"ELF.*binary|process.*create|spawn.*service", "How service binaries are loaded from disk into new processes.", ("elf", "process", "spawn"), k("forge-init", "forge-rc", "forge-boot")),
-        PatternSpec("Serial port debug output", r"SerialPort::new|serial_panic|sp\.init\(\)|writeln!\(sp", r"serial.*port|0x3F8|serial.*panic|serial.*debug", "Serial output is the primary debug channel.", ("debug", "serial", "boot"), k("forge-boot", "forge-init")),
-        PatternSpec("Forge-rc service manifest and boot order", r"boot_order|build_manifest|register_from_rcf|set_spawner|ServiceEngine", r"manifest|boot.*order|service.*engine|forge-rc", "How services are registered and ordered for boot.", ("services", "manifest", "boot-order"), k("forge-rc", "forge-init")),
-        PatternSpec("Cryptographic verification (ML-DSA / SLH-DSA / BLAKE3)", r"mldsa|slhdsa|ML-DSA|SLH-DSA|verify_root_seal|verify_signature|blake3::hash", r"ML-DSA|SLH-DSA|root.*seal|signature.*verification|post-quantum", "Cryptographic verification in the boot chain. Failure = halt (fail-closed).", ("crypto", "verification", "boot", "pqc"), (f"{kernel}/forge-boot", f"{runtime}/temper", crypto)),
-    ]
+    """The built-in table for a workspace whose source tree is the folder ``root``."""
+
+    def put(text: str) -> str:
+        return text.replace("{root}", root).replace("{ROOT}", root.upper())
+
+    return [PatternSpec(name, put(code), put(docs), reason, tags, tuple(put(s) for s in scopes)) for name, code, docs, reason, tags, scopes in BUILT_IN]

@@ -770,3 +770,6 @@ def trace_callees_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_callers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = whole_call_points(spark, sf_dir)
     return trace.reachable_points(points, searched(points), 3, callers=True)
+
+
+from . import source_queries  # noqa: E402,F401  (registers its queries)
