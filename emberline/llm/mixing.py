@@ -5,10 +5,14 @@ is cut into blocks. The target weights are shares of a frame of ``frame`` slots,
 Block k of a source with share a is released at slot ``floor(k * frame / a)`` and due by slot
 ``ceil((k + 1) * frame / a)``; each slot goes to the released block with the earliest deadline.
 Shares fill the frame exactly, so every deadline is met and after any number of slots no source
-is a whole block away from its target. The schedule repeats from frame to frame, so it is made
+is a whole block away from its share. The schedule repeats from frame to frame, so it is made
 once for a frame, from the weights alone, and rows find their slot by division: nothing is
 simulated over the data.
 
+Sources beyond ``max_sources`` are dealt into groups by a digest of their names. A group's blocks
+are scheduled among its sources, and the groups among each other, by the same rule; a source of
+share w in a group of share W then is less than 1 + w / W blocks away.
+
 A document's place in its source is a prefix sum in two steps (digest buckets, then rows within
 a bucket), so a source that holds most rows is spread over as many tasks as any other data.
 A source that runs out leaves its slots empty; the others keep their proportions, and no
@@ -17,43 +21,37 @@ document is dropped.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def shares(sizes: DataFrame, frame: int, alpha: float, max_sources: int) -> DataFrame:
-    """One row, ``entries``: array of (source, share), shares adding up to ``frame``.
+def shares(weights: DataFrame, frame: int) -> DataFrame:
+    """``grp, entries``: arrays of (source, share), the shares of a group adding up to ``frame``.
 
-    Weights are ``size ** alpha``. Each source has one slot; the others are dealt by largest
-    remainder (ties by name). Fails beyond ``max_sources`` sources, which bounds the row.
+    ``weights``: ``grp, source, w``. A source has what its weight makes of the frame, rounded by
+    largest remainder (ties by name), but one slot at least; the slots for that come from the
+    others, in proportion to what they have beyond one.
     """
-    one = sizes.agg(F.array_sort(F.collect_list(F.struct("source", F.pow(F.greatest(F.col("size"), F.lit(1)).cast("double"), F.lit(alpha)).alias("w")))).alias("e"))
-    one = one.where(F.size("e") > 0).withColumn(
-        "e", F.when(F.size("e") <= min(frame, max_sources), F.col("e")).otherwise(F.raise_error(F.lit(f"more than {min(frame, max_sources)} sources: raise frame and max_sources")))
-    )
+    one = weights.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("source", "w"))).alias("e"))
     one = one.withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x["w"]))
-    quota = one.select(
-        F.transform(
-            "e",
-            lambda x: F.struct(
-                x["source"].alias("source"),
-                F.floor((F.lit(frame) - F.size("e")) * x["w"] / F.col("total")).cast("int").alias("whole"),
-                ((F.lit(frame) - F.size("e")) * x["w"] / F.col("total")).alias("exact"),
-            ),
-        ).alias("q")
-    )
+    beyond = F.transform("e", lambda x: F.struct(x["source"].alias("source"), F.greatest(F.lit(frame) * x["w"] / F.col("total") - 1, F.lit(0.0)).alias("b")))
+    one = one.select("grp", beyond.alias("e")).withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x["b"]))
+    exact = lambda x: F.when(F.col("total") > 0, (F.lit(frame) - F.size("e")) * x["b"] / F.col("total")).otherwise(F.lit(0.0))
+    quota = one.select("grp", F.transform("e", lambda x: F.struct(x["source"].alias("source"), F.floor(exact(x)).cast("int").alias("whole"), exact(x).alias("exact"))).alias("q"))
     left = F.lit(frame) - F.size("q") - F.aggregate("q", F.lit(0), lambda a, x: a + x["whole"])
     ranked = quota.withColumn("left", left).withColumn("by_rest", F.array_sort(F.transform("q", lambda x: F.struct((x["whole"] - x["exact"]).alias("rest"), x["source"].alias("source")))))
     extra = F.transform(F.slice("by_rest", F.lit(1), F.greatest(F.col("left"), F.lit(0))), lambda x: x["source"])
     return ranked.withColumn("extra", extra).select(
-        F.transform("q", lambda x: F.struct(x["source"].alias("source"), (x["whole"] + 1 + F.array_contains("extra", x["source"]).cast("int")).alias("share"))).alias("entries")
+        "grp", F.transform("q", lambda x: F.struct(x["source"].alias("source"), (x["whole"] + 1 + F.array_contains("extra", x["source"]).cast("int")).alias("share"))).alias("entries")
     )
 
 
 def frame_schedule(entries: DataFrame, frame: int) -> DataFrame:
-    """``source, share, nth, frame_slot``: the slot in a frame of each source's nth block there.
+    """``grp, source, share, nth, frame_slot``: the slot in a frame of each source's nth block there.
 
-    Earliest deadline first, as a fold over the slots of one frame; at most ``frame`` rows.
+    Earliest deadline first, as a fold over the slots of one frame; ``frame`` rows a group.
     """
 
     def step(acc: Column, t: Column) -> Column:
@@ -76,8 +74,22 @@ def frame_schedule(entries: DataFrame, frame: int) -> DataFrame:
         )
 
     start = F.struct(F.transform("entries", lambda e: F.lit(0)).alias("done"), F.array().cast("array<struct<i:int,nth:int,slot:int>>").alias("picks"))
-    picks = entries.select("entries", F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(frame - 1)), start, step, lambda acc: acc["picks"])).alias("p"))
-    return picks.select(F.get("entries", F.col("p.i"))["source"].alias("source"), F.get("entries", F.col("p.i"))["share"].alias("share"), F.col("p.nth").alias("nth"), F.col("p.slot").alias("frame_slot"))
+    picks = entries.select("grp", "entries", F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(frame - 1)), start, step, lambda acc: acc["picks"])).alias("p"))
+    return picks.select("grp", F.get("entries", F.col("p.i"))["source"].alias("source"), F.get("entries", F.col("p.i"))["share"].alias("share"), F.col("p.nth").alias("nth"), F.col("p.slot").alias("frame_slot"))
+
+
+def _by_source(weights: DataFrame, frame: int) -> DataFrame:
+    """``grp, source, share, slots``: a source's share and the frame slots of its blocks, in order."""
+    schedule = frame_schedule(shares(weights, frame), frame)
+    slots = F.transform(F.array_sort(F.collect_list(F.struct("nth", "frame_slot"))), lambda x: x["frame_slot"])
+    return schedule.groupBy("grp", "source").agg(F.first("share").alias("share"), slots.alias("slots"))
+
+
+def _windows(block: Column, share: Column, slots: Column, frame: int) -> tuple[Column, Column, Column]:
+    """(release, deadline, slot) of a source's ``block``."""
+    frame_no, nth = F.floor(block / share), F.pmod(block, share)
+    first = frame_no * frame
+    return first + F.floor(nth * frame / share), first + F.ceil((nth + 1) * frame / share), first + F.get(slots, nth.cast("int"))
 
 
 def mix_sources(
@@ -87,6 +99,8 @@ def mix_sources(
     text_col: str = "text",
     block_chars: int = 1 << 16,
     frame: int = 1000,
+    weights: Mapping[str, float] | None = None,
+    other: float = 1.0,
     alpha: float = 0.5,
     max_sources: int = 1000,
     keep: tuple[str, ...] = (),
@@ -95,9 +109,13 @@ def mix_sources(
     """One row per row of ``docs``: id, source, its block, the block's window and slot, its place there.
 
     Columns: ``doc_id, source, n_chars, block, block_offset, release, deadline, slot`` and the columns
-    named in ``keep`` (in a struct ``kept_columns`` if ``as_struct``); ``(slot, block_offset, doc_id)`` is the mixed order. A block is
-    ``block_chars`` characters of a source; a document is in the block in which it starts.
-    Defined cases: a null source is the source "" and a null text has no characters; a null id
+    named in ``keep`` (in a struct ``kept_columns`` if ``as_struct``); ``(slot, block_offset, doc_id)`` is the mixed order.
+    ``weights``: the target weight of each source, in any unit; one that is not named has the weight
+    ``other``. Without it a source's weight is its characters to the power ``alpha``. A block is
+    ``block_chars`` characters of a source; a document is in the block in which it starts, so what
+    slots up to any one hold of a source is away from its target by less than a block and its
+    longest document. Defined cases: a weight that is not above 0 counts as the smallest that is
+    (1 if none is); a null source is the source "" and a null text has no characters; a null id
     is placed as the id ""; repeated rows each get a row (rows alike in all but ``keep`` share
     nothing, their order is that of their sizes); an empty table gives no rows; other columns,
     whatever their names, are ignored.
@@ -117,21 +135,45 @@ def mix_sources(
     in_bucket = Window.partitionBy("source", "bucket").orderBy("digest", "doc_id", "n_chars").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("bucket_start") + F.coalesce(F.sum("n_chars").over(in_bucket), F.lit(0))
     placed = rows.join(starts, ["source", "bucket"]).withColumn("at", at)
-    schedule = frame_schedule(shares(sizes.groupBy("source").agg(F.sum("chars").alias("size")), frame, alpha, max_sources), frame)
-    by_source = schedule.groupBy("source").agg(F.first("share").alias("share"), F.array_sort(F.collect_list(F.struct("nth", "frame_slot"))).alias("slots"))
-    # At most max_sources rows with frame entries in all, whatever the data: the bound for the broadcast.
-    mixed = placed.join(F.broadcast(by_source), "source")
+
+    by_size = F.pow(F.greatest(F.col("size"), F.lit(1)).cast("double"), F.lit(alpha))
+    target = by_size if weights is None else _target(weights, other)
+    targets = sizes.groupBy("source").agg(F.sum("chars").alias("size")).select("source", target.alias("w"))
+    n_sources = rows.select("source").distinct().count()
+    groups = 1 if n_sources <= max_sources else -(-2 * n_sources // max_sources)
+    grouped = targets.withColumn("grp", F.pmod(F.xxhash64("source"), F.lit(groups)).cast("int") if groups > 1 else F.lit(0))
+    if groups > 1:
+        # A digest deals them unevenly: the frame has two slots for each source of the largest group.
+        frame = max(frame, 2 * groups, 2 * grouped.groupBy("grp").count().agg(F.max("count")).first()[0])
+    inner = max(frame, n_sources) if groups == 1 else frame
+    by_source = _by_source(grouped, inner)
+    # One group has at most max_sources rows with frame slots in all, whatever the data: the bound for the broadcast.
+    mixed = placed.join(F.broadcast(by_source) if groups == 1 else by_source, "source")
     block = F.floor(F.col("at") / F.lit(block_chars))
-    frame_no, nth = F.floor(block / F.col("share")), F.pmod(block, F.col("share"))
+    release, deadline, slot = _windows(block, F.col("share"), F.col("slots"), inner)
+    if groups > 1:
+        of_groups = _by_source(grouped.groupBy(F.col("grp").alias("source")).agg(F.sum("w").alias("w")).withColumn("grp", F.lit(0)), frame)
+        mixed = mixed.join(of_groups.select(F.col("source").alias("grp"), F.col("share").alias("g_share"), F.col("slots").alias("g_slots")), "grp")
+        through = lambda b: _windows(b, F.col("g_share"), F.col("g_slots"), frame)
+        release, deadline, slot = through(release)[0], through(deadline - 1)[1], through(slot)[2]
     out = mixed.select(
         "doc_id",
         "source",
         "n_chars",
         block.alias("block"),
         (F.col("at") - block * block_chars).alias("block_offset"),
-        (frame_no * frame + F.floor(nth * frame / F.col("share"))).alias("release"),
-        (frame_no * frame + F.ceil((nth + 1) * frame / F.col("share"))).alias("deadline"),
-        (frame_no * frame + F.get(F.col("slots"), nth.cast("int"))["frame_slot"]).alias("slot"),
+        release.alias("release"),
+        deadline.alias("deadline"),
+        slot.alias("slot"),
         *(["kept_columns"] if keep else []),
     )
     return out.select("doc_id", "source", "n_chars", "block", "block_offset", "release", "deadline", "slot", "kept_columns.*") if keep and not as_struct else out
+
+
+def _target(weights: Mapping[str, float], other: float) -> Column:
+    """The weight of ``source``; the map is the caller's own list, one literal for all."""
+    named = {s: float(w) for s, w in weights.items()}
+    least = min([w for w in (*named.values(), float(other)) if w > 0], default=1.0)
+    table = F.create_map(*[F.lit(x) for s, w in named.items() for x in (s, w if w > 0 else least)]) if named else None
+    rest = F.lit(float(other) if other > 0 else least)
+    return rest if table is None else F.coalesce(F.try_element_at(table, F.col("source")), rest)

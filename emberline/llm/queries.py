@@ -107,8 +107,10 @@ WITH RECURSIVE base AS (
   SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY digest, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at_char FROM base
 ), weights AS (
   SELECT source, sqrt(greatest(sum(n_chars), 1)::DOUBLE) AS w FROM base GROUP BY source
+), beyond AS (
+  SELECT source, greatest(1000 * w / (SELECT sum(w ORDER BY source) FROM weights) - 1, 0) AS b FROM weights
 ), quotas AS (
-  SELECT source, (1000 - (SELECT count(*) FROM weights)) * w / (SELECT sum(w) FROM weights) AS exact FROM weights
+  SELECT source, (1000 - (SELECT count(*) FROM weights)) * b / (SELECT sum(b ORDER BY source) FROM beyond) AS exact FROM beyond
 ), shares AS (
   SELECT source, 1 + floor(exact)::INT + CASE WHEN row_number() OVER (ORDER BY floor(exact) - exact, source)
     <= 1000 - (SELECT count(*) + sum(floor(exact))::INT FROM quotas) THEN 1 ELSE 0 END AS share FROM quotas

@@ -1,5 +1,7 @@
 """Mixing, url filter, exact and line deduplication against SQL on odd tables."""
 
+import random
+
 import pytest
 from odd import ODD, TWICE, frame, got_rows, sql_rows
 
@@ -79,8 +81,40 @@ def test_mix_odd_rows(spark, empty):
     assert mix_sources(empty).count() == 0
     out = mix_sources(frame(spark, [*ODD, *TWICE]), keep=("lang", "kept"))
     assert out.count() == len(ODD) + 2 and out.columns[-2:] == ["lang", "kept"]
-    with pytest.raises(Exception, match="sources"):
-        mix_sources(frame(spark, ODD), max_sources=1).collect()
+    assert mix_sources(frame(spark, ODD), max_sources=1).count() == len(ODD)
+
+
+@pytest.mark.parametrize("weights", [{"s0": 6, "s1": 3, "s2": 1}, {"s0": 1, "s1": 0.05, "s2": 0}])
+def test_mix_target_weights_in_characters(spark, weights):
+    rnd = random.Random(4)
+    data = [(i, "x" * rnd.randint(0, 250), "en", f"s{i % 3}") for i in range(3000)]
+    block = 100
+    out = mix_sources(frame(spark, data), block_chars=block, frame=40, weights=weights).collect()
+    total = {s: sum(r["n_chars"] for r in out if r["source"] == s) for s in weights}
+    share = {s: len({r["slot"] for r in out if r["source"] == s and r["slot"] < 40 * 5}) / 200 for s in weights}
+    if min(weights.values()) > 0:
+        want = {s: w / sum(weights.values()) for s, w in weights.items()}
+    else:
+        want = {"s0": 36 / 40, "s1": 2 / 40, "s2": 2 / 40}  # 0 counts as the smallest weight
+    ends = {s: total[s] / block / want[s] for s in want}
+    chars, last = dict.fromkeys(want, 0), min(ends.values()) - 3
+    by_slot = {}
+    for r in out:
+        by_slot.setdefault(r["slot"], []).append(r)
+    for t in range(int(last)):
+        for r in by_slot.get(t, []):
+            chars[r["source"]] += r["n_chars"]
+        assert all(abs(chars[s] - (t + 1) * block * want[s]) < block + 250 for s in want), (t, chars)
+    assert len(out) == len(data) and share
+
+
+def test_mix_many_sources_in_groups(spark):
+    data = [(i, "x" * 10, "en", f"s{i % 97}") for i in range(97 * 60)]
+    out = mix_sources(frame(spark, data), block_chars=10, frame=50, weights={"s0": 20.0}, max_sources=20).collect()
+    assert len(out) == len(data) and len({r["slot"] for r in out}) == len(out)
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+    first = [r["source"] for r in sorted(out, key=lambda r: r["slot"]) if r["slot"] < 200]
+    assert 0.5 * 20 / 116 < first.count("s0") / 200 < 1.5 * 20 / 116 and len(set(first)) > 60
 
 
 URLS = [
