@@ -332,6 +332,12 @@ def _remove(length: int, with_text: bool):
     return run
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, part, text``: rows that repeat an id are told apart by a digest of their texts."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.pmod(F.crc32(text), F.lit(1 << 16)).cast("int").alias("part"), text.alias("text"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, group_rows: int = 50_000, with_text: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept_bytes``).
 
@@ -342,8 +348,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.pmod(F.crc32(text), F.lit(1 << 16)).cast("int").alias("part"), text.alias("text"))
+    base = keyed(docs, id_col, text_col)
     key_types = "doc_id long, part int"
     order = ["rank", "class", *KEY, "pos"]
     ranked = base.mapInArrow(_anchor_rows(length, gram), f"rank long, class long, {key_types}, pos long")

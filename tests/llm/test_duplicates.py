@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm.components import connected_components
 from emberline.llm.near_dedup import near_duplicates
+from emberline.llm.prefix_doubling import remove_repeats_by_doubling
 from emberline.llm.suffix_dedup import remove_repeats, removed_runs
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -148,6 +149,17 @@ def test_removal_same_as_plain(spark, group_rows, partitions):
     assert removal(df, group_rows=group_rows) == plain_removal(data)
 
 
+@pytest.mark.parametrize("length, start", [(100, 16), (100, 100), (37, 5)])
+def test_plain_doubling_same_as_plain(spark, length, start):
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("ab cd") for _ in range(n))
+    passages = [text(rnd.randint(60, 200)) for _ in range(6)]
+    data = [(i, "".join(rnd.choice([rnd.choice(passages), text(rnd.randint(0, 90)), "xy" * rnd.randint(0, 60), "é" * rnd.randint(0, 60)]) for _ in range(rnd.randint(0, 5)))) for i in range(40)] + [(40, None), (41, "")]
+    df = frame(spark, [(d, t, "en", "a") for d, t in data])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats_by_doubling(df, length=length, start=start).collect()}
+    assert got == plain_removal(data, length)
+
+
 def test_removal_odd_rows(spark, empty):
     assert remove_repeats(empty).count() == 0
     out = remove_repeats(frame(spark, [*ODD, *TWICE]), with_text=True).collect()
