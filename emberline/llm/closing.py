@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import cut
+from .runtime import cut_table
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -77,7 +77,7 @@ def _dealt(rows: DataFrame, places: Column, payload: list[str], kernel: Kernel)
     """Links in ``rows``, whose groups are dealt to the chunks ``places``."""
     task = F.xxhash64("grp", "chunk").alias("task")
     dealt = rows.withColumn("chunk", F.explode(places)).select(task, "node", *payload)
-    return cut(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(kernel, "a long, b long"))
+    return cut_table(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(kernel, "a long, b long"))
 
 
 def close_groups(members: DataFrame, payload: list[str], kernel: Kernel, most_rows: int, most_weight: int, hubs: int = 16) -> DataFrame | None:
@@ -87,7 +87,7 @@ def close_groups(members: DataFrame, payload: list[str], kernel: Kernel, most_ro
     ``kernel`` gets rows ``task, node, *payload`` sorted by task and gives links ``a, b`` inside tasks.
     """
     # A table of its own, so that the join has two plain exchanges and Spark can split a hot group.
-    sizes = cut(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("mass")).where("n > 1"))
+    sizes = cut_table(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("mass")).where("n > 1"))
     chunks = F.when(F.col("n") > 2 * hubs, F.greatest(F.ceil(F.col("n") / most_rows), F.ceil(F.col("mass") / most_weight))).otherwise(F.lit(1))
     sized = members.join(sizes.select("grp", F.col("n").alias("of"), chunks.cast("int").alias("chunks")), "grp")
     home = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -104,7 +104,7 @@ def close_groups(members: DataFrame, payload: list[str], kernel: Kernel, most_ro
         labelled = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = labelled.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = counts.groupBy("grp").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("all")).where("main.c < all")
-    largest = cut(largest.select("grp", F.col("main.label").alias("main"), (F.col("all") - F.col("main.c")).alias("outside")))
+    largest = cut_table(largest.select("grp", F.col("main.label").alias("main"), (F.col("all") - F.col("main.c")).alias("outside")))
     if largest.isEmpty():
         return labels
     apart = labelled.join(largest, "grp").withColumn("turns", F.ceil(F.col("outside") * F.col("chunks") / F.col("of")).cast("int"))

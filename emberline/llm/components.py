@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut_table
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,12 +15,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     paths to the smallest node shrink at least by half and the rounds, however many the data
     needs, end by themselves; lineage is cut after every round.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    both = cut_table(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = cut_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("seen")), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "seen").alias("low"))
-        jump = cut(lower.join(labels.select(F.col("node").alias("low"), F.col("label").alias("next")), "low").select("node", "label", F.least("low", "next").alias("new")))
+        jump = cut_table(lower.join(labels.select(F.col("node").alias("low"), F.col("label").alias("next")), "low").select("node", "label", F.least("low", "next").alias("new")))
         settled = jump.where("new <> label").isEmpty()
         labels = jump.select("node", F.col("new").alias("label"))
         if settled:

@@ -5,11 +5,13 @@ a digest alone:
 
 1. locally: Spark's partial aggregation collapses the copies that one task reads;
 2. per salt: ``(salt, content)`` groups meet in one shuffle, so the copies of one text are dealt
-   over ``salts`` tasks instead of one;
+   over ``salts`` tasks instead of one (by default as many as a shuffle has tasks);
 3. globally: at most ``salts`` winners of a text meet in a window and learn the overall winner
    and the size of the whole class.
 
-Rows then look their class up by ``(salt, digest, length, second digest)``, again dealt by salt.
+Rows then look their class up by ``(salt, SHA-256, second digest)``, again dealt by salt. That
+lookup is the one step without the content: it would be shuffled a third time to tell apart
+texts that all three merges have compared in full and that agree in 320 bits of digests.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     ``keep_id`` is the smallest id of the rows with an equal normalised text, ``group_size`` their
@@ -35,6 +37,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows that repeat an id are rows of their own, all with the smallest id are kept; an empty
     table gives no rows; other columns of ``docs`` are ignored.
     """
+    salts = salts or max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("content")).select(
         "doc_id",
         F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),

@@ -162,17 +162,32 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray
     return labels
 
 
-def has_letter(table: WordTable, words: Words) -> np.ndarray:
-    """For each word of a slice, its letters."""
-    return table.letters[words.ids] if len(words) else np.zeros(0, np.int64)
+def viterbi_in_parts(scores: np.ndarray, bounds: np.ndarray, switch: float, cells: int = 1 << 22) -> np.ndarray:
+    """``viterbi`` over runs of texts whose blocks have about ``cells`` cells of transfer, or over single longer texts."""
+    blocks = np.cumsum(-(-np.diff(bounds) // BLOCK)) * scores.shape[1] ** 2
+    parts, at, base = [], 0, 0
+    while at < len(bounds) - 1:
+        stop = max(at + 1, int(np.searchsorted(blocks, base + cells, side="right")))
+        parts.append(viterbi(scores[bounds[at] : bounds[stop]], bounds[at : stop + 1] - bounds[at], switch))
+        at, base = stop, int(blocks[stop - 1])
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def label_texts(column: pa.Array, model: LanguageModel) -> tuple[Words, np.ndarray, np.ndarray]:
     """(words, language of each word, letters of each word) of the texts of a column."""
+    return weighed_texts(column, model)[:3]
+
+
+def weighed_texts(column: pa.Array, model: LanguageModel) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, language of each word, its letters, its letters of a script that some language has) of the texts of a column."""
     words = Words(*utf8(lowered(column)))
     table = WordTable(words.encoded.dictionary)
-    scores = table.scores(model)[words.ids] if len(words) else np.zeros((0, len(model.languages)))
-    return words, viterbi(scores, words.bounds, model.switch), has_letter(table, words)
+    if not len(words):
+        none = np.zeros(0, np.int64)
+        return words, none, none, none
+    ids, letters = words.ids, table.letters
+    known = (table.script >= 0) & model.in_script[np.maximum(table.script, 0)].any(axis=1)
+    return words, viterbi_in_parts(table.scores(model)[ids], words.bounds, model.switch), letters[ids], np.where(known, letters, 0)[ids]
 
 
 def fit_languages(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, switch: float = 12.0, smoothing: float = 0.5) -> LanguageModel:
@@ -227,8 +242,9 @@ def fit_languages(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, lang_pred, score`` (and ``spans``: language, first word, words) for each row, from its text alone.
 
-    The predicted language labels most letters of the text, ``score`` is its share of them; a null
-    text or one without letters is ``und`` with score 0. Columns named in ``carry`` are passed on as a struct ``carried``.
+    The predicted language labels most letters of the text, ``score`` is its share of them; letters of a
+    script that no language was seen with count for none. A null text or one without letters is
+    ``und`` with score 0. Columns named in ``carry`` are passed on as a struct ``carried``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "lang_pred", "score", *(["spans"] if with_spans else [])]
@@ -239,12 +255,11 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
         for batch in batches:
             for part in slices(batch, "text"):
                 n, k = part.num_rows, len(m.languages)
-                words, labels, letters = label_texts(part.column("text"), m) if k else (None, None, None)
+                words, labels, letters, known = weighed_texts(part.column("text"), m) if k else (None, None, None, None)
+                mass, total = np.zeros((n, max(k, 1))), np.zeros(n)
                 if k and len(words):
-                    mass = np.bincount(words.texts * k + labels, weights=letters, minlength=n * k).reshape(n, k)
-                else:
-                    mass = np.zeros((n, max(k, 1)))
-                total = mass.sum(axis=1)
+                    mass = np.bincount(words.texts * k + labels, weights=known, minlength=n * k).reshape(n, k)
+                    total = np.bincount(words.texts, weights=letters, minlength=n)
                 best = mass.argmax(axis=1)
                 pred = [m.languages[b] if t > 0 else UNKNOWN for b, t in zip(best.tolist(), total.tolist())]
                 arrays = [part.column("doc_id"), pa.array(pred, pa.string()), pa.array(np.where(total > 0, mass.max(axis=1) / np.maximum(total, 1), 0.0))]

@@ -6,8 +6,8 @@
 3. Those hashes meet the exploded lines again; a document gets the list of its own lines that
    go (never longer than the document), the text is split once more and the rest reassembled.
 
-A hot line costs one row per task in step 2. In step 3 only the unique side of the join has the
-counts, so Spark may broadcast it when it measured small or split the hot partition when not.
+A hot line costs one row per task in step 2. In step 3 both sides are tables, so Spark may
+broadcast the counts when they are small or split the hot partition when not.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .runtime import small_batches
+from .runtime import cut_table, small_batches
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -99,8 +99,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     extra = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
-    lines = base.select("doc_id", "text").mapInArrow(_hashes(least), "doc_id long, hi long, lo long")
+    # Tables: lines are hashed once, and the join below has plain exchanges, so Spark can split a hot line.
+    lines = cut_table(base.select("doc_id", "text").mapInArrow(_hashes(least), "doc_id long, hi long, lo long"))
     common = lines.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= documents).select("hi", "lo", "holder")
+    common = cut_table(common)
     gone = (
         lines.join(common, ["hi", "lo"])
         .where(~F.col("doc_id").eqNullSafe(F.col("holder")))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import LEAD, SPACE, Words, counts_between, first_of_runs, mix64, slices, utf8
-from .runtime import cut, small_batches
+from .runtime import cut_table, small_batches
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -250,7 +250,7 @@ def judge_quality(
     empty table gives no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    stats = cut(text_statistics(docs, id_col, text_col))
+    stats = cut_table(text_statistics(docs, id_col, text_col))
     sample = labelled_sample(labels, "doc_id", label_col, sample_rows)
     cols = features()
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

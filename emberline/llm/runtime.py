@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import checkpoint_dir
 
-
 _KEPT: dict[object, object] = {}
 
 
@@ -38,40 +39,51 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished steps.
-
-    It acts when the driver's JVM collects what nobody refers to, which on an idle driver can take
-    as long as the job; operators of many steps ask for it when a step's result is written.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+_WRITTEN: list[tuple[SparkSession, str]] = []
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder and drop its lineage.
+def cut_table(df: DataFrame) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder, and read from there: its lineage ends.
 
-    The files survive the loss of executors, unlike a local checkpoint or a cache, and Spark's
-    context cleaner removes them once the DataFrame is out of use (if the session asks for it).
+    The files survive the loss of executors. Shuffle files of the step are removed as soon as the
+    table is there; the table itself goes with ``drop_tables`` or when the Python process ends.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
-    del df
-    release(spark)
-    return out
-
-
-def cut_table(df: DataFrame) -> DataFrame:
-    """The same as a Parquet table in the shared folder: smaller, and read by column. It stays there."""
     spark, schema = df.sparkSession, df.schema
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    del df
-    release(spark)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(schema).parquet(path)
 
 
+def tables_written() -> int:
+    """How many tables operators have written so far and nobody has dropped."""
+    return len(_WRITTEN)
+
+
+def drop_tables(first: int = 0, keep: int = 0) -> None:
+    """Deletes the tables from number ``first`` on, but the last ``keep`` ones; results that still read them end with them."""
+    gone = _WRITTEN[first : len(_WRITTEN) - keep]
+    del _WRITTEN[first : len(_WRITTEN) - keep]
+    for spark, path in gone:
+        if spark.sparkContext._jsc is not None:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _at_exit() -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone first
+        drop_tables()
+
+
+atexit.register(_at_exit)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of ``sf_dir``; always through Spark's reader, so any store it can open works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import first_of_runs, mix64, slices, utf8
-from .runtime import cut, cut_table, small_batches
+from .runtime import cut_table, small_batches
 
 KEY = ["doc_id", "part"]
 _RANDOM = np.random.default_rng(20)
@@ -362,7 +362,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole_windows = repeated.select(*KEY, (F.col("pos") - (length - gram)).alias("first_start"), F.col("pos").alias("last_start"))
 
     winners = edges.select("rank", "winner.*")
-    several = cut(winners.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    several = cut_table(winners.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     split = winners.join(several, "rank")
     context_types = f"rank long, {key_types}, pos long, left int, context binary"
 

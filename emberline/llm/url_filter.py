@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -113,7 +113,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, per_key: float = 10.0,
     """
     levels: list[Level] = []
     hashes = max(1, round(per_key * math.log(2)))
-    inside, other = cut(listed.select("key").distinct()), universe
+    inside, other = cut_table(listed.select("key").distinct()), universe
     while n := inside.count():
         bits = max(64, 64 * math.ceil(per_key * n / 64))
         if bits > max_bits or len(levels) >= max_levels:
@@ -122,7 +122,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, per_key: float = 10.0,
         passed = other.where(_passes(F.col("key"), level)).distinct()
         if len(levels) == 1:
             passed = passed.join(listed, "key", "left_anti")
-        inside, other = cut(passed), inside
+        inside, other = cut_table(passed), inside
     return levels
 
 
