@@ -13,7 +13,7 @@ from emberline.llm.mixing import mix_sources
 from emberline.llm.near_dedup import near_duplicates
 from emberline.llm.packing import pack_documents
 from emberline.llm.queries import tokenizer_path
-from emberline.llm.runtime import cut, cut_table, table
+from emberline.llm.runtime import cut_table, drop_tables, table, tables_written
 
 #: A text whose main language has a smaller share of its letters is rejected.
 LEAST_LANGUAGE_SHARE = 0.5
@@ -58,7 +58,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chosen = kept.groupBy("doc_id", alone.alias("alone")).agg(F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("rows"), F.min(F.col("n_shingles") > 0).alias("grouped"))
     digest = F.xxhash64("doc_id", "text_hash").alias("digest")
     single = F.col("grouped") & F.col("doc_id").isNotNull() & (F.col("rows") > 1)
-    chosen = cut(chosen.select(F.col("doc_id").alias("kept_id"), single.alias("single"), digest))
+    chosen = cut_table(chosen.select(F.col("doc_id").alias("kept_id"), single.alias("single"), digest))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).select("row", "doc_id", digest.alias("of"))
     own = (F.col("of") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
     if chosen.where("single").isEmpty():
@@ -106,7 +106,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; between two stages a table in the shared folder is written and read."""
-    docs = table(spark, sf_dir, "documents")
+    docs, begun = table(spark, sf_dir, "documents"), tables_written()
     for _, stage in STAGES[:-1]:
         docs = cut_table(stage(spark, docs, sf_dir))
+        drop_tables(begun, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
