@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, label`` for each end of ``edges`` (columns ``a``, ``b``): the smallest node of its component.
 

@@ -147,6 +147,8 @@ class TermMatcher:
         return float(cos[k]), k + (int(inside[0]) if len(inside) else 0), k + width
 
 
+#: The share of a file's terms that a licence's window takes in where the file is a licence file by its text.
+MOST_OF_A_FILE = 0.5
 _SPDX_ID = rb"\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*"
 _SPDX = re.compile(rb"SPDX-License-Identifier:[ \t]*(" + _SPDX_ID + rb"(?:[ \t]+(?:OR|AND|WITH)[ \t]+" + _SPDX_ID + rb")*)", re.IGNORECASE)
 
@@ -209,8 +211,11 @@ def _best_windows(matcher: Matcher, by_terms: TermMatcher, window: int, threshol
                 weight = np.zeros(len(begins))
                 np.add.at(weight, line[ok], matcher.idf[known[ok]])
                 other = np.bincount(line[~ok], minlength=len(begins)).astype(float)
-                lines_with_terms = np.bincount(line, minlength=len(begins)) > 0
-                best = [(-1.0, "", 0)] * n
+                in_line = np.bincount(line, minlength=len(begins))
+                lines_with_terms = in_line > 0
+                before_line = np.concatenate([[0], np.cumsum(in_line)])
+                # Cosine, licence, line, terms of the window.
+                best = [(-1.0, "", 0, 0)] * n
                 for w in range(1, window + 1):
                     if len(begins) < w:
                         break
@@ -226,19 +231,19 @@ def _best_windows(matcher: Matcher, by_terms: TermMatcher, window: int, threshol
                         k = int(np.argmax(cos))
                         t = int(line_text[i])
                         if cos[k] >= threshold and cos[k] > best[t][0] + 1e-12:
-                            best[t] = (float(cos[k]), matcher.names[k], i - int(np.searchsorted(line_text, t)))
+                            best[t] = (float(cos[k]), matcher.names[k], i - int(np.searchsorted(line_text, t)), int(before_line[i + w] - before_line[i]))
                 if len(found):
                     ids = found.ids
                     for t, k in by_terms.candidates(found.texts, known_all, n, threshold):
                         a, b = found.bounds[t], found.bounds[t + 1]
-                        cos, first, _ = by_terms.best(k, ids[a:b], known_all[a:b])
+                        cos, first, end = by_terms.best(k, ids[a:b], known_all[a:b])
                         if cos >= threshold and cos > best[t][0] + 1e-9:
-                            best[t] = (cos, by_terms.names[k], int(line[a + first]) - int(np.searchsorted(line_text, t)))
+                            best[t] = (cos, by_terms.names[k], int(line[a + first]) - int(np.searchsorted(line_text, t)), end - first)
                     spdx = [i for i, word in enumerate(found.distinct) if word == b"spdx"]
                     for t in np.unique(found.texts[np.isin(ids, spdx)]).tolist():
                         if tag := _SPDX.search(raw, int(offsets[t]), int(offsets[t + 1])):
                             name = spdx_license(tag[1].decode(), names)
-                            best[t] = (1.0, name, int(np.searchsorted(begins, tag.start(), side="right")) - 1 - int(np.searchsorted(line_text, t)))
+                            best[t] = (1.0, name, int(np.searchsorted(begins, tag.start(), side="right")) - 1 - int(np.searchsorted(line_text, t)), 0)
                 hit = [b[0] >= 0 for b in best]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -246,9 +251,9 @@ def _best_windows(matcher: Matcher, by_terms: TermMatcher, window: int, threshol
                         pa.array([b[1] if f else None for b, f in zip(best, hit)], pa.string()),
                         pa.array([b[0] if f else None for b, f in zip(best, hit)], pa.float64()),
                         pa.array([b[2] if f else None for b, f in zip(best, hit)], pa.int64()),
-                        pa.array(per_text.astype(np.int64)),
+                        pa.array(np.array([b[3] for b in best], dtype=float) / np.maximum(np.diff(found.bounds), 1)),
                     ],
-                    ["file", "own_license", "score", "line", "n_lines"],
+                    ["file", "own_license", "score", "line", "covered"],
                 )
 
     return run
@@ -278,7 +283,7 @@ def scan_licenses(
     headers and notices (default: ``known_texts()``). A version that a template names must be in the window. ``license`` is the file's own or that of
     the nearest ancestor directory with a licence file; ``from_path`` is the directory. A licence
     file is one with a licence for which ``is_license_file`` holds (default: named LICENSE or
-    COPYING, or of at most ``window`` lines). Of several in one directory the highest score,
+    COPYING, or with at least half of its terms in the window of the licence). Of several in one directory the highest score,
     then the smallest path, counts. Defined cases: a null or empty text has no licence; a null
     path inherits nothing; repeated rows are judged each on its own; an empty table gives no
     rows; other columns are ignored.
@@ -289,10 +294,10 @@ def scan_licenses(
     probe = TermMatcher(every, 1, {})
     sums = {r["term"]: r["n"] for r in base.select("text").mapInArrow(_vocabulary_counts(probe.vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     counts = sums.get(-1, 0), {t: sums.get(i, 0) for i, t in enumerate(probe.vocabulary)}
-    scored = base.mapInArrow(_best_windows(Matcher(templates, *counts), TermMatcher(every, *counts), window, threshold), "file struct<doc_id:long,path:string,named:boolean>, own_license string, score double, line long, n_lines long")
-    own = scored.select("file.*", "own_license", "score", "line", "n_lines")
+    scored = base.mapInArrow(_best_windows(Matcher(templates, *counts), TermMatcher(every, *counts), window, threshold), "file struct<doc_id:long,path:string,named:boolean>, own_license string, score double, line long, covered double")
+    own = scored.select("file.*", "own_license", "score", "line", "covered")
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    default = F.startswith(name, F.lit("license")) | F.startswith(name, F.lit("copying")) | (F.col("n_lines") <= window)
+    default = F.startswith(name, F.lit("license")) | F.startswith(name, F.lit("copying")) | (F.col("covered") >= MOST_OF_A_FILE)
     licence_file = F.col("own_license").isNotNull() & F.col("path").isNotNull() & (default if is_license_file is None else F.col("named"))
     own = own.withColumn("dir", F.when(F.contains("path", F.lit("/")), F.expr("left(path, length(path) - length(substring_index(path, '/', -1)) - 1)")).otherwise(F.lit("")))
     dirs = own.where(licence_file).groupBy("dir").agg(F.min_by("own_license", F.struct(-F.col("score"), F.col("path"))).alias("dir_license"))

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -149,25 +148,25 @@ def judge_urls(pages: DataFrame, rules: Sequence[UrlRule], id_col: str = "page_i
     if not rules:
         return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     keyed = judged.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), rules))
-    listed = rule_table(spark, rules).select("key")
-    levels = build_cascade(listed, keyed.select(F.explode("keys").alias("key")), per_key, max_bits)
-    if levels is None:
+    listed = rule_table(spark, rules)
+    universe = keyed.select(F.explode("keys").alias("key"))
+    # One cascade for the keys of each verdict: which one knows a key says what it gets, without a lookup.
+    cascades = {v: build_cascade(listed.where(F.col("verdict") == v).select("key"), universe, per_key, max_bits) for v in sorted({r.verdict for r in rules})}
+    if any(levels is None for levels in cascades.values()):
         return _judge_by_join(judged, keyed, rules, default)
-    hits = F.filter("keys", lambda k: member(k, levels))
-    best = F.reduce(hits, F.lit(""), lambda a, k: F.when(F.length(k) >= F.length(a), k).otherwise(a))
-    verdicts = F.from_json(F.lit(json.dumps({r.key: r.verdict for r in rules})), "map<string,string>")
-    return keyed.withColumn("best", best).select(
-        "page_id",
-        "host",
-        "path",
-        F.when(F.col("best") != "", F.col("best")).alias("rule"),
-        F.coalesce(F.element_at(verdicts, F.col("best")), F.lit(default)).alias("verdict"),
-    )
+
+    def verdict_of(k: Column) -> Column:
+        return F.coalesce(*[F.when(member(k, levels), F.lit(v)) for v, levels in cascades.items()])
+
+    hits = F.filter(F.transform("keys", lambda k: F.struct(k.alias("key"), verdict_of(k).alias("verdict"))), lambda x: x["verdict"].isNotNull())
+    none = F.lit(None).cast("struct<key:string,verdict:string>")
+    best = F.reduce(hits, none, lambda a, x: F.when(a.isNull() | (F.length(x["key"]) >= F.length(a["key"])), x).otherwise(a))
+    return keyed.withColumn("best", best).select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def rule_table(spark: SparkSession, rules: Sequence[UrlRule]) -> DataFrame:
     """The rules as a relation that needs no Python to be read: ``key, verdict``."""
-    text = json.dumps([{"key": r.key, "verdict": r.verdict} for r in rules])
+    text = json.dumps([{"key": k, "verdict": v} for k, v in {r.key: r.verdict for r in rules}.items()])
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<key:string,verdict:string>>")))
 
 

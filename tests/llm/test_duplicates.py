@@ -202,6 +202,44 @@ def test_pipeline_keeps_one_row_of_a_group(spark):
     assert sorted((r["doc_id"] or 0, r["text"] is not None and len(r["text"]) > 0) for r in out) == [(0, True), (7, True), (9, False), (10, False)]
 
 
+def test_pipeline_same_as_plain(spark):
+    """Each stage after the learned one beside SQL or plain Python, over the same rows; the whole run ends in the same pieces."""
+    import corpus_pipeline as p
+    import zlib
+
+    import numpy as np
+    from odd import sql_rows
+    from tokenizers import Tokenizer
+
+    from emberline.llm.queries import ORACLE_SQL, tokenizer_path
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = p.language_id(spark, docs, sf)
+    texts = {r["doc_id"]: r["text"] for r in first.collect()}
+    cleaned = {r["doc_id"]: r["text"] for r in p.line_dedup(spark, first, sf).collect()}
+    want = {dict(zip(("doc_id", "kept_sha256", "n_dropped", "n_lines"), r))["doc_id"]: r[1] for r in sql_rows(ORACLE_SQL["op8_line_dedup"], documents=first.select("doc_id", "text"))}
+    assert set(cleaned) == set(texts) and {d: hashlib.sha256(t.encode()).hexdigest() for d, t in cleaned.items()} == want
+    parts = plain_components(list(cleaned.items()), 5)
+    kept = {d: cleaned[d] for d, (_, root, _) in parts.items() if d == root}
+    tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    pieces = set()
+    for d, t in kept.items():
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            part = ids[k : k + 2048]
+            pieces.add((d, k // 2048, k, len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes())))
+    out = p.run(spark, sf).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out} == pieces and len(out) == len(pieces)
+    used = defaultdict(list)
+    for r in out:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in used.values():
+        places.sort()
+        assert [a for a, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 2048
+    assert len(used) <= -(-sum(x[3] for x in pieces) // 2048) + 2
+
+
 def test_pipeline_odd_rows(spark):
     import corpus_pipeline as p
 

@@ -1,5 +1,6 @@
 """Packing, quality, licences and languages against plain versions on odd tables."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -229,3 +230,62 @@ def test_script_narrows():
 def test_features_are_columns(spark, name):
     df = quality.text_statistics(frame(spark, ODD))
     assert df.select(quality.features()[name].alias("x")).where("x is null").count() == 0
+
+
+def test_quality_verdict_same_as_plain(spark):
+    """The learned list, applied by plain Python to plain counts."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = {r["doc_id"]: r for r in quality.judge_quality(docs, labels).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    counts = {d: dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), plain_counts(t))) for d, t in texts.items()}
+    failed = {d: c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"] for d, c in counts.items()}
+    assert all((r["n_words"], r["n_repeat_words"], r["base_failed"]) == (counts[d]["n_words"], counts[d]["n_repeat_words"], failed[d]) for d, r in out.items())
+    # Features by Spark over the plain counts; the list learned anew from the labelled ones and walked rule by rule.
+    full = docs.select("doc_id").join(quality.text_statistics(docs), "doc_id").select("doc_id", *[c.alias(k) for k, c in quality.features().items()]).collect()
+    x = {r["doc_id"]: r.asDict() for r in full}
+    label = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    train = sorted((d for d in label if d in x and not failed[d]), key=lambda d: hashlib.md5(str(d).encode()).hexdigest())
+    names = sorted(quality.features())
+    rules = quality.learn_rules({k: np.array([x[d][k] for d in train]) for k in names}, np.array([label[d] == 0 for d in train]))
+    assert rules
+
+    def first(d):
+        for i, rule in enumerate(rules, 1):
+            if all((x[d][c.feature] >= c.threshold) if c.above else (x[d][c.feature] <= c.threshold) for c in rule):
+                return i
+        return 0
+
+    assert all(r["rule"] == first(d) and r["kept"] == (not failed[d] and not first(d)) for d, r in out.items())
+    known = [d for d in label if not failed[d]]
+    rejected = [d for d in known if not out[d]["kept"]]
+    assert rejected and sum(label[d] == 0 for d in rejected) >= 0.9 * len(rejected)
+
+
+def plain_language(text, model):
+    """Label by label: gram scores of every word, then Viterbi over single words."""
+    words = WORD.findall(text.lower())
+    table = langid.WordTable(__import__("pyarrow").array([w.encode() for w in words], "binary"))
+    scores = table.scores(model)
+    best, back = list(scores[0]), []
+    for row in scores[1:]:
+        top = int(np.argmax(best))
+        step = [top if best[top] - model.switch > b else i for i, b in enumerate(best)]
+        back.append(step)
+        best = [max(b, best[top] - model.switch) + s for b, s in zip(best, row)]
+    state, labels = int(np.argmax(best)), []
+    for step in [*reversed(back), None]:
+        labels.append(state)
+        state = step[state] if step else state
+    mass = np.bincount(labels[::-1], weights=table.letters, minlength=len(model.languages))
+    return model.languages[int(mass.argmax())], mass.max() / max(mass.sum(), 1)
+
+
+def test_language_same_as_plain(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit_languages(docs, ~langid.held_out(F.col("doc_id")))
+    out = {r["doc_id"]: r for r in op9_language_id(spark, SF).collect()}
+    for r in docs.collect():
+        if r["text"] and any(c.isalpha() for c in r["text"]) and len(r["text"]) < 5000:
+            want, score = plain_language(r["text"], model)
+            assert out[r["doc_id"]]["lang_pred"] == want and abs(out[r["doc_id"]]["score"] - score) < 1e-9
