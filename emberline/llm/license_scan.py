@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import Words, slices, utf8
 from .license_texts import known_texts
-from .runtime import small_batches
+from .runtime import cut_table, small_batches
 
 #: Short forms by which files state a licence; fixed public wordings.
 TEMPLATES: dict[str, str] = {
@@ -295,7 +295,8 @@ def scan_licenses(
     sums = {r["term"]: r["n"] for r in base.select("text").mapInArrow(_vocabulary_counts(probe.vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     counts = sums.get(-1, 0), {t: sums.get(i, 0) for i, t in enumerate(probe.vocabulary)}
     scored = base.mapInArrow(_best_windows(Matcher(templates, *counts), TermMatcher(every, *counts), window, threshold), "file struct<doc_id:long,path:string,named:boolean>, own_license string, score double, line long, covered double")
-    own = scored.select("file.*", "own_license", "score", "line", "covered")
+    # A table without texts: three parts of the plan read it, and windows are searched once.
+    own = cut_table(scored.select("file.*", "own_license", "score", "line", "covered"))
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     default = F.startswith(name, F.lit("license")) | F.startswith(name, F.lit("copying")) | (F.col("covered") >= MOST_OF_A_FILE)
     licence_file = F.col("own_license").isNotNull() & F.col("path").isNotNull() & (default if is_license_file is None else F.col("named"))
