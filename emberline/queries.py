@@ -722,31 +722,17 @@ def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- call graph -----------------------------------------------------------------------------
 
 
-def call_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document "defines" its 3rd word and "calls" its 4th to 8th."""
-    words = F.split(F.lower("text"), "\\s+")
-    return table(spark, sf_dir, "documents").where(F.size(words) >= 8).select(F.col("doc_id").alias("id"), F.slice(words, 3, 1).alias("symbols"), F.slice(words, 4, 5).alias("calls"))
-
+_POINTS = r"""p AS (SELECT doc_id AS id, w[3] AS symbol, list_distinct(w[4:]) AS calls FROM (SELECT doc_id, string_split_regex(lower(text), '\s+') AS w FROM documents) WHERE len(w) >= 3),
+  c AS (SELECT id, unnest(calls) AS symbol FROM p), d AS (SELECT id, symbol FROM p)"""
 
-_GRAPH = r"""p AS (SELECT doc_id AS id, w[3] AS symbol, w[4:8] AS calls FROM (SELECT doc_id, string_split_regex(lower(text), '\s+') AS w FROM documents) WHERE len(w) >= 8),
-  edges AS (SELECT DISTINCT c.id AS caller, d.id AS callee FROM (SELECT id, unnest(list_distinct(calls)) AS symbol FROM p) c JOIN p d ON d.symbol = c.symbol)"""
 
-
-def _walk_sql(source: str, target: str) -> str:
-    return f"""WITH RECURSIVE {_GRAPH}, walk AS (SELECT id AS node, 0 AS depth FROM p WHERE id < 5 UNION SELECT e.{target}, depth + 1 FROM walk JOIN edges e ON e.{source} = node WHERE depth < 3)
-  SELECT node, min(depth) AS depth FROM walk GROUP BY node"""
-
-
-@query(_walk_sql("caller", "callee"))
-def trace_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = call_points(spark, sf_dir)
-    return trace.reachable(trace.call_edges(points).select("caller", "callee").distinct(), points.where("id < 5").select(F.col("id").alias("node")), 3)
-
-
-@query(_walk_sql("callee", "caller"))
-def trace_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = call_points(spark, sf_dir)
-    return trace.reachable(trace.call_edges(points).select("caller", "callee").distinct(), points.where("id < 5").select(F.col("id").alias("node")), 3, "callee", "caller")
+def _walk_sql(outward: str, inward: str, depth: int = 3) -> str:
+    """A walk by levels: from the nodes of a level to the symbols they name on one side, to the nodes that name those on the other."""
+    levels = ["n0 AS (SELECT id FROM p WHERE id % 100 = 0)"]
+    for i in range(1, depth + 1):
+        levels.append(f"n{i} AS (SELECT DISTINCT id FROM {inward} WHERE symbol IN (SELECT symbol FROM {outward} WHERE id IN (SELECT id FROM n{i - 1})))")
+    every = " UNION ALL ".join(f"SELECT id, {i} AS depth FROM n{i}" for i in range(depth + 1))
+    return f"WITH {_POINTS}, {', '.join(levels)} SELECT id AS node, min(depth) AS depth FROM ({every}) GROUP BY id"
 
 
 def whole_call_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -760,14 +746,14 @@ def searched(points: DataFrame) -> DataFrame:
     return points.where("id % 100 = 0").select(F.col("id").alias("node"))
 
 
-@query()
-def trace_callees_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_walk_sql("c", "d"))
+def trace_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = whole_call_points(spark, sf_dir)
     return trace.reachable_points(points, searched(points), 3)
 
 
-@query()
-def trace_callers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_walk_sql("d", "c"))
+def trace_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = whole_call_points(spark, sf_dir)
     return trace.reachable_points(points, searched(points), 3, callers=True)
 

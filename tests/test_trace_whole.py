@@ -21,7 +21,7 @@ def brute(docs, callers):
     return sorted(seen.items())
 
 
-@pytest.mark.parametrize("name", ["trace_callees_whole", "trace_callers_whole"])
+@pytest.mark.parametrize("name", ["trace_callees", "trace_callers"])
 def test_walk_same_as_brute_force(spark, tmp_path, name):
     rnd = random.Random(4)
     docs = [(i, " ".join(rnd.choice("ABcdefghijklmnopqrstuvwxyz") + str(rnd.randrange(40)) for _ in range(rnd.randrange(1, 40)))) for i in range(0, 600, 3)]
