@@ -385,7 +385,7 @@ def ui_sample_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT count(*) AS rows_seen, sum(n_chars)::BIGINT AS chars, count(*) FILTER (WHERE lang = 'en') AS english FROM documents")
-def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters that are filled in while the table is read once."""
     df, seen = views.pipeline_stats(table(spark, sf_dir, "documents"), "stats", rows_seen=F.count(F.lit(1)), chars=F.sum("n_chars"), english=F.count_if(F.col("lang") == "en"))
     df.write.format("noop").mode("overwrite").save()
