@@ -1,10 +1,16 @@
 """Sequence correlation in batch: window plans, with the state machine where its instance cap can bind.
 
+A sequence is over within the sum of its limits, so rows are dealt by shard and slab of time, and
+the rows near the start of a slab are also copied into the slab before: every instance lies whole
+in the cell that its root is in, and a hot shard is as many cells as its time has slabs. All
+plans share that one shuffle.
+
 The next step of an instance is the nearest later match of the expected rule, so each step needs
 one pointer per row: the last value, in descending order, over the rows before. The pointer of a
-step carries the pointer of the following one, so a whole sequence is one sort by shard and one
-window pass per step, without joins. Shards in which some rule could have more than
-``most`` live instances are streamed in order through the state machine instead.
+step carries the pointer of the following one, so the sequences of one scope take one sort by
+cell and one window pass per step, without joins. Cells in which some rule could have more than
+``most`` live instances are streamed in order through the state machine instead. An instance is
+evicted only for those that start after it, so a cell is enough for that, too.
 """
 
 from __future__ import annotations
@@ -21,6 +27,12 @@ from .sequence_state import MOST_INSTANCES, Completed, Correlator
 OUT = "shard string, type string, root_rule_id string, seq_id string, root_order string, step_idx int, matched_rule_id string, path array<string>, steps int, event_order string"
 
 
+#: Length of a slab of time in lengths of the longest sequence: one row in that many has a copy in the slab before.
+SLAB = 4
+#: Sequences whose pointers are columns of one window pass; bounds the width of its rows.
+SEQUENCES_PER_PASS = 16
+
+
 def utc_micros(ts: Column) -> Column:
     """Microseconds of a time without zone, read as UTC whatever the session's zone."""
     return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
@@ -52,87 +64,126 @@ def order_text(t: Column, event: Column, pos: Column) -> Column:
     return F.concat_ws(":", t.cast("string"), event.cast("string"), pos.cast("string"))
 
 
-def _chain(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Root matches of one sequence with the row of each step that came in time."""
-    seq = rule.sequence
-    scope = ["shard", "pid"] if seq.scope == "pid" else ["shard"]
-    wanted = {rule.id} | {s.rule_id for s in seq.steps}
-    later = Window.partitionBy(*scope).orderBy(F.desc("t"), F.desc("event"), F.desc("pos"))
-    strictly = later.rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.where(F.col("rule_id").isin(*sorted(wanted)))
-    if seq.scope == "pid":
+def length_ns(rule: Rule) -> int:
+    return sum(step.within_ns for step in rule.sequence.steps)
+
+
+def in_cells(rows: DataFrame, snapshot: RuleSnapshot) -> DataFrame:
+    """``rows`` with the start of their ``slab`` and whether it is their ``own`` one, dealt by shard and slab.
+
+    Rows that an instance of the slab before may still reach are in that slab, too. A null time is a slab of its own.
+    """
+    length = max((length_ns(r) for r in snapshot.sequences), default=0)
+    width = max(1, SLAB * length)
+    into = F.pmod(F.col("t"), F.lit(width).cast("long"))
+    home = F.col("t") - into
+    slabs = F.when(into < F.lit(length), F.array(home, home - F.lit(width))).otherwise(F.array(home))
+    dealt = rows.select("shard", "t", "event", "pos", "rule_id", "pid", into.alias("into"), F.explode(slabs).alias("slab"))
+    own = F.col("slab").eqNullSafe(F.col("t") - F.col("into"))
+    return dealt.withColumn("own", own).drop("into").repartition("shard", "slab")
+
+
+def with_crowding(cells: DataFrame, snapshot: RuleSnapshot, most: int = MOST_INSTANCES) -> DataFrame:
+    """``cells`` with ``crowded``: whether more than ``most`` matches of a rule lie within the length of its sequence."""
+    by_length: dict[int, list[str]] = {}
+    for rule in snapshot.sequences:
+        by_length.setdefault(length_ns(rule), []).append(rule.id)
+    length = F.coalesce(*[F.when(F.col("rule_id").isin(*ids), F.lit(n)) for n, ids in by_length.items()])
+    same_rule = Window.partitionBy("shard", "slab", "rule_id").orderBy(F.desc("t"))
+    full = F.coalesce(F.lag("t", most).over(same_rule) - F.col("t") <= length, F.lit(False))
+    return cells.withColumn("crowded", full).withColumn("crowded", F.max("crowded").over(Window.partitionBy("shard", "slab")))
+
+
+def _pointers(cells: DataFrame, rules: list[Rule], scope: str) -> DataFrame:
+    """Root matches of sequences of one scope; ``step_<i>_0`` leads along the steps of the i-th."""
+    group = ["shard", "slab", "pid"] if scope == "pid" else ["shard", "slab"]
+    wanted = {r.id for r in rules} | {s.rule_id for r in rules for s in r.sequence.steps}
+    # The pid decides no order; read here as well, it keeps the columns of all plans alike, so that they share one shuffle.
+    later = Window.partitionBy(*group).orderBy(F.desc("t"), F.desc("event"), F.desc("pos"), F.desc("pid"))
+    out = cells.where(F.col("rule_id").isin(*sorted(wanted)))
+    if scope == "pid":
         out = out.where(F.col("pid").isNotNull())
-    for k in range(len(seq.steps) - 1, -1, -1):
-        here = [F.col("t").alias("t"), F.col("event").alias("event"), F.col("pos").alias("pos")]
-        nxt = [F.col(f"step_{k + 1}").alias("next")] if k + 1 < len(seq.steps) else []
-        pointer = F.last(F.when(F.col("rule_id") == seq.steps[k].rule_id, F.struct(*here, *nxt)), ignorenulls=True)
-        # A rule that is its own first step advances on the match that started the instance.
-        frame = later.rowsBetween(Window.unboundedPreceding, 0) if k == 0 else strictly
-        out = out.withColumn(f"step_{k}", pointer.over(frame))
-    return out.where(F.col("rule_id") == rule.id)
-
-
-def _events(roots: DataFrame, rule: Rule) -> DataFrame:
-    """Step and completion records of the instances that the rows of ``roots`` start."""
-    seq = rule.sequence
-    at, before = F.col("step_0"), F.col("t")
-    reached: list[Column] = []
-    alive = F.lit(True)
-    for k, step in enumerate(seq.steps):
+    here = [F.col("t").alias("t"), F.col("event").alias("event"), F.col("pos").alias("pos")]
+    for to_go in range(max(len(r.sequence.steps) for r in rules)):
+        found = {}
+        for i, rule in enumerate(rules):
+            k = len(rule.sequence.steps) - 1 - to_go
+            if k < 0:
+                continue
+            nxt = [F.col(f"step_{i}_{k + 1}").alias("next")] if to_go else []
+            pointer = F.last(F.when(F.col("rule_id") == rule.sequence.steps[k].rule_id, F.struct(*here, *nxt)), ignorenulls=True)
+            # A rule that is its own first step advances on the match that started the instance.
+            found[f"step_{i}_{k}"] = pointer.over(later.rowsBetween(Window.unboundedPreceding, 0 if k == 0 else -1))
+        out = out.withColumns(found)
+    return out.where(F.col("own") & F.col("rule_id").isin(*[r.id for r in rules]))
+
+
+def _record(kind: str, rule: Rule, at: Column, step: int | None = None) -> Column:
+    steps = rule.sequence.steps
+    done = step is None
+    return F.struct(
+        F.lit(kind).alias("type"),
+        F.lit(rule.sequence.id).alias("seq_id"),
+        F.lit(step).cast("int").alias("step_idx"),
+        F.lit(None if done else steps[step].rule_id).cast("string").alias("matched_rule_id"),
+        (F.array(*[F.lit(s.rule_id) for s in steps]) if done else F.lit(None)).cast("array<string>").alias("path"),
+        F.lit(len(steps) if done else None).cast("int").alias("steps"),
+        order_text(at["t"], at["event"], at["pos"]).alias("event_order"),
+    )
+
+
+def _records(rule: Rule, first: Column) -> Column:
+    """The step and completion records of the instance that a root row starts."""
+    at, before, alive = first, F.col("t"), F.lit(True)
+    out: list[Column] = []
+    for k, step in enumerate(rule.sequence.steps):
         alive = alive & at.isNotNull() & (at["t"] <= before + F.lit(step.within_ns))
-        reached.append(F.when(F.coalesce(alive, F.lit(False)), F.struct(F.lit("step").alias("type"), F.lit(k).alias("step_idx"), F.lit(step.rule_id).alias("matched_rule_id"), order_text(at["t"], at["event"], at["pos"]).alias("event_order"))))
+        out.append(F.when(F.coalesce(alive, F.lit(False)), _record("step", rule, at, k)))
         last = at
-        if k + 1 < len(seq.steps):
+        if k + 1 < len(rule.sequence.steps):
             before, at = at["t"], at["next"]
-    done = F.when(F.coalesce(alive, F.lit(False)), F.struct(F.lit("completed").alias("type"), F.lit(None).cast("int").alias("step_idx"), F.lit(None).cast("string").alias("matched_rule_id"), order_text(last["t"], last["event"], last["pos"]).alias("event_order")))
-    path = F.array(*[F.lit(s.rule_id) for s in seq.steps])
-    complete = F.col("e.type") == "completed"
-    return roots.select("shard", order_text(F.col("t"), F.col("event"), F.col("pos")).alias("root_order"), F.explode(F.array_compact(F.array(*reached, done))).alias("e")).select(
-        "shard",
-        "e.type",
-        F.lit(rule.id).alias("root_rule_id"),
-        F.lit(seq.id).alias("seq_id"),
-        "root_order",
-        "e.step_idx",
-        "e.matched_rule_id",
-        F.when(complete, path).alias("path"),
-        F.when(complete, F.lit(len(seq.steps))).alias("steps"),
-        "e.event_order",
-    )
+    out.append(F.when(F.coalesce(alive, F.lit(False)), _record("completed", rule, last)))
+    return F.array_compact(F.array(*out))
 
 
-def crowded_shards(rows: DataFrame, snapshot: RuleSnapshot, most: int = MOST_INSTANCES) -> DataFrame:
-    """Shards in which a rule has more than ``most`` matches within the whole length of its sequence."""
-    out = None
-    for rule in snapshot.sequences:
-        length = sum(s.within_ns for s in rule.sequence.steps)
-        around = Window.partitionBy("shard").orderBy("t").rangeBetween(-length, 0)
-        found = rows.where(F.col("rule_id") == rule.id).select("shard", F.count(F.lit(1)).over(around).alias("n")).where(F.col("n") > most).select("shard")
-        out = found if out is None else out.union(found)
-    return out.distinct() if out is not None else rows.select("shard").limit(0)
+def _events(roots: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Step and completion records of the instances that the rows of ``roots`` start; a row has one rule."""
+    records = F.coalesce(*[F.when(F.col("rule_id") == r.id, _records(r, F.col(f"step_{i}_0"))) for i, r in enumerate(rules)])
+    root = order_text(F.col("t"), F.col("event"), F.col("pos"))
+    rows = roots.select("shard", F.col("rule_id").alias("root_rule_id"), root.alias("root_order"), F.explode(records).alias("e"))
+    return rows.select("shard", "e.type", "root_rule_id", "e.seq_id", "root_order", "e.step_idx", "e.matched_rule_id", "e.path", "e.steps", "e.event_order")
 
 
-def run_exact(rows: DataFrame, snapshot: RuleSnapshot, most: int = MOST_INSTANCES, counted_thresholds: bool = False) -> DataFrame:
-    """The state machine over sorted streams: a task holds the state of one shard at a time, not its rows."""
+def _machine(cells: DataFrame, snapshot: RuleSnapshot, most: int, counted_thresholds: bool = False) -> DataFrame:
+    """The state machine over the sorted rows of each cell; only instances of the cell's own roots are told."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, machine = None, Correlator(snapshot, most, counted_thresholds)
+        cell, machine = None, Correlator(snapshot, most, counted_thresholds)
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                if r.shard != shard:
-                    shard, machine = r.shard, Correlator(snapshot, most, counted_thresholds)
+                if (r.shard, r.slab) != cell:
+                    cell = (r.shard, r.slab)
+                    machine.forget()
                 key = f"{r.t}:{r.event}:{r.pos}"
-                for e in machine.on_match(r.rule_id, r.t, None if pd.isna(r.pid) else int(r.pid), (key,)):
+                for e in machine.on_match(r.rule_id, r.t, None if pd.isna(r.pid) else int(r.pid), (key, r.own)):
+                    root, own = e.root
+                    if not own:
+                        continue
                     if isinstance(e, Completed):
-                        out.append((shard, "completed", e.root_rule, e.sequence, e.root[0], None, None, list(e.path), len(e.path), key))
+                        out.append((r.shard, "completed", e.root_rule, e.sequence, root, None, None, list(e.path), len(e.path), key))
                     else:
-                        out.append((shard, "step", e.root_rule, e.sequence, e.root[0], e.step, e.matched_rule, None, None, key))
+                        out.append((r.shard, "step", e.root_rule, e.sequence, root, e.step, e.matched_rule, None, None, key))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
             yield frame.astype({"step_idx": "Int32", "steps": "Int32"})
 
-    slim = rows.select("shard", "t", "event", "pos", "rule_id", "pid")
-    return slim.repartition("shard").sortWithinPartitions("shard", "t", "event", "pos").mapInPandas(run, OUT)
+    slim = cells.select("shard", "slab", "t", "event", "pos", "rule_id", "pid", "own")
+    return slim.sortWithinPartitions("shard", "slab", "t", "event", "pos").mapInPandas(run, OUT)
+
+
+def run_exact(rows: DataFrame, snapshot: RuleSnapshot, most: int = MOST_INSTANCES, counted_thresholds: bool = False) -> DataFrame:
+    """The state machine over sorted streams: a task holds the state of one cell at a time, not its rows."""
+    return _machine(in_cells(rows, snapshot), snapshot, most, counted_thresholds)
 
 
 def correlate(matches: DataFrame, snapshot: RuleSnapshot, most: int = MOST_INSTANCES, exact: bool = False) -> DataFrame:
@@ -140,9 +191,12 @@ def correlate(matches: DataFrame, snapshot: RuleSnapshot, most: int = MOST_INSTA
     rows = prepared(matches, snapshot)
     if exact or not snapshot.sequences:
         return run_exact(rows, snapshot, most)
-    crowded = crowded_shards(rows, snapshot, most)
-    calm = rows.join(crowded, "shard", "left_anti")
-    out = run_exact(rows.join(crowded, "shard", "left_semi"), snapshot, most)
-    for rule in snapshot.sequences:
-        out = out.unionByName(_events(_chain(calm, rule), rule))
+    cells = with_crowding(in_cells(rows, snapshot), snapshot, most)
+    calm = cells.where(~F.col("crowded"))
+    out = _machine(cells.where("crowded"), snapshot, most)
+    for scope in ("shard", "pid"):
+        rules = [r for r in snapshot.sequences if (r.sequence.scope == "pid") == (scope == "pid")]
+        for at in range(0, len(rules), SEQUENCES_PER_PASS):
+            chosen = rules[at : at + SEQUENCES_PER_PASS]
+            out = out.unionByName(_events(_pointers(calm, chosen, scope), chosen))
     return out

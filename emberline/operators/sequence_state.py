@@ -3,7 +3,8 @@
 Matches of one shard come in order of time, event and candidate position. A match of a rule that
 has a sequence starts an instance; then every sequence that waits for the rule is advanced. A
 step must come within its limit after the one before, the limit included; anything else leaves
-the instance as it is.
+the instance as it is. In the scope of a process an absent pid is equal to none: such a root
+waits until it expires.
 """
 
 from __future__ import annotations
@@ -60,6 +61,10 @@ class Correlator:
         self.live: dict[str, dict[int, Progress]] = {}
         self.next_id = 1
 
+    def forget(self) -> None:
+        """Back to the start, for the next shard or cell."""
+        self.live, self.next_id = {}, 1
+
     def on_match(self, rule_id: str, now: int, pid: int | None, key: tuple = ()) -> list[Step | Completed]:
         out: list[Step | Completed] = []
         if rule_id in self.starts:
@@ -91,7 +96,7 @@ class Correlator:
             if now > p.expiry:
                 done.append(i)
                 continue
-            if p.scope_pid is not None and p.scope_pid != pid or p.step >= len(seq.steps) or seq.steps[p.step].rule_id != rule_id:
+            if seq.scope == "pid" and (pid is None or p.scope_pid != pid) or p.step >= len(seq.steps) or seq.steps[p.step].rule_id != rule_id:
                 continue
             if self.counted and seq.kind == "threshold":
                 p.hits += 1
