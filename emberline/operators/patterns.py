@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import stable_uuid
 from ..functions.text import lines_of
 from ..sources.files import in_scope
+from .views import last_rows
 
 
 @dataclass(frozen=True)
@@ -63,32 +64,50 @@ def snippets(files: DataFrame, regex: str, most: int = 3) -> DataFrame:
     return found.select("path", "n", _around(F.col("i")).alias("snippet"))
 
 
-def mine(code: DataFrame, docs: DataFrame, specs: Sequence[PatternSpec]) -> DataFrame:
-    """One row per pattern: its id, origin, confidence, evidence. Each table is scanned once for all patterns."""
-    spark = code.sparkSession
-    names = F.array(*[F.struct(F.lit(s.name).alias("pattern_name"), F.lit(s.reason).alias("reason"), F.array(*[F.lit(t) for t in s.tags]).cast("array<string>").alias("tags"), F.lit(",".join(sorted(set(s.scopes)))).alias("scope_text")) for s in specs])
-    table = spark.range(1).select(F.inline(names))
+def mined_evidence(code: DataFrame, specs: Sequence[PatternSpec]) -> DataFrame:
+    """``pattern_name, path, line_start, line_end, code_snippet, context`` of each line that a pattern in scope matches.
+
+    One scan for all patterns and no shuffle; the evidence of a pattern is rows, however many there are.
+    """
     lines = with_lines(code).select("path", "lines", F.posexplode("lines").alias("i", "line"))
     which = F.array_compact(F.array(*[F.when(in_scope(F.col("path"), s.scopes) & F.col("line").rlike(s.code_regex), F.lit(s.name)) for s in specs]))
     hits = lines.withColumn("which", which).where(F.size("which") > 0)
-    proof = F.struct("path", (F.col("i") + 1).alias("line_start"), F.trim("line").alias("code_snippet"), _context().alias("context"))
-    found = hits.select(F.explode("which").alias("pattern_name"), proof.alias("e")).groupBy("pattern_name").agg(F.count(F.lit(1)).alias("n_evidence"), F.array_sort(F.collect_list("e")).alias("evidence"))
-    doc_lines = with_lines(docs)
+    place = (F.col("i") + 1).alias("line_start"), (F.col("i") + 1).alias("line_end")
+    return hits.select(F.explode("which").alias("pattern_name"), "path", *place, F.trim("line").alias("code_snippet"), _context().alias("context"))
+
+
+def evidence_lists(found: DataFrame, most: int) -> DataFrame:
+    """``pattern_name, evidence``: the first ``most`` rows of ``mined_evidence`` of each pattern, in file order."""
+    first = last_rows(found, [F.col("pattern_name")], ["path", "line_start"], most, first=True)
+    proof = F.struct("path", "line_start", "line_end", "code_snippet", "context")
+    return first.groupBy("pattern_name").agg(F.array_sort(F.collect_list(proof)).alias("evidence"))
+
+
+def mine(code: DataFrame, docs: DataFrame, specs: Sequence[PatternSpec]) -> DataFrame:
+    """One row per pattern: its id, origin, confidence, and how much evidence ``mined_evidence`` has of it.
+
+    Each table is scanned once for all patterns; counts and origins are combined before they are shuffled.
+    """
+    spark = code.sparkSession
+    names = F.array(*[F.struct(F.lit(s.name).alias("pattern_name"), F.lit(s.reason).alias("reason"), F.array(*[F.lit(t) for t in s.tags]).cast("array<string>").alias("tags"), F.array(*[F.lit(x) for x in s.scopes]).cast("array<string>").alias("scope_paths")) for s in specs])
+    table = spark.range(1).select(F.inline(names))
+    found = mined_evidence(code, specs).groupBy("pattern_name").agg(F.count(F.lit(1)).alias("n_evidence"))
     firsts = F.array_compact(
         F.array(*[F.when(in_scope(F.col("path"), s.scopes) & _any_line(s.doc_regex), F.struct(F.lit(s.name).alias("pattern_name"), _first_snippet(s.doc_regex).alias("snippet"))) for s in specs])
     )
-    origins = doc_lines.select("path", F.inline(firsts)).groupBy("pattern_name").agg(F.min_by(F.struct("path", "snippet"), F.col("path")).alias("origin"))
-    row = table.join(found, "pattern_name", "left").join(origins, "pattern_name", "left")
-    key = F.concat(F.col("pattern_name"), F.lit("::"), F.coalesce("origin.path", F.lit("none")), F.lit("::"), F.col("scope_text"))
+    origins = with_lines(docs).select("path", F.inline(firsts)).groupBy("pattern_name").agg(F.min_by(F.struct("path", "snippet"), F.col("path")).alias("origin"))
+    row = table.join(F.broadcast(found), "pattern_name", "left").join(F.broadcast(origins), "pattern_name", "left")  # a row per pattern each
+    scopes = F.array_join(F.array_sort(F.array_distinct("scope_paths")), ",")
+    key = F.concat(F.col("pattern_name"), F.lit("::"), F.coalesce("origin.path", F.lit("none")), F.lit("::"), scopes)
     return row.select(
         stable_uuid("pattern", key).alias("pattern_id"),
         "pattern_name",
         "reason",
         "tags",
+        "scope_paths",
         F.coalesce("origin.path", F.lit("")).alias("origin_path"),
         F.coalesce("origin.snippet", F.lit("")).alias("snippet"),
         F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"),
-        "evidence",
         F.when(F.col("n_evidence") > 0, F.lit(1.0)).otherwise(F.lit(0.5)).alias("confidence"),
     )
 

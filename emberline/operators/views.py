@@ -28,14 +28,14 @@ def rule_counts(matches: DataFrame, order: Column, latest: dict[str, str]) -> Da
     return matches.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("rule_hash", order).alias("rule_hash"), F.min_by("severity", order).alias("severity"), *aggs)
 
 
-def last_rows(df: DataFrame, group: list[Column], order: list[str], most: int = RING) -> DataFrame:
-    """The last ``most`` rows of each group. Ranks are cut per task before they meet, so a hot group is no hot task."""
-    desc = [F.desc(c) for c in order]
+def last_rows(df: DataFrame, group: list[Column], order: list[str], most: int = RING, first: bool = False) -> DataFrame:
+    """The last (or ``first``) ``most`` rows of each group. Ranks are cut per salt before they meet, so a hot group is no hot task."""
+    ranked = [F.asc(c) if first else F.desc(c) for c in order]
     named = df.select("*", *[g.alias(f"_g{i}") for i, g in enumerate(group)])
     keys = [f"_g{i}" for i in range(len(group))]
     salted = named.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(32)))
-    local = salted.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*desc))).where(F.col("_n") <= most)
-    whole = local.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*desc))).where(F.col("_n") <= most)
+    local = salted.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*ranked))).where(F.col("_n") <= most)
+    whole = local.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*ranked))).where(F.col("_n") <= most)
     return whole.drop("_n", "_salt", *keys)
 
 

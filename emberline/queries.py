@@ -610,12 +610,35 @@ def doc_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.snippets(docs, "licens|the an")
 
 
-@query(f"""SELECT pattern_name, count(doc_id) AS n_evidence, CASE WHEN count(doc_id) > 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence FROM (VALUES ('licence', 'Licens'), ('nothing', 'zzzzqq'), ('table', ' \\| ')) p(pattern_name, r)
-  LEFT JOIN {_LINES} d ON regexp_matches(d.line, r) GROUP BY pattern_name""")
+_MINED = "(VALUES ('licence', 'Licens'), ('nothing', 'zzzzqq'), ('table', ' \\| ')) p(pattern_name, r)"
+
+
+def mined_specs() -> list[patterns.PatternSpec]:
+    return [patterns.PatternSpec(n, r, r, f"why {n}", ("x", n), ("",)) for n, r in (("licence", "Licens"), ("nothing", "zzzzqq"), ("table", r" \| "))]
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+
+
+@query(f"""WITH found AS (SELECT pattern_name, count(*) AS n FROM {_MINED} JOIN {_LINES} d ON regexp_matches(d.line, r) GROUP BY pattern_name),
+  origins AS (SELECT pattern_name, doc_id::VARCHAR AS path, trim(array_to_string(l[greatest(i - 2, 1) : i + 2], chr(10))) AS snippet FROM {_MINED} JOIN {_LINES} d ON regexp_matches(d.line, r, 'i')
+    QUALIFY row_number() OVER (PARTITION BY pattern_name ORDER BY doc_id::VARCHAR, i) = 1)
+  SELECT p.pattern_name, 'why ' || p.pattern_name AS reason, 'x,' || p.pattern_name AS tags, coalesce(path, '') AS origin_path, coalesce(snippet, '') AS snippet,
+  coalesce(n, 0) AS n_evidence, CASE WHEN n > 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence FROM {_MINED} LEFT JOIN found USING (pattern_name) LEFT JOIN origins USING (pattern_name)""")
 def mine_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = [patterns.PatternSpec(n, r, r, "", ("x",), ("",)) for n, r in (("licence", "Licens"), ("nothing", "zzzzqq"), ("table", r" \| "))]
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    return patterns.mine(docs, docs, specs).select("pattern_name", "n_evidence", "confidence")
+    docs = document_files(spark, sf_dir)
+    return patterns.mine(docs, docs, mined_specs()).select("pattern_name", "reason", F.array_join("tags", ",").alias("tags"), "origin_path", "snippet", "n_evidence", "confidence")
+
+
+_HEAD = "(trim(l[{0}]) LIKE '//%' OR trim(l[{0}]) LIKE 'fn %')"
+
+
+@query(f"""SELECT pattern_name, doc_id::VARCHAR AS path, i::INT AS line_start, i::INT AS line_end, trim(line) AS code_snippet,
+  CASE WHEN i > 3 AND {_HEAD.format("i - 3")} THEN trim(l[i - 3]) WHEN i > 2 AND {_HEAD.format("i - 2")} THEN trim(l[i - 2]) WHEN i > 1 AND {_HEAD.format("i - 1")} THEN trim(l[i - 1]) ELSE '' END AS context
+  FROM {_MINED} JOIN {_LINES} d ON regexp_matches(d.line, r)""")
+def mined_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.mined_evidence(document_files(spark, sf_dir), mined_specs())
 
 
 @query()

@@ -18,39 +18,56 @@ from ..operators.sequence_state import MOST_INSTANCES, Completed, Correlator
 from ..plans.rules import RuleSnapshot
 from ..sources.rules_dir import RuleDirectory
 
+NANOS_PER_MS = 1_000_000
+
 
 def stream_matches(events: DataFrame, snapshot: RuleSnapshot) -> DataFrame:
     """The same plan as in batch: a projection and a generator, without state."""
     return match_rules(events, snapshot)
 
 
-def stream_sequences(matches: DataFrame, snapshot: RuleSnapshot, most: int = MOST_INSTANCES) -> DataFrame:
+def stream_sequences(matches: DataFrame, snapshot: RuleSnapshot, most: int = MOST_INSTANCES, late: str | None = None) -> DataFrame:
     """Step and completion records, with the correlator of each shard as keyed state.
 
     The rows of a batch are ordered by time within a shard; state is what the rules' own limits
     leave alive. The state outlives a reload of rules, as it refers to them by id.
+
+    With ``late`` the stream has a watermark so far behind its newest match: a shard's state goes
+    as soon as the watermark has passed its last limit, whether or not the shard is heard of
+    again, and matches older than the watermark are left out. Without it no match is too late,
+    and the state of a shard goes only with one of its own matches.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = Correlator(snapshot, most)
-        if state.exists:
-            machine.live, machine.next_id = pickle.loads(state.get[0])
-        rows = pd.concat(list(batches)).sort_values(["t", "event", "pos"])
         out: list[tuple] = []
-        for r in rows.itertuples(index=False):
-            at = f"{r.t}:{r.event}:{r.pos}"
-            for e in machine.on_match(r.rule_id, int(r.t), None if pd.isna(r.pid) else int(r.pid), (at,)):
-                if isinstance(e, Completed):
-                    out.append((key[0], "completed", e.root_rule, e.sequence, e.root[0], None, None, list(e.path), len(e.path), at))
-                else:
-                    out.append((key[0], "step", e.root_rule, e.sequence, e.root[0], e.step, e.matched_rule, None, None, at))
-        if machine.live:
-            state.update((pickle.dumps((machine.live, machine.next_id)),))
-        elif state.exists:
+        if state.hasTimedOut:
             state.remove()
+        else:
+            machine = Correlator(snapshot, most)
+            if state.exists:
+                machine.live, machine.next_id = pickle.loads(state.get[0])
+            rows = pd.concat(list(batches)).sort_values(["t", "event", "pos"])
+            for r in rows.itertuples(index=False):
+                at = f"{r.t}:{r.event}:{r.pos}"
+                for e in machine.on_match(r.rule_id, int(r.t), None if pd.isna(r.pid) else int(r.pid), (at,)):
+                    if isinstance(e, Completed):
+                        out.append((key[0], "completed", e.root_rule, e.sequence, e.root[0], None, None, list(e.path), len(e.path), at))
+                    else:
+                        out.append((key[0], "step", e.root_rule, e.sequence, e.root[0], e.step, e.matched_rule, None, None, at))
+            limit = max((p.expiry for own in machine.live.values() for p in own.values()), default=None)
+            over = limit is None or (late is not None and limit // NANOS_PER_MS < state.getCurrentWatermarkMs())
+            if not over:
+                state.update((pickle.dumps((machine.live, machine.next_id)),))
+                if late is not None:
+                    state.setTimeoutTimestamp(limit // NANOS_PER_MS + 1)
+            elif state.exists:
+                state.remove()
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"step_idx": "Int32", "steps": "Int32"})
 
-    return prepared(matches, snapshot).groupBy("shard").applyInPandasWithState(run, OUT, "state binary", "append", GroupStateTimeout.NoTimeout)
+    rows, timeout = prepared(matches, snapshot), GroupStateTimeout.NoTimeout
+    if late is not None:
+        rows, timeout = rows.withColumn("at", F.expr("timestamp_micros(t div 1000)")).withWatermark("at", late), GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("shard").applyInPandasWithState(run, OUT, "state binary", "append", timeout)
 
 
 def run_with_reload(events: DataFrame, rules: RuleDirectory, sink: Callable[[DataFrame, int, int], Any], checkpoint: str) -> StreamingQuery:

@@ -149,3 +149,16 @@ def test_token_bucket(spark):
     rows = [(i, i * 1000) for i in range(100)]
     df = spark.createDataFrame(rows, "i long, t long")
     assert sampling.token_bucket(df, ["i"], "t").where("shown").count() == 50
+
+
+def test_mined_evidence_and_its_first_rows(spark):
+    files = spark.createDataFrame([("b", "hit 1\n\n// note\n  hit 2"), ("a", "fn f\nx\nhit 3"), ("c", None), ("d", "")], "path string, text string")
+    specs = [patterns.PatternSpec("p", "hit", "HIT", "why", ("t",), ("",)), patterns.PatternSpec("q", "none", "none", "", (), ("a", "a"))]
+    found = patterns.mined_evidence(files, specs)
+    want = [("p", "a", 3, 3, "hit 3", "fn f"), ("p", "b", 1, 1, "hit 1", ""), ("p", "b", 4, 4, "hit 2", "// note")]
+    assert sorted(tuple(r) for r in found.collect()) == want
+    lists = patterns.evidence_lists(found, 2).collect()
+    assert [(r["pattern_name"], [tuple(e) for e in r["evidence"]]) for r in lists] == [("p", [w[1:] for w in want[:2]])]
+    rows = {r["pattern_name"]: r for r in patterns.mine(files, files, specs).collect()}
+    assert (rows["p"]["n_evidence"], rows["p"]["confidence"], rows["p"]["origin_path"], rows["p"]["snippet"]) == (3, 1.0, "a", "fn f\nx\nhit 3")
+    assert (rows["q"]["n_evidence"], rows["q"]["confidence"], rows["q"]["origin_path"], rows["q"]["scope_paths"]) == (0, 0.5, "", ["a", "a"])
