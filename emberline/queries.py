@@ -478,12 +478,14 @@ def seq_threshold_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completions(table(spark, sf_dir, "events"), snapshot)
 
 
-@query()
+@query(f"""WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS o FROM events)
+  SELECT root_event, last_event FROM (SELECT r.event_id AS root_event, x.event_id AS last_event, x.ts <= r.ts + INTERVAL '20 days' AS in_time, row_number() OVER (PARTITION BY r.o ORDER BY x.o) AS nth
+    FROM (SELECT * FROM e WHERE {_ROOT}) r JOIN (SELECT * FROM e WHERE {_BUY}) x ON x.user_id = r.user_id AND x.o > r.o) WHERE nth = 3 AND in_time""")
 def seq_threshold_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extension in which a threshold sequence waits for its count."""
     snapshot = bench(rule_toml("root", CLICK, "high", sequence_toml("s", [("buy", "20d")], "threshold", more="threshold = 3\n")), rule_toml("buy", BUY))
     rows = prepared(match_rules(table(spark, sf_dir, "events"), snapshot), snapshot)
-    return run_exact(rows, snapshot, counted_thresholds=True).where("type = 'completed'").select("shard", "root_order", "event_order")
+    return run_exact(rows, snapshot, counted_thresholds=True).where("type = 'completed'").select(event_no("root_order").alias("root_event"), event_no("event_order").alias("last_event"))
 
 
 @query()
