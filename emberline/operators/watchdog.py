@@ -1,11 +1,21 @@
-"""Heartbeat supervision in batch: stale heartbeats, lost programs."""
+"""Heartbeat supervision in batch: stale heartbeats, lost programs.
+
+Both look at the heartbeats of a key in order of time. Rows are dealt by key and slab of time, and
+what a slab has to know of those before it comes from one row per slab, so a key with most of
+all heartbeats is many tasks. Heartbeats without key or time are none.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHECK_MS, STALE_MS = 5_000, 15_000
+SLAB_MS = 3_600_000
+
+
+def in_slabs(heartbeats: DataFrame, key: str, slab_ms: int = SLAB_MS) -> DataFrame:
+    return heartbeats.where(F.col(key).isNotNull() & F.col("ts_ms").isNotNull()).withColumn("_slab", F.expr(f"ts_ms div {slab_ms}"))
 
 
 def from_agent(heartbeats: DataFrame, key: str) -> DataFrame:
@@ -20,8 +30,12 @@ def stale_heartbeats(heartbeats: DataFrame, key: str, armed_ms: int = 0, check_m
     Checks run every ``check_ms`` from ``armed_ms``; a gap fires once, and only if such a check
     comes before the next heartbeat. The last heartbeat of a key has no next one and fires.
     """
-    order = Window.partitionBy(key).orderBy("ts_ms")
-    gaps = heartbeats.select(key, F.col("ts_ms").alias("last_ts"), F.lead("ts_ms").over(order).alias("next_ts"))
+    rows = in_slabs(heartbeats.select(key, "ts_ms"), key)
+    following = F.lead("ts_ms").over(Window.partitionBy(key, "_slab").orderBy("ts_ms"))
+    inside = rows.select(key, F.col("ts_ms").alias("last_ts"), following.alias("next_ts")).where(F.col("next_ts").isNotNull())
+    ends = rows.groupBy(key, "_slab").agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"))
+    across = ends.select(key, F.col("last").alias("last_ts"), F.lead("first").over(Window.partitionBy(key).orderBy("_slab")).alias("next_ts"))
+    gaps = inside.unionByName(across)
     ticks = F.ceil((F.col("last_ts") + stale_ms - armed_ms) / F.lit(check_ms)).cast("long")
     fired = gaps.withColumn("fired_at", ticks * check_ms + armed_ms).where(F.col("next_ts").isNull() | (F.col("fired_at") < F.col("next_ts")))
     return fired.select(key, "last_ts", "fired_at", (F.col("fired_at") - F.col("last_ts")).alias("age_ms"))
@@ -29,12 +43,21 @@ def stale_heartbeats(heartbeats: DataFrame, key: str, armed_ms: int = 0, check_m
 
 def lost_programs(heartbeats: DataFrame, key: str) -> DataFrame:
     """``key, ts_ms, severity, kind, reason``: the first drop below the most programs ever seen, once until recovery."""
-    order = Window.partitionBy(key).orderBy("ts_ms")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = heartbeats.select(key, "ts_ms", "n_progs", F.max("n_progs").over(so_far).alias("most"))
-    episodes = seen.withColumn("low", (F.col("most") > 0) & (F.col("n_progs") < F.col("most"))).withColumn("episode", F.sum((~F.col("low")).cast("int")).over(so_far))
-    first = F.row_number().over(Window.partitionBy(key, "episode").orderBy("ts_ms"))
-    lows = episodes.where("low").withColumn("nth", first).where("nth = 1")
+    rows = in_slabs(heartbeats.select(key, "ts_ms", "n_progs"), key)
+    slabs = rows.groupBy(key, "_slab").agg(F.max("n_progs").alias("hi"), F.max_by("n_progs", F.struct("ts_ms", "n_progs")).alias("last"))
+    earlier = Window.partitionBy(key).orderBy("_slab")
+    known = slabs.select(key, "_slab", F.max("hi").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("most_before"), F.lag("last").over(earlier).alias("last_before"))
+    order = Window.partitionBy(key, "_slab").orderBy("ts_ms", "n_progs")
+    so_far = F.max("n_progs").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = rows.join(known, [key, "_slab"]).withColumn("most", F.greatest(so_far, "most_before"))
+
+    def below(n: str, most: str) -> Column:
+        return F.coalesce((F.col(most) > 0) & (F.col(n) < F.col(most)), F.lit(False))
+
+    low = seen.withColumn("low", below("n_progs", "most"))
+    # The latch: a drop is told where the row before was none; before the first row of a slab is the last one of the slab before.
+    before = F.coalesce(F.lag("low").over(order), below("last_before", "most_before"))
+    lows = low.withColumn("before", before).where(F.col("low") & ~F.col("before"))
     zero = F.col("n_progs") == 0
     return lows.select(
         key,
