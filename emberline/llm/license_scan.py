@@ -307,5 +307,7 @@ def scan_licenses(
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     up = own.where(F.col("own_license").isNull() & F.col("path").isNotNull()).select("dir").distinct().select(F.col("dir").alias("of"), F.explode(F.array_distinct(ancestors)).alias("dir"))
     nearest = up.join(dirs, "dir").groupBy("of").agg(F.max_by(F.struct(F.col("dir").alias("from_path"), F.col("dir_license")), F.length("dir")).alias("near"))
+    # A table, so that the join has plain exchanges and Spark can split the files of a hot directory.
+    nearest = cut_table(nearest)
     out = own.join(nearest, (own["dir"] == nearest["of"]) & own["own_license"].isNull() & own["path"].isNotNull(), "left")
     return out.select("doc_id", "path", "own_license", F.round("score", 9).alias("score"), "line", F.coalesce("own_license", "near.dir_license").alias("license"), F.col("near.from_path").alias("from_path"))
