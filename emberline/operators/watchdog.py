@@ -41,13 +41,16 @@ def stale_heartbeats(heartbeats: DataFrame, key: str, armed_ms: int = 0, check_m
     return fired.select(key, "last_ts", "fired_at", (F.col("fired_at") - F.col("last_ts")).alias("age_ms"))
 
 
-def lost_programs(heartbeats: DataFrame, key: str) -> DataFrame:
-    """``key, ts_ms, severity, kind, reason``: the first drop below the most programs ever seen, once until recovery."""
-    rows = in_slabs(heartbeats.select(key, "ts_ms", "n_progs"), key)
-    slabs = rows.groupBy(key, "_slab").agg(F.max("n_progs").alias("hi"), F.max_by("n_progs", F.struct("ts_ms", "n_progs")).alias("last"))
+def lost_programs(heartbeats: DataFrame, key: str, arrival: str = "n_progs") -> DataFrame:
+    """``key, ts_ms, severity, kind, reason``: the first drop below the most programs ever seen, once until recovery.
+
+    Heartbeats of one millisecond are in the order of ``arrival``.
+    """
+    rows = in_slabs(heartbeats.select(key, "ts_ms", "n_progs", F.col(arrival).alias("_nth")), key)
+    slabs = rows.groupBy(key, "_slab").agg(F.max("n_progs").alias("hi"), F.max_by("n_progs", F.struct("ts_ms", "_nth")).alias("last"))
     earlier = Window.partitionBy(key).orderBy("_slab")
     known = slabs.select(key, "_slab", F.max("hi").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("most_before"), F.lag("last").over(earlier).alias("last_before"))
-    order = Window.partitionBy(key, "_slab").orderBy("ts_ms", "n_progs")
+    order = Window.partitionBy(key, "_slab").orderBy("ts_ms", "_nth")
     so_far = F.max("n_progs").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     seen = rows.join(known, [key, "_slab"]).withColumn("most", F.greatest(so_far, "most_before"))
 

@@ -518,7 +518,7 @@ def heartbeat_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN n_progs = 0 THEN 'bpf-progs-zero-while-alive' ELSE 'bpf-progs-dropped-' || n_progs || '-of-' || most END AS reason
   FROM ep WHERE low QUALIFY row_number() OVER (PARTITION BY key, episode ORDER BY ts_ms) = 1""")
 def progs_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return watchdog.lost_programs(heartbeats(spark, sf_dir), "key")
+    return watchdog.lost_programs(heartbeats(spark, sf_dir), "key", "event_id")
 
 
 @query(f"SELECT key, max(ts_ms) AS ts_ms, 4 AS severity, 3 AS kind, 'watchdog-unloading' AS reason FROM ({_HEARTBEATS}) GROUP BY key")
