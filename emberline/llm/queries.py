@@ -17,6 +17,7 @@ from .packing import pack_documents
 from .quality import judge_quality
 from .runtime import table
 from .suffix_dedup import remove_repeats
+from .token_counts import count_tokens
 from .url_filter import UrlRule, judge_urls
 
 
@@ -81,6 +82,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_language_id,
         op10_suffix_dedup,
+        op12_token_counts,
     )
 }
 
