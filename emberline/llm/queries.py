@@ -19,6 +19,7 @@ from .runtime import table
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .url_filter import UrlRule, judge_urls
+from .whitening import whiten_embeddings
 
 
 def tokenizer_path(name: str) -> str:
@@ -86,6 +87,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language_id,
         op10_suffix_dedup,
         op12_token_counts,
+        op13_embedding_whitening,
     )
 }
 
