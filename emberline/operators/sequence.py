@@ -44,8 +44,8 @@ def nanos(column: Column, kind: str) -> Column:
     return F.unix_micros(column) * 1000 if kind == "timestamp" else column.cast("long")
 
 
-def prepared(matches: DataFrame, snapshot: RuleSnapshot) -> DataFrame:
-    """Only matches that start or advance a sequence, with one key for shard, time, order and pid."""
+def prepared(matches: DataFrame, snapshot: RuleSnapshot, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Only matches that start or advance a sequence, with one key for shard, time, order and pid; ``keep`` adds columns."""
     c = snapshot.catalog
     kind = dict(matches.dtypes)[c.order[0]]
     pid = c.meta.get("pid", "pid")
@@ -57,6 +57,7 @@ def prepared(matches: DataFrame, snapshot: RuleSnapshot) -> DataFrame:
         F.col("cand_pos").alias("pos"),
         "rule_id",
         F.col("pid" if "pid" in matches.columns else pid).cast("long").alias("pid"),
+        *keep,
     )
 
 

@@ -41,7 +41,7 @@ def stale_heartbeats(heartbeats: DataFrame, key: str, armed_ms: int = 0, check_m
     return fired.select(key, "last_ts", "fired_at", (F.col("fired_at") - F.col("last_ts")).alias("age_ms"))
 
 
-def lost_programs(heartbeats: DataFrame, key: str, arrival: str = "n_progs") -> DataFrame:
+def lost_programs(heartbeats: DataFrame, key: str, arrival: str) -> DataFrame:
     """``key, ts_ms, severity, kind, reason``: the first drop below the most programs ever seen, once until recovery.
 
     Heartbeats of one millisecond are in the order of ``arrival``.

@@ -19,8 +19,6 @@ from .operators.sequence import correlate, prepared, run_exact, utc_micros
 from .plans.catalog import FieldCatalog, bench_catalog, document_catalog
 from .plans.rules import RuleSnapshot, compile_rules
 from .sources.events import hook_table
-from .sources.shared import checkpoint_dir
-from .streaming.matching import stream_matches, stream_sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -532,34 +530,6 @@ def ui_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.token_bucket(events, ["ts_ns"], "ts_ns", "event_type").select("event_id", "shown")
 
 
-# --- streaming ------------------------------------------------------------------------------
-
-
-def drained(out: DataFrame) -> DataFrame:
-    """What a stream gives for the input that is there, by a file sink in the shared folder."""
-    spark = out.sparkSession
-    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
-
-
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A pattern, as a stream of files takes a folder or a pattern but not the path of one file.
-    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
-
-
-@query(f"SELECT event_id, rule_id, severity FROM ({MATCHES_SQL})")
-def stream_rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(stream_matches(event_stream(spark, sf_dir), ruleset()).select("event_id", "rule_id", "severity"))
-
-
-@query(f"{_TWO} SELECT root_event, last_event, 1 AS steps FROM s1")
-def stream_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snapshot = two_step()
-    out = drained(stream_sequences(match_rules(event_stream(spark, sf_dir), snapshot), snapshot))
-    return out.where("type = 'completed'").select(event_no("root_order").alias("root_event"), event_no("event_order").alias("last_event"), "steps")
-
-
 # --- texts ----------------------------------------------------------------------------------
 
 _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
@@ -783,4 +753,4 @@ def trace_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.reachable_points(points, searched(points), 3, callers=True)
 
 
-from . import source_queries  # noqa: E402,F401  (registers its queries)
+from . import source_queries, stream_queries  # noqa: E402,F401  (they register their queries)

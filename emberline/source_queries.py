@@ -1,4 +1,4 @@
-"""Registered queries of sources, sinks, log records, streams and whole searches, with SQL."""
+"""Registered queries of sources, sinks, log records and whole searches, with SQL."""
 
 from __future__ import annotations
 
@@ -21,8 +21,6 @@ from .sources import files as files_
 from .sources import sinks
 from .sources.shared import checkpoint_dir, cut
 from .sources.wire import SIZES, decode_events
-from .streaming.staleness import stream_stale_heartbeats
-from .streaming.watchdog import stream_lost_programs
 
 # --- wire records ---------------------------------------------------------------------------
 
@@ -352,26 +350,7 @@ def failed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return respond(match_rules(table(spark, sf_dir, "events"), snapshot, keep=("value", "props")), snapshot, "rule_match").select("event_id", "status", "success")
 
 
-# --- streams ------------------------------------------------------------------------------------
-
-
-def heartbeat_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = Q.event_stream(spark, sf_dir)
-    return e.select(F.col("event_type").alias("key"), F.floor(Q.utc_micros(F.col("ts")) / 100000).alias("ts_ms"), (F.col("user_id") % 5).cast("int").alias("n_progs"))
-
-
-@query(Q.ORACLE_SQL["progs_dropped"])
-def stream_progs_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.drained(stream_lost_programs(heartbeat_stream(spark, sf_dir)))
-
-
-@query(
-    f"""WITH h AS (SELECT key, ts_ms AS last_ts, lead(ts_ms) OVER (PARTITION BY key ORDER BY ts_ms) AS next_ts, ((ts_ms + 15000 + 4999) // 5000) * 5000 AS fired_at FROM ({Q._HEARTBEATS}))
-  SELECT key, last_ts, fired_at, fired_at - last_ts AS age_ms FROM h WHERE fired_at < coalesce(next_ts, (SELECT max(last_ts) FROM h))"""
-)
-def stream_heartbeat_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stale heartbeats as far as the stream's time has come."""
-    return Q.drained(stream_stale_heartbeats(heartbeat_stream(spark, sf_dir)))
+# --- sampling ---------------------------------------------------------------------------------
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT event_id, event_type, event_id * 10000000 AS t, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.match import match_rules
-from ..operators.sequence import OUT, prepared
+from ..operators.sequence import OUT, nanos, prepared
 from ..operators.sequence_state import MOST_INSTANCES, Completed, Correlator
 from ..plans.rules import RuleSnapshot
 from ..sources.rules_dir import RuleDirectory
+from .ordered import Machine, in_order
 
 NANOS_PER_MS = 1_000_000
 
@@ -26,48 +25,49 @@ def stream_matches(events: DataFrame, snapshot: RuleSnapshot) -> DataFrame:
     return match_rules(events, snapshot)
 
 
-def stream_sequences(matches: DataFrame, snapshot: RuleSnapshot, most: int = MOST_INSTANCES, late: str | None = None) -> DataFrame:
-    """Step and completion records, with the correlator of each shard as keyed state.
+class _Sequences(Machine):
+    """The correlator of one shard; its state outlives a reload of rules, as it refers to them by id."""
 
-    The rows of a batch are ordered by time within a shard; state is what the rules' own limits
-    leave alive. The state outlives a reload of rules, as it refers to them by id.
+    def __init__(self, snapshot: RuleSnapshot, most: int):
+        self.snapshot, self.most = snapshot, most
 
-    With ``late`` the stream has a watermark so far behind its newest match: a shard's state goes
-    as soon as the watermark has passed its last limit, whether or not the shard is heard of
-    again, and matches older than the watermark are left out. Without it no match is too late,
-    and the state of a shard goes only with one of its own matches.
-    """
+    def fresh(self) -> tuple:
+        return {}, 1
+
+    def rows(self, key: str, state: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        machine, out = Correlator(self.snapshot, self.most), []
+        machine.live, machine.next_id = state
+        for t, event, pos, rule_id, pid in rows:
+            at = f"{t}:{event}:{pos}"
+            for e in machine.on_match(rule_id, int(t), None if pd.isna(pid) else int(pid), (at,)):
+                if isinstance(e, Completed):
+                    out.append((key, "completed", e.root_rule, e.sequence, e.root[0], None, None, list(e.path), len(e.path), at))
+                else:
+                    out.append((key, "step", e.root_rule, e.sequence, e.root[0], e.step, e.matched_rule, None, None, at))
+        return (machine.live, machine.next_id), out
+
+    def due_ms(self, state: tuple) -> int:
+        last = max((p.expiry for own in state[0].values() for p in own.values()), default=None)
+        return 0 if last is None else last // NANOS_PER_MS + 1
+
+    def time(self, key: str, state: tuple, now_ms: int) -> tuple[None, list[tuple]]:
+        return None, []
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            machine = Correlator(snapshot, most)
-            if state.exists:
-                machine.live, machine.next_id = pickle.loads(state.get[0])
-            rows = pd.concat(list(batches)).sort_values(["t", "event", "pos"])
-            for r in rows.itertuples(index=False):
-                at = f"{r.t}:{r.event}:{r.pos}"
-                for e in machine.on_match(r.rule_id, int(r.t), None if pd.isna(r.pid) else int(r.pid), (at,)):
-                    if isinstance(e, Completed):
-                        out.append((key[0], "completed", e.root_rule, e.sequence, e.root[0], None, None, list(e.path), len(e.path), at))
-                    else:
-                        out.append((key[0], "step", e.root_rule, e.sequence, e.root[0], e.step, e.matched_rule, None, None, at))
-            limit = max((p.expiry for own in machine.live.values() for p in own.values()), default=None)
-            over = limit is None or (late is not None and limit // NANOS_PER_MS < state.getCurrentWatermarkMs())
-            if not over:
-                state.update((pickle.dumps((machine.live, machine.next_id)),))
-                if late is not None:
-                    state.setTimeoutTimestamp(limit // NANOS_PER_MS + 1)
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"step_idx": "Int32", "steps": "Int32"})
-
-    rows, timeout = prepared(matches, snapshot), GroupStateTimeout.NoTimeout
-    if late is not None:
-        rows, timeout = rows.withColumn("at", F.expr("timestamp_micros(t div 1000)")).withWatermark("at", late), GroupStateTimeout.EventTimeTimeout
-    return rows.groupBy("shard").applyInPandasWithState(run, OUT, "state binary", "append", timeout)
+
+def stream_sequences(events: DataFrame, snapshot: RuleSnapshot, late: str, most: int = MOST_INSTANCES) -> DataFrame:
+    """Step and completion records of the rules' sequences over a stream of ``events``, as ``correlate`` gives them in batch.
+
+    ``late`` is how far a row may be behind the newest one, of whatever shard and whether or not
+    it matches a rule. Matches go to the correlator of their shard in the order of time, event and
+    evaluation once the watermark has passed them, so records come that much later. A shard's
+    state goes when the watermark has passed its last limit.
+    """
+    c = snapshot.catalog
+    t = nanos(F.col(c.order[0]), dict(events.dtypes)[c.order[0]])
+    timed = events.withColumn("_at", t).withColumn("_at", F.expr("timestamp_micros(_at div 1000)")).withWatermark("_at", late)
+    matched = match_rules(timed, snapshot, keep=("_at",))
+    rows = prepared(matched, snapshot, keep=("_at",)).where("t IS NOT NULL").withColumn("at_ms", F.expr("t div 1000000"))
+    return in_order(rows, "shard", ["t", "event", "pos", "rule_id", "pid"], "at_ms", _Sequences(snapshot, most), OUT, {"step_idx": "Int32", "steps": "Int32"})
 
 
 def run_with_reload(events: DataFrame, rules: RuleDirectory, sink: Callable[[DataFrame, int, int], Any], checkpoint: str) -> StreamingQuery:
@@ -78,20 +78,3 @@ def run_with_reload(events: DataFrame, rules: RuleDirectory, sink: Callable[[Dat
         sink(match_rules(batch, snapshot), batch_id, rules.version)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def drain(query_of: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """All rows that a stream gives for the input that is there, as a table in memory; for tests and queries."""
-    spark = query_of.sparkSession
-    query = query_of.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
-def with_event_time(events: DataFrame, ts: str, late: str) -> DataFrame:
-    """Rows later than ``late`` behind the newest are left out by stateful operators that follow."""
-    return events.withWatermark(ts, late)
-
-
-def seconds_behind(df: DataFrame, ts: str) -> DataFrame:
-    return df.agg((F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.max(ts))).alias("seconds"))

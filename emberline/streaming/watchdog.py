@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+
+from .ordered import Machine, after_watermark, in_order
 
 ALERTS = "key string, ts_ms long, severity int, kind int, reason string"
 
 
-def stream_lost_programs(heartbeats: DataFrame) -> DataFrame:
-    """``heartbeats`` (``key, ts_ms, n_progs``) to records of drops: one until programs are back at their most."""
+class _Latch(Machine):
+    """The most programs ever seen, and whether a drop has been told; both stay for good."""
+
+    def fresh(self) -> tuple[int, bool]:
+        return 0, False
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        most, latched = state.get if state.exists else (0, False)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("ts_ms").itertuples(index=False):
-            most = max(most, int(r.n_progs))
-            if most and r.n_progs >= most:
+    def rows(self, key: str, state: tuple[int, bool], rows: list[tuple]) -> tuple[tuple[int, bool], list[tuple]]:
+        (most, latched), out = state, []
+        for ts, _, n in rows:
+            n = int(n)
+            most = max(most, n)
+            if most and n >= most:
                 latched = False
             elif most and not latched:
                 latched = True
-                zero = r.n_progs == 0
-                out.append((key[0], int(r.ts_ms), 5 if zero else 3, 2 if zero else 1, "bpf-progs-zero-while-alive" if zero else f"bpf-progs-dropped-{r.n_progs}-of-{most}"))
-        state.update((most, latched))
-        yield pd.DataFrame(out, columns=["key", "ts_ms", "severity", "kind", "reason"])
+                out.append((key, int(ts), 5, 2, "bpf-progs-zero-while-alive") if n == 0 else (key, int(ts), 3, 1, f"bpf-progs-dropped-{n}-of-{most}"))
+        return (most, latched), out
+
+
+def stream_lost_programs(heartbeats: DataFrame, arrival: str, late: str = "0 seconds") -> DataFrame:
+    """``heartbeats`` (``key, ts_ms, n_progs``) to records of drops: one until programs are back at their most.
 
-    return heartbeats.groupBy("key").applyInPandasWithState(run, ALERTS, "most int, latched boolean", "append", GroupStateTimeout.NoTimeout)
+    Heartbeats count in the order of time and ``arrival``, however they are dealt over batches, as
+    long as none is more than ``late`` behind the newest. Those without key, time or number are none.
+    """
+    rows = heartbeats.select(F.col("key").cast("string"), F.col("ts_ms").cast("long"), F.col(arrival).alias("arrival"), "n_progs")
+    timed = rows.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", late)
+    known = timed.where(after_watermark("key", "at") & after_watermark("n_progs", "at"))
+    return in_order(known, "key", ["ts_ms", "arrival", "n_progs"], "ts_ms", _Latch(), ALERTS)

@@ -141,7 +141,7 @@ def test_watchdog(spark):
     beats = spark.createDataFrame([("k", 0, 3, 1), ("k", 3000, 2, 1), ("k", 6000, 0, 1), ("k", 9000, 3, 1), ("k", 12000, 0, 1), ("k", 50000, 3, 1), ("k", 51000, 1, 9)], "key string, ts_ms long, n_progs int, pid int")
     own = watchdog.from_agent(beats, "key")
     assert own.count() == 6
-    assert [(r["ts_ms"], r["kind"]) for r in watchdog.lost_programs(own, "key").orderBy("ts_ms").collect()] == [(3000, 1), (12000, 2)]
+    assert [(r["ts_ms"], r["kind"]) for r in watchdog.lost_programs(own, "key", "n_progs").orderBy("ts_ms").collect()] == [(3000, 1), (12000, 2)]
     assert [(r["last_ts"], r["fired_at"]) for r in watchdog.stale_heartbeats(own, "key").orderBy("last_ts").collect()] == [(12000, 30000), (50000, 65000)]
 
 

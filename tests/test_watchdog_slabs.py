@@ -31,7 +31,7 @@ def test_same_as_plain_loops(spark, seed):
             tick = -(-(t + 15000) // 5000) * 5000
             if i + 1 == len(own) or tick < own[i + 1][1]:
                 stale.append((key, t, tick))
-    got = watchdog.lost_programs(df, "key").collect()
+    got = watchdog.lost_programs(df, "key", "n_progs").collect()
     want = sorted((k, t, 5, 2, "bpf-progs-zero-while-alive") if n == 0 else (k, t, 3, 1, f"bpf-progs-dropped-{n}-of-{most}") for k, t, n, most in drops)
     assert sorted(map(tuple, got)) == want and len(want) > 50
     assert sorted(tuple(r)[:3] for r in watchdog.stale_heartbeats(df, "key").collect()) == sorted(stale)
