@@ -20,7 +20,8 @@ def match_array(snapshot: RuleSnapshot, rules: list[Rule] | None = None, catalog
     """The rules that match a row, in evaluation order; ``catalog`` says where their fields are, if not the snapshot's."""
     catalog = catalog or snapshot.catalog
     order = {r.id: i for i, r in enumerate(snapshot.candidates)}
-    chosen = [r for r in snapshot.candidates if rules is None or r in rules]
+    wanted = None if rules is None else {r.id for r in rules}
+    chosen = [r for r in snapshot.candidates if wanted is None or r.id in wanted]
     hits = [
         F.when(r.predicate(catalog), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.hash).alias("rule_hash"), F.lit(r.severity).alias("severity"), F.lit(order[r.id]).alias("cand_pos")))
         for r in chosen

@@ -70,3 +70,54 @@ def translate(pattern: str) -> str:
         if "flag" not in str(e):
             raise fail(str(e)) from e
     return "(?dU)" + "".join(out)
+
+
+def required_piece(pattern: str) -> str:
+    """The longest text that every match of ``pattern`` contains, as far as it can be told without its groups and classes; "" if none.
+
+    Patterns with alternatives or flags have none, as they may match without any one text.
+    """
+    if "|" in pattern or "(?" in pattern:
+        return ""
+    best, run, i = "", "", 0
+    while i < len(pattern):
+        c, piece, width = pattern[i], "", 1
+        if c == "\\" and i + 1 < len(pattern):
+            width = 2
+            if not pattern[i + 1].isalnum():
+                piece = pattern[i + 1]
+            elif pattern[i + 1] in "xuUpP":  # the digits or the name that follow are no text of their own
+                return best if len(best) >= len(run) else run
+        elif c in "[(":
+            close, depth, j = {"[": "]", "(": ")"}[c], 0, i
+            while j < len(pattern):
+                if pattern[j] == "\\":
+                    j += 1
+                elif pattern[j] == c:
+                    depth += 1
+                elif pattern[j] == close and not (c == "[" and pattern[i:j] in ("[", "[^")):
+                    depth -= 1
+                    if not depth:
+                        break
+                elif c == "(" and pattern[j] == "[":  # a class in a group may hold brackets of any kind
+                    return best if len(best) >= len(run) else run
+                j += 1
+            width = j + 1 - i
+        elif c not in ".^$*+?{}":
+            piece = c
+        after = pattern[i + width : i + width + 1]
+        if after and after in "*?{":
+            piece = ""
+        run, best = (run + piece, best) if piece else ("", max(best, run, key=len))
+        if after and after in "*+?{":
+            best, run = max(best, run, key=len), ""
+            i += width
+            if after == "{":
+                end = pattern.find("}", i)
+                width = (end if end >= 0 else len(pattern)) + 1 - i
+            else:
+                width = 1
+            if pattern[i + width : i + width + 1] in ("?", "+"):
+                width += 1
+        i += width
+    return max(best, run, key=len)

@@ -87,6 +87,10 @@ class Rule:
         return reduce(lambda a, b: a & b, tests)
 
 
+def _bound(rule: Rule) -> bool:
+    return rule.kinds is not None and len(rule.kinds) > 0
+
+
 @dataclass(frozen=True)
 class RuleSnapshot:
     """Compiled rules in load order with the lookups that evaluation needs."""
@@ -96,12 +100,12 @@ class RuleSnapshot:
 
     def rank(self, rule: Rule) -> tuple[int, int]:
         """Evaluation order: rules bound to kinds first, then the others, each in load order."""
-        bound = rule.kinds is not None and len(rule.kinds) > 0
-        return (0 if bound else 1, self.rules.index(rule))
+        return (0 if _bound(rule) else 1, self.rules.index(rule))
 
     @property
     def candidates(self) -> list[Rule]:
-        return sorted(self.rules, key=self.rank)
+        """All rules in evaluation order."""
+        return sorted(self.rules, key=lambda r: not _bound(r))
 
     @property
     def sequences(self) -> list[Rule]:
