@@ -5,7 +5,7 @@ import random
 import pytest
 from odd import ODD, TWICE, frame, got_rows, sql_rows
 
-from emberline.llm.exact_dedup import exact_groups
+from emberline.llm.exact_dedup import digests, exact_groups, salt_winners
 from emberline.llm.line_dedup import dedup_lines
 from emberline.llm.mixing import mix_sources
 from emberline.llm.queries import ORACLE_SQL, URL_RULES
@@ -29,6 +29,15 @@ def test_exact_nulls_and_repeats(spark):
     assert all(r["kept"] for r in out if r["doc_id"] is None and r["keep_id"] is None)
 
 
+@pytest.mark.parametrize("copies", [400, 40_000])
+def test_exact_sends_one_row_a_text_and_task(spark, copies):
+    """Rows that the local step leaves: four tasks, two texts, whatever the number of copies."""
+    rows = spark.range(copies, numPartitions=4).selectExpr("id AS doc_id", "if(id % 10 = 0, 'some other text', repeat('hot text ', 20)) AS content").select("doc_id", *digests(F.col("content")), "content")
+    sent = salt_winners(rows, 200)
+    assert sent.count() == 8 and sent.agg(F.sum("n")).first()[0] == copies
+    assert salt_winners(rows, 1).count() == 2
+
+
 def test_exact_hot_group(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same  text")).otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     out = exact_groups(df)
