@@ -1,7 +1,10 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
 
 A source's documents, in the order of a digest of their ids, are one stretch of characters that
-is cut into blocks. The target weights are shares of a frame of ``frame`` slots, one block each.
+is cut into blocks. The target weights are shares of a frame of slots, one block each. The frame
+is so long that the smallest weight has ``least_slots`` of it, so whole slots are away from a
+weight by less than one in ``least_slots``; weights below ``least_slots`` in ``MOST_FRAME`` of all
+have fewer, and the smallest of these one.
 Block k of a source with share a is released at slot ``floor(k * frame / a)`` and due by slot
 ``ceil((k + 1) * frame / a)``; each slot goes to the released block with the earliest deadline.
 Shares fill the frame exactly, so every deadline is met and after any number of slots no source
@@ -21,11 +24,23 @@ document is dropped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import cut_table
+
+#: The longest frame, and how many of its slots are scheduled before they are joined to the rest.
+MOST_FRAME, STRETCH = 1_000_000, 500
+
+
+def frame_for(weights: DataFrame, frame: int, least_slots: int) -> int:
+    """Slots in which the smallest weight of every group has ``least_slots``; ``frame`` at least."""
+    needed = weights.groupBy("grp").agg((F.sum("w") / F.min("w")).alias("n")).agg(F.max("n")).first()[0]
+    return frame if needed is None else min(MOST_FRAME, max(frame, math.ceil(round(needed * least_slots, 6))))
+
 
 def shares(weights: DataFrame, frame: int) -> DataFrame:
     """``grp, entries``: arrays of (source, share), the shares of a group adding up to ``frame``.
@@ -51,31 +66,36 @@ def shares(weights: DataFrame, frame: int) -> DataFrame:
 def frame_schedule(entries: DataFrame, frame: int) -> DataFrame:
     """``grp, source, share, nth, frame_slot``: the slot in a frame of each source's nth block there.
 
-    Earliest deadline first, as a fold over the slots of one frame; ``frame`` rows a group.
+    Earliest deadline first, as a fold over the slots of one frame; ``frame`` rows a group. The
+    picks are a text, joined in stretches, so that a long frame is not copied at every slot.
     """
 
+    def once(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
     def step(acc: Column, t: Column) -> Column:
         ready = F.transform(
             F.col("entries"),
-            lambda e, i: F.when(
-                (F.get(acc["done"], i) < e["share"]) & (F.floor(F.get(acc["done"], i) * frame / e["share"]) <= t),
-                F.struct(F.ceil((F.get(acc["done"], i) + 1) * frame / e["share"]).alias("deadline"), i.alias("i")),
+            lambda e, i: once(
+                F.get(acc["done"], i),
+                lambda d: F.when((d < e["share"]) & (F.floor(d * F.lit(frame).cast("long") / e["share"]) <= t), F.struct(F.ceil((d + 1) * F.lit(frame).cast("long") / e["share"]).alias("deadline"), i.alias("i"))),
             ),
         )
-        return F.get(
-            F.transform(
-                F.array(F.array_min(ready)["i"]),
-                lambda pick: F.struct(
-                    F.transform(acc["done"], lambda d, i: d + (i == pick).cast("int")).alias("done"),
-                    F.array_append(acc["picks"], F.struct(pick.alias("i"), F.get(acc["done"], pick).alias("nth"), t.alias("slot"))).alias("picks"),
-                ),
-            ),
-            F.lit(0),
+        return once(
+            F.array_min(ready)["i"],
+            lambda pick: F.struct(F.transform(acc["done"], lambda d, i: d + (i == pick).cast("int")).alias("done"), F.concat(acc["picks"], pick.cast("string"), F.lit(",")).alias("picks")),
         )
 
-    start = F.struct(F.transform("entries", lambda e: F.lit(0)).alias("done"), F.array().cast("array<struct<i:int,nth:int,slot:int>>").alias("picks"))
-    picks = entries.select("grp", "entries", F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(frame - 1)), start, step, lambda acc: acc["picks"])).alias("p"))
-    return picks.select("grp", F.get("entries", F.col("p.i"))["source"].alias("source"), F.get("entries", F.col("p.i"))["share"].alias("share"), F.col("p.nth").alias("nth"), F.col("p.slot").alias("frame_slot"))
+    def stretch(acc: Column, c: Column) -> Column:
+        slots = F.sequence(c * STRETCH, F.least((c + 1) * STRETCH, F.lit(frame)) - 1)
+        own = F.aggregate(slots, F.struct(acc["done"].alias("done"), F.lit("").alias("picks")), step)
+        return once(own, lambda x: F.struct(x["done"].alias("done"), F.concat(acc["picks"], x["picks"]).alias("picks")))
+
+    start = F.struct(F.transform("entries", lambda e: F.lit(0)).alias("done"), F.lit("").alias("picks"))
+    folded = F.aggregate(F.sequence(F.lit(0), F.lit((frame - 1) // STRETCH)), start, stretch, lambda acc: F.split(F.rtrim(acc["picks"], F.lit(",")), ","))
+    picks = entries.select("grp", "entries", F.posexplode(folded).alias("frame_slot", "pick")).withColumn("e", F.get("entries", F.col("pick").cast("int")))
+    nth = F.row_number().over(Window.partitionBy("grp", "source").orderBy("frame_slot")) - 1
+    return picks.select("grp", "e.source", "e.share", "frame_slot").withColumn("nth", nth)
 
 
 def _by_source(weights: DataFrame, frame: int) -> DataFrame:
@@ -102,7 +122,8 @@ def mix_sources(
     weights: Mapping[str, float] | None = None,
     other: float = 1.0,
     alpha: float = 0.5,
-    max_sources: int = 1000,
+    least_slots: int = 20,
+    max_sources: int = 200,
     keep: tuple[str, ...] = (),
     as_struct: bool = False,
 ) -> DataFrame:
@@ -111,7 +132,7 @@ def mix_sources(
     Columns: ``doc_id, source, n_chars, block, block_offset, release, deadline, slot`` and the columns
     named in ``keep`` (in a struct ``kept_columns`` if ``as_struct``); ``(slot, block_offset, doc_id)`` is the mixed order.
     ``weights``: the target weight of each source, in any unit; one that is not named has the weight
-    ``other``. Without it a source's weight is its characters to the power ``alpha``. A block is
+    ``other``. ``frame``: the least length of a frame. Without it a source's weight is its characters to the power ``alpha``. A block is
     ``block_chars`` characters of a source; a document is in the block in which it starts, so what
     slots up to any one hold of a source is away from its target by less than a block and its
     longest document. Defined cases: a weight that is not above 0 counts as the smallest that is
@@ -138,23 +159,22 @@ def mix_sources(
 
     by_size = F.pow(F.greatest(F.col("size"), F.lit(1)).cast("double"), F.lit(alpha))
     target = by_size if weights is None else _target(weights, other)
-    targets = sizes.groupBy("source").agg(F.sum("chars").alias("size")).select("source", target.alias("w"))
-    n_sources = rows.select("source").distinct().count()
+    targets = cut_table(sizes.groupBy("source").agg(F.sum("chars").alias("size")).select("source", target.alias("w")))
+    n_sources = targets.count()
     groups = 1 if n_sources <= max_sources else -(-2 * n_sources // max_sources)
     grouped = targets.withColumn("grp", F.pmod(F.xxhash64("source"), F.lit(groups)).cast("int") if groups > 1 else F.lit(0))
-    if groups > 1:
-        # A digest deals them unevenly: the frame has two slots for each source of the largest group.
-        frame = max(frame, 2 * groups, 2 * grouped.groupBy("grp").count().agg(F.max("count")).first()[0])
-    inner = max(frame, n_sources) if groups == 1 else frame
+    inner = frame_for(grouped, max(frame, n_sources) if groups == 1 else frame, least_slots)
     by_source = _by_source(grouped, inner)
     # One group has at most max_sources rows with frame slots in all, whatever the data: the bound for the broadcast.
     mixed = placed.join(F.broadcast(by_source) if groups == 1 else by_source, "source")
     block = F.floor(F.col("at") / F.lit(block_chars))
     release, deadline, slot = _windows(block, F.col("share"), F.col("slots"), inner)
     if groups > 1:
-        of_groups = _by_source(grouped.groupBy(F.col("grp").alias("source")).agg(F.sum("w").alias("w")).withColumn("grp", F.lit(0)), frame)
+        sums = grouped.groupBy(F.col("grp").alias("source")).agg(F.sum("w").alias("w")).withColumn("grp", F.lit(0))
+        outer = frame_for(sums, max(frame, groups), least_slots)
+        of_groups = _by_source(sums, outer)
         mixed = mixed.join(of_groups.select(F.col("source").alias("grp"), F.col("share").alias("g_share"), F.col("slots").alias("g_slots")), "grp")
-        through = lambda b: _windows(b, F.col("g_share"), F.col("g_slots"), frame)
+        through = lambda b: _windows(b, F.col("g_share"), F.col("g_slots"), outer)
         release, deadline, slot = through(release)[0], through(deadline - 1)[1], through(slot)[2]
     out = mixed.select(
         "doc_id",

@@ -38,8 +38,13 @@ URL_RULES = (
 )
 
 
+#: Target weights of the mixture; a source that is not named has ``OTHER``.
+TARGETS = {"src0": 10.0, "src5": 30.0, "src9": 5.0, "src13": 0.5}
+OTHER = 3.0
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+    return mix_sources(table(spark, sf_dir, "documents"), weights=TARGETS, other=OTHER)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,20 +123,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WHITE = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_mix_sources": """
+    "op1_mix_sources": f"""
 WITH RECURSIVE base AS (
   SELECT doc_id, coalesce(source, '') AS source, length(coalesce(text, ''))::BIGINT AS n_chars, md5(coalesce(doc_id::VARCHAR, '')) AS digest FROM documents
 ), placed AS (
   SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY digest, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at_char FROM base
 ), weights AS (
-  SELECT source, sqrt(greatest(sum(n_chars), 1)::DOUBLE) AS w FROM base GROUP BY source
+  SELECT source, CASE source {" ".join(f"WHEN '{k}' THEN {v}" for k, v in TARGETS.items())} ELSE {OTHER} END::DOUBLE AS w FROM base GROUP BY source
+), frame AS (
+  SELECT greatest(1000, ceil(round(20 * sum(w ORDER BY source) / min(w), 6)))::BIGINT AS f FROM weights
 ), beyond AS (
-  SELECT source, greatest(1000 * w / (SELECT sum(w ORDER BY source) FROM weights) - 1, 0) AS b FROM weights
+  SELECT source, greatest(f * w / (SELECT sum(w ORDER BY source) FROM weights) - 1, 0) AS b FROM weights, frame
 ), quotas AS (
-  SELECT source, (1000 - (SELECT count(*) FROM weights)) * b / (SELECT sum(b ORDER BY source) FROM beyond) AS exact FROM beyond
+  SELECT source, (f - (SELECT count(*) FROM weights)) * b / (SELECT sum(b ORDER BY source) FROM beyond) AS exact, f FROM beyond, frame
 ), shares AS (
   SELECT source, 1 + floor(exact)::INT + CASE WHEN row_number() OVER (ORDER BY floor(exact) - exact, source)
-    <= 1000 - (SELECT count(*) + sum(floor(exact))::INT FROM quotas) THEN 1 ELSE 0 END AS share FROM quotas
+    <= f - (SELECT count(*) + sum(floor(exact))::INT FROM quotas) THEN 1 ELSE 0 END AS share FROM quotas
 ), lists AS (
   SELECT list(source ORDER BY source) AS names, list(share ORDER BY source) AS shares FROM shares
 ), edf AS (
@@ -139,18 +146,18 @@ WITH RECURSIVE base AS (
   UNION ALL
   SELECT slot + 1, list_transform(done, lambda d, i: d + CASE WHEN i = p THEN 1 ELSE 0 END), p, done[p] FROM (
     SELECT e.slot, e.done, list_aggregate(list_transform(range(1, len(shares) + 1), lambda i: CASE
-      WHEN done[i] < shares[i] AND done[i] * 1000 // shares[i] <= slot + 1
-      THEN (((done[i] + 1) * 1000 + shares[i] - 1) // shares[i]) * 100000 + i ELSE NULL END), 'min') % 100000 AS p
-    FROM (SELECT e.slot, e.done, l.shares FROM edf e, lists l WHERE e.slot < 999) e)
+      WHEN done[i] < shares[i] AND done[i] * f // shares[i] <= slot + 1
+      THEN (((done[i] + 1) * f + shares[i] - 1) // shares[i]) * 100000 + i ELSE NULL END), 'min') % 100000 AS p
+    FROM (SELECT e.slot, e.done, l.shares, f FROM edf e, lists l, frame WHERE e.slot < f - 1) e)
 ), schedule AS (
   SELECT l.names[pick] AS source, l.shares[pick] AS share, nth, slot FROM edf, lists l WHERE slot >= 0
 ), blocks AS (
   SELECT p.*, s.share, at_char // 65536 AS block, (at_char // 65536) // s.share AS frame_no, (at_char // 65536) % s.share AS nth
   FROM placed p JOIN shares s USING (source)
 )
-SELECT doc_id, b.source, n_chars, block, at_char - block * 65536 AS block_offset, frame_no * 1000 + b.nth * 1000 // b.share AS release,
-  frame_no * 1000 + (b.nth * 1000 + 1000 + b.share - 1) // b.share AS deadline, frame_no * 1000 + s.slot AS slot
-FROM blocks b JOIN schedule s ON s.source = b.source AND s.nth = b.nth""",
+SELECT doc_id, b.source, n_chars, block, at_char - block * 65536 AS block_offset, frame_no * f + b.nth * f // b.share AS release,
+  frame_no * f + (b.nth * f + f + b.share - 1) // b.share AS deadline, frame_no * f + s.slot AS slot
+FROM frame, blocks b JOIN schedule s ON s.source = b.source AND s.nth = b.nth""",
     "op2_url_filter": """
 WITH split AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages

@@ -8,7 +8,7 @@ from odd import ODD, TWICE, frame, got_rows, sql_rows
 from emberline.llm.exact_dedup import digests, exact_groups, salt_winners
 from emberline.llm.line_dedup import dedup_lines
 from emberline.llm.mixing import mix_sources
-from emberline.llm.queries import ORACLE_SQL, URL_RULES
+from emberline.llm.queries import ORACLE_SQL, OTHER, TARGETS, URL_RULES
 from emberline.llm.url_filter import UrlRule, build_cascade, judge_urls, member
 from pyspark.sql import functions as F
 
@@ -62,13 +62,13 @@ def test_mix_same_as_sql(spark):
     data = [(i, "x" * (i * 37 % 900), "en", f"s{i % 7 if i % 3 else 0}") for i in range(400)] + [r for r in ODD if r[0] is not None]
     df = frame(spark, data)
     sql = ORACLE_SQL["op1_mix_sources"].replace("65536", "500")
-    assert got_rows(mix_sources(df, block_chars=500)) == sql_rows(sql, documents=df.select("doc_id", "text", "source"))
+    assert got_rows(mix_sources(df, block_chars=500, weights=TARGETS, other=OTHER)) == sql_rows(sql, documents=df.select("doc_id", "text", "source"))
 
 
 def test_mix_deviation(spark):
     data = [(i, "x" * 100, "en", f"s{i % 10 if i % 2 else 0}") for i in range(3000)]
     frame_slots = 40
-    out = mix_sources(frame(spark, data), block_chars=100, frame=frame_slots).collect()
+    out = mix_sources(frame(spark, data), block_chars=100, frame=frame_slots, least_slots=1).collect()
     share = {r["source"]: (r["deadline"] - r["release"], r) for r in out}
     assert len({(r["slot"], r["block_offset"], r["source"]) for r in out}) == len(out) and share
     slots = {}
@@ -101,10 +101,9 @@ def test_mix_target_weights_in_characters(spark, weights):
     out = mix_sources(frame(spark, data), block_chars=block, frame=40, weights=weights).collect()
     total = {s: sum(r["n_chars"] for r in out if r["source"] == s) for s in weights}
     share = {s: len({r["slot"] for r in out if r["source"] == s and r["slot"] < 40 * 5}) / 200 for s in weights}
-    if min(weights.values()) > 0:
-        want = {s: w / sum(weights.values()) for s, w in weights.items()}
-    else:
-        want = {"s0": 36 / 40, "s1": 2 / 40, "s2": 2 / 40}  # 0 counts as the smallest weight
+    least = min(w for w in weights.values() if w > 0)
+    want = {s: max(w, least) for s, w in weights.items()}  # 0 counts as the smallest weight
+    want = {s: w / sum(want.values()) for s, w in want.items()}
     ends = {s: total[s] / block / want[s] for s in want}
     chars, last = dict.fromkeys(want, 0), min(ends.values()) - 3
     by_slot = {}
@@ -117,6 +116,17 @@ def test_mix_target_weights_in_characters(spark, weights):
     assert len(out) == len(data) and share
 
 
+def test_mix_holds_a_very_small_weight(spark):
+    """One block in ten thousand: the frame grows until such a weight has whole slots."""
+    data = [(i, "x" * 100, "en", "big" if i < 3950 else "small") for i in range(4000)]
+    out = mix_sources(frame(spark, data), block_chars=10, weights={"big": 0.9999, "small": 0.0001}).collect()
+    slots = {s: sorted(r["slot"] for r in out if r["source"] == s) for s in ("big", "small")}
+    step = [b - a for a, b in zip(slots["small"], slots["small"][1:])]
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+    # A document is ten blocks, of which the first counts: every ten thousandth slot is one of the small source.
+    assert all(abs(x - 100_000) <= 20_000 for x in step) and slots["big"][-1] < 39_700
+
+
 def test_mix_many_sources_in_groups(spark):
     data = [(i, "x" * 10, "en", f"s{i % 97}") for i in range(97 * 60)]
     out = mix_sources(frame(spark, data), block_chars=10, frame=50, weights={"s0": 20.0}, max_sources=20).collect()
