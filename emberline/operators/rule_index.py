@@ -10,7 +10,8 @@ of rows looks its values up, one lookup a distinct value or row, whatever the nu
   its way to the root, which hold the rules whose intervals contain it and no others.
 
 Only these candidates are tested on their other conditions, all pairs of a kind at once, cheap
-kinds first. Patterns are left to Spark's own matcher, for pairs that have passed everything else.
+kinds first; a text or a list is tested once for all rows that have the same value. Patterns that
+may mean something else in Python are left to Spark's own matcher, for pairs that have passed all else.
 Rules that no lookup can find are tested on every row, as in ``match_rules``.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..plans.catalog import STRING
 from ..plans.conditions import Condition
-from ..plans.regex import required_piece, translate
+from ..plans.regex import plain_pattern, required_piece, translate
 from ..plans.rules import Rule, RuleSnapshot
 from .match import match_array, with_fields
 
@@ -170,9 +171,10 @@ class RuleIndex:
         self.intervals = {f: Intervals(own) for f, own in filed_intervals.items()}
         self.automata = {f: self._automaton(known) for f, known in self.pieces.items()}
         self.tests = Lists(owners, list(range(len(owners))), len(self.candidates))
-        kinds = {k: i for i, k in enumerate(dict.fromkeys((c.op, c.field) for c in self.conditions))}
+        named = [("later" if c.op == "regex" and plain_pattern(c.literal.value) is None else c.op, c.field) for c in self.conditions]
+        kinds = {k: i for i, k in enumerate(dict.fromkeys(named))}
         self.kinds = list(kinds)
-        self.kind_of = np.array([kinds[c.op, c.field] for c in self.conditions], dtype=np.int64)
+        self.kind_of = np.array([kinds[k] for k in named], dtype=np.int64)
         self.number = np.array(self.numbers, dtype=np.int64)
         self.fields = sorted({c.field for c in self.conditions} | set(self.values) | set(self.pieces) | set(self.intervals))
 
@@ -234,7 +236,7 @@ class RuleIndex:
             for k in np.unique(kind).tolist():
                 own = kind == k
                 op, field = self.kinds[k]
-                if op == "regex":
+                if op == "later":
                     for pair, c in zip(numbers[more[own]].tolist(), test[own].tolist()):
                         pending.setdefault(pair, []).append(c)
                     passed[more[own]] = batch.known(field, rows[more[own]])
@@ -243,9 +245,10 @@ class RuleIndex:
             rows, rules, numbers = rows[passed], rules[passed], numbers[passed]
         left: list[list[dict] | None] = [None] * len(rows)
         if pending:
+            java = {c: translate(self.conditions[c].literal.value) for own in pending.values() for c in own}
             for i, (row, pair) in enumerate(zip(rows.tolist(), numbers.tolist())):
                 if pair in pending:
-                    left[i] = [{"value": batch.string(self.conditions[c].field, row), "pattern": translate(self.conditions[c].literal.value)} for c in pending[pair]]
+                    left[i] = [{"value": batch.string(self.conditions[c].field, row), "pattern": java[c]} for c in pending[pair]]
         return rows, rules, left
 
 
@@ -350,6 +353,13 @@ class _Columns:
         values, codes = np.unique(value, return_inverse=True)
         pairs, at = np.unique(codes * len(unique) + back, return_inverse=True)
         plain = [self.strings[field][v] if v >= 0 else None for v in values.tolist()] if index.text[field] else values.tolist()
+        if op == "regex":
+            texts = [index.conditions[c].literal.value for c in unique.tolist()]
+            distinct = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+            same = np.array([distinct[t] for t in texts], dtype=np.int64)
+            pairs, at = np.unique(codes * len(distinct) + same[back], return_inverse=True)
+            finds = [plain_pattern(t).search for t in distinct]
+            return there & np.array([plain[p // len(finds)] is not None and finds[p % len(finds)](plain[p // len(finds)]) is not None for p in pairs.tolist()], dtype=bool)[at]
         literals = [index.conditions[c].literal for c in unique.tolist()]
         sets = [set(x.value) if x.many else {x.value} for x in literals]
         inside = np.array([plain[p // len(unique)] in sets[p % len(unique)] for p in pairs.tolist()], dtype=bool)[at]

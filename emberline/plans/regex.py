@@ -3,9 +3,26 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from .catalog import RuleError
 
+#: Escapes of signs that mean themselves in every dialect.
+_PLAIN_ESCAPE = re.compile(r"\\[!-/:-@\[-`{-~]")
+#: Signs whose meaning differs between dialects: what is left of escapes, flags, names, classes in classes.
+_UNLIKE = re.compile(r"\\|\(\?|\[:|&&|--|~~|\|\||[*+?}][+]|\[[^\]]*\[|[^\x20-\x7e]")
+
+
+@lru_cache(maxsize=4096)
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    """``pattern`` for Python's own matcher, if it is of the part of the language that means the same there; else None."""
+    if _UNLIKE.search(_PLAIN_ESCAPE.sub("", pattern)):
+        return None
+    try:
+        return re.compile(translate(pattern).removeprefix("(?dU)").replace("\\z", "\\Z"))
+    except re.error:
+        return None
+
 
 def translate(pattern: str) -> str:
     """The Java pattern with the same matches, for an unanchored search.

@@ -28,7 +28,7 @@ def drawn_rule(i: int) -> str:
         case 3:
             conditions = [("event.type", "starts_with", TYPES[n % 5][:2]), ("props.k", "==", n % 100), ("event.value", "<", i * 11 % 60), ("user.id", "!=", n % 7)]
         case _:
-            conditions = [("event.props", "regex", f": {n % 9 + 1}[05]\\}}$"), ("event.id", "bit_and", 4), ("event.value", ">", n % 90)]
+            conditions = [("event.props", "regex", f": {n % 100}[05]?\\}}$"), ("event.id", "bit_and", 4), ("event.value", ">", n % 90)]
     return Q.rule_toml(f"drawn-{i}", conditions, ("info", "low", "medium", "high")[n % 4])
 
 
@@ -45,7 +45,7 @@ DRAWN_SQL = f"""WITH r AS (SELECT range AS i, range // 5 AS n FROM range({MANY})
     UNION ALL SELECT event_id, i, n FROM e JOIN r ON event_type = {_TYPE} WHERE i % 5 = 1 AND v BETWEEN i * 13 % 500 AND i * 13 % 500 + n % 3
     UNION ALL SELECT event_id, i, n FROM e JOIN r ON k = n % 100 WHERE i % 5 = 2 AND user_id IN (n % 150, n * 3 % 150, n * 7 % 1500)
     UNION ALL SELECT event_id, i, n FROM e JOIN r ON k = n % 100 WHERE i % 5 = 3 AND starts_with(event_type, {_TYPE}[1:2]) AND v < i * 11 % 60 AND user_id <> n % 7
-    UNION ALL SELECT event_id, i, n FROM e JOIN r ON k // 10 = n % 9 + 1 WHERE i % 5 = 4 AND k % 5 = 0 AND event_id & 4 <> 0 AND v > n % 90)"""
+    UNION ALL SELECT event_id, i, n FROM e JOIN r ON n % 100 IN (k, CASE WHEN k >= 10 AND k % 5 = 0 THEN k // 10 END) WHERE i % 5 = 4 AND event_id & 4 <> 0 AND v > n % 90)"""
 
 
 @query(DRAWN_SQL)
