@@ -16,10 +16,13 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import queries as Q
 from .operators.sequence import utc_micros
+from .plans.catalog import bench_catalog
 from .queries import query, table
 from .sources.shared import checkpoint_dir
 from .streaming.matching import stream_matches, stream_sequences
+from .streaming.numbering import stream_response_ids
 from .streaming.ordered import start
+from .streaming.reload import VersionedRules, run_with_reload
 from .streaming.staleness import stream_stale_heartbeats
 from .streaming.watchdog import stream_lost_programs
 
@@ -106,3 +109,48 @@ def stream_heartbeat_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, late = dealt_stream(Q.heartbeats(spark, sf_dir).select("key", "ts_ms"), "ts_ms", 1000)
     ticks = rows.where("key IS NULL")
     return drained(stream_stale_heartbeats(rows.where("key IS NOT NULL"), ticks, late))
+
+
+_OLD, _NEW = ("event.value", ">", 60), ("event.value", ">", 90)
+
+
+@query(f"SELECT event_id, 'big' AS rule_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS version FROM events WHERE {Q.VALUE} > CASE WHEN event_id % 3 = 0 THEN 60 ELSE 90 END")
+def stream_with_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of three micro-batches: the rules change after the first one, and each run starts anew."""
+    base = f"{checkpoint_dir(spark)}/reload-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    rules = (_OLD, _NEW, _NEW)
+    for part, condition in enumerate(rules):
+        if not part or condition != rules[part - 1]:
+            text = spark.createDataFrame([(Q.rule_toml("big", [condition]),)], "value string")
+            text.coalesce(1).write.mode("overwrite").text(f"{base}/written")
+            _as_rule(spark, f"{base}/written", f"{base}/rules/big.toml")
+        events.where(F.col("event_id") % 3 == part).write.parquet(f"{base}/in/part={part}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/in/part=*")
+        versions = VersionedRules(spark, f"{base}/rules", bench_catalog(), f"{base}/versions", quiet_s=0.0)
+        out = lambda matches, batch, version: matches.select("event_id", "rule_id", F.lit(version).alias("version")).write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+        run_with_reload(stream, versions, out, f"{base}/state").awaitTermination()
+    return spark.read.schema("event_id long, rule_id string, version int").option("basePath", f"{base}/out").parquet(f"{base}/out").select("event_id", "rule_id", "version")
+
+
+def _as_rule(spark: SparkSession, written: str, target: str) -> None:
+    """The one part file below ``written`` as the file ``target``."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(written).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(target).getParent())
+    part = next(f.getPath() for f in fs.listStatus(path(written)) if f.getPath().getName().startswith("part-"))
+    fs.delete(path(target), False)
+    fs.rename(part, path(target))
+
+
+@query(f"SELECT event_id, rule_id, row_number() OVER (ORDER BY event_id % 3, event_id, cand_pos) - 1 AS id FROM ({Q.MATCHES_SQL})")
+def stream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of matches over three micro-batches, each in a run of its own."""
+    base = f"{checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).write.parquet(f"{base}/in/part={part}")
+        stream = stream_matches(spark.readStream.schema(events.schema).parquet(f"{base}/in/part=*"), Q.ruleset())
+        stream_response_ids(stream.select("event_id", "cand_pos", "rule_id"), ["event_id", "cand_pos"], f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.schema("event_id long, cand_pos int, rule_id string, id long").option("basePath", f"{base}/out").parquet(f"{base}/out").select("event_id", "rule_id", "id")

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from typing import Any
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.match import match_rules
 from ..operators.sequence import OUT, nanos, prepared
 from ..operators.sequence_state import MOST_INSTANCES, Completed, Correlator
 from ..plans.rules import RuleSnapshot
-from ..sources.rules_dir import RuleDirectory
 from .ordered import Machine, in_order
 
 NANOS_PER_MS = 1_000_000
@@ -68,13 +63,3 @@ def stream_sequences(events: DataFrame, snapshot: RuleSnapshot, late: str, most:
     matched = match_rules(timed, snapshot, keep=("_at",))
     rows = prepared(matched, snapshot, keep=("_at",)).where("t IS NOT NULL").withColumn("at_ms", F.expr("t div 1000000"))
     return in_order(rows, "shard", ["t", "event", "pos", "rule_id", "pid"], "at_ms", _Sequences(snapshot, most), OUT, {"step_idx": "Int32", "steps": "Int32"})
-
-
-def run_with_reload(events: DataFrame, rules: RuleDirectory, sink: Callable[[DataFrame, int, int], Any], checkpoint: str) -> StreamingQuery:
-    """Matches of every micro-batch by the rules as they are then; ``sink`` gets matches, batch and rule version."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        snapshot = rules.refresh()
-        sink(match_rules(batch, snapshot), batch_id, rules.version)
-
-    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
