@@ -753,4 +753,4 @@ def trace_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.reachable_points(points, searched(points), 3, callers=True)
 
 
-from . import rule_queries, search_queries, source_queries, stream_queries  # noqa: E402,F401  (they register their queries)
+from . import index_queries, rule_queries, search_queries, source_queries, stream_queries  # noqa: E402,F401  (they register their queries)
