@@ -39,16 +39,16 @@ def updated(spark: SparkSession, sf_dir: str) -> tuple[BucketedPoints, DataFrame
 
 _NOW = f"""now AS (SELECT doc_id AS file, CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') || chr(10) || 'one more line' ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id % 10 <> 7),
   w AS (SELECT file, {_WORDS} AS words FROM now WHERE length(trim(text)) >= 20),
-  c AS (SELECT file, unnest(range(0, len(words), 448)) AS at, words FROM w WHERE len(words) > 0)"""
+  c AS (SELECT file, unnest(range(0, len(words), 448)) AS begun, words FROM w WHERE len(words) > 0)"""
 
 
-@query(f"WITH {_NOW} SELECT file, (at // 448)::INT AS chunk, md5(array_to_string(words[at + 1 : at + 512], ' ')) AS digest FROM c")
+@query(f"WITH {_NOW} SELECT file, (begun // 448)::INT AS chunk, md5(array_to_string(words[begun + 1 : begun + 512], ' ')) AS digest FROM c")
 def index_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk of every file after an incremental run, with its content."""
     return updated(spark, sf_dir)[0].read().select("file", "chunk", "digest")
 
 
-@query(f"WITH {_NOW} SELECT now.file AS path, md5(text) AS hash, count(c.at) AS n_chunks FROM now LEFT JOIN c ON c.file = now.file GROUP BY now.file, text")
+@query(f"WITH {_NOW} SELECT now.file AS path, md5(text) AS hash, count(c.begun) AS n_chunks FROM now LEFT JOIN c ON c.file = now.file GROUP BY now.file, text")
 def index_state_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of the index and the chunks of each file in it."""
     store, state = updated(spark, sf_dir)
