@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import signature
+from ..sources.shared import cut
 
 MOST_DEPTH, DEFS, CALLS, FOLLOWED, CALLERS, CALLER_SYMBOLS = 4, 3, 10, 5, 5, 3
 
@@ -98,6 +100,55 @@ class Tracer:
         return out
 
 
+def _branches(points: DataFrame, callers: bool, key: str) -> tuple[DataFrame, DataFrame]:
+    """(symbol, rank, node of its first chunks; node, names of the symbols that are followed from a chunk, in order)."""
+    met, followed, most = ("calls", "symbols", CALLERS) if callers else ("symbols", "calls", DEFS)
+    names = F.slice("symbols", 1, CALLER_SYMBOLS) if callers else F.slice(F.array_distinct("calls"), 1, min(CALLS, FOLLOWED))
+    there = points.select(F.col(key).alias("node"), F.explode(F.array_distinct(met)).alias("symbol"))
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy("node"))
+    first = there.withColumn("rank", rank).where(F.col("rank") <= most)
+    return cut(first), points.where(F.size(followed) > 0).select(F.col(key).alias("node"), names.alias("names"))
+
+
+def _first_visits(rows: pd.DataFrame) -> pd.DataFrame:
+    """The walk through the tree of one start: a chunk counts where it is met first, and nothing is followed elsewhere."""
+    visited, out, cut_off = set(), [], None
+    for path, node, depth, start, side in rows.sort_values(["side", "path"])[["path", "node", "depth", "start", "side"]].itertuples(index=False, name=None):
+        if cut_off is not None and cut_off[0] == side and path.startswith(cut_off[1]):
+            continue
+        if node in visited:
+            cut_off = side, path
+            continue
+        visited.add(node)
+        out.append((start, len(out) + 1, node, depth, "callers" if side else "callees"))
+    return pd.DataFrame(out, columns=["start", "nth", "node", "depth", "direction"])
+
+
+def trace_many(points: DataFrame, starts: DataFrame, depth: int = 2, direction: str = "both", key: str = "id") -> DataFrame:
+    """The walks of ``Tracer`` for many symbols in one job: ``start, nth, node, depth, direction``.
+
+    ``starts``: ``start, symbol``. Each level is a join of the rows in hand with the first
+    definitions (or callers) of the symbols that they follow. A row carries its place in the walk
+    as a text that sorts as the walk goes, so the walk is told from its tree by one sorted pass
+    that leaves out what was met before. Caps bound a tree: fifteen branches a chunk, four levels.
+    """
+    depth, levels = min(max(depth, 1), MOST_DEPTH), None
+    for side, name in enumerate(("callees", "callers")):
+        if direction not in (name, "both"):
+            continue
+        first, follow = _branches(points, bool(side), key)
+        asked = starts.select("start", "symbol", F.lit("").alias("path"))
+        for d in range(1, depth + 1):
+            # One sign for the rank, so that places sort; ranks and branches are single digits.
+            step = asked.join(first, "symbol").select("start", "node", F.concat("path", F.col("rank").cast("string")).alias("path"))
+            step = cut(step)
+            own = step.withColumn("depth", F.lit(d)).withColumn("side", F.lit(side))
+            levels = own if levels is None else levels.unionByName(own)
+            asked = step.join(follow, "node").select("start", "path", F.posexplode("names").alias("branch", "symbol")).select("start", "symbol", F.concat("path", F.col("branch").cast("string")).alias("path"))
+    kinds = dict(levels.dtypes)
+    return levels.groupBy("start").applyInPandas(_first_visits, f"start {kinds['start']}, nth int, node {kinds['node']}, depth int, direction string")
+
+
 def trace(points: DataFrame, symbol: str, direction: str = "both", depth: int = 2, subsystem: str | None = None, cap: int = 12000, key: str = "id") -> str:
     """The walk as text; both directions share what was visited."""
     depth = min(max(depth, 1), MOST_DEPTH)

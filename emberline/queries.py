@@ -524,10 +524,32 @@ def watchdog_unload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watchdog.unload_events(heartbeats(spark, sf_dir), "key")
 
 
-@query()
+def bucket_sql(rows: str) -> str:
+    """The token bucket row by row over ``rows`` (``event_id, part, t``)."""
+    due = "greatest(g.due + CASE WHEN g.shown THEN 100000000 ELSE 0 END, e.t)"
+    return f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY t, event_id) AS n FROM ({rows})),
+  g AS (SELECT event_id, part, n, t AS due, true AS shown FROM e WHERE n = 1
+    UNION ALL SELECT e.event_id, e.part, e.n, {due}, {due} - e.t <= 4900000000 FROM g JOIN e ON e.part = g.part AND e.n = g.n + 1)
+  SELECT event_id, shown FROM g"""
+
+
+@query(bucket_sql("SELECT event_id, event_type AS part, event_id * 10000000 AS t FROM events"))
 def ui_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event type has a bucket; none is ever idle."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") * 10000000).alias("ts_ns"))
-    return sampling.token_bucket(events, ["ts_ns"], "ts_ns", "event_type").select("event_id", "shown")
+    return sampling.token_bucket(events, ["event_id"], "ts_ns", "event_type").select("event_id", "shown")
+
+
+#: Events come in bursts: a thousandth of their distance inside an hour, all of it between hours.
+_BURSTS = "epoch_us(ts) // 3600000000 * 3600000000000 + epoch_us(ts) % 3600000000"
+
+
+@query(bucket_sql(f"SELECT event_id, 0 AS part, {_BURSTS} AS t FROM events"))
+def ui_sample_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bucket for all events, which come in bursts: its sessions are dealt over tasks."""
+    us = utc_micros(F.col("ts"))
+    ns = ((us - F.pmod(us, F.lit(3600000000))) * 1000 + F.pmod(us, F.lit(3600000000))).alias("ts_ns")
+    return sampling.token_bucket(table(spark, sf_dir, "events").select("event_id", ns), ["event_id"], "ts_ns").select("event_id", "shown")
 
 
 # --- texts ----------------------------------------------------------------------------------
@@ -753,4 +775,12 @@ def trace_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.reachable_points(points, searched(points), 3, callers=True)
 
 
+@query()
+def trace_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered, capped walk in both directions from the symbol of every document whose id is divisible by 100."""
+    points = whole_call_points(spark, sf_dir)
+    starts = points.where("id % 100 = 0").select(F.col("id").alias("start"), F.explode("symbols").alias("symbol"))
+    return trace.trace_many(points, starts, 3)
+
+
 from . import index_queries, rule_queries, search_queries, source_queries, stream_queries  # noqa: E402,F401  (they register their queries)

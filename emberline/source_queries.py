@@ -350,17 +350,7 @@ def failed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return respond(match_rules(table(spark, sf_dir, "events"), snapshot, keep=("value", "props")), snapshot, "rule_match").select("event_id", "status", "success")
 
 
-# --- sampling ---------------------------------------------------------------------------------
-
-
-@query(f"""WITH RECURSIVE e AS (SELECT event_id, event_type, event_id * 10000000 AS t, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
-  g AS (SELECT event_id, event_type, n, t AS due, true AS shown FROM e WHERE n = 1
-    UNION ALL SELECT e.event_id, e.event_type, e.n, greatest(g.due + CASE WHEN g.shown THEN 100000000 ELSE 0 END, e.t), greatest(g.due + CASE WHEN g.shown THEN 100000000 ELSE 0 END, e.t) - e.t <= 4900000000
-    FROM g JOIN e ON e.event_type = g.event_type AND e.n = g.n + 1)
-  SELECT event_id, shown FROM g""")
-def ui_sample_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token bucket over whole groups of events, against the same recursion row by row."""
-    return Q.ui_sample(spark, sf_dir)
+# --- counters ---------------------------------------------------------------------------------
 
 
 @query("SELECT count(*) AS rows_seen, sum(n_chars)::BIGINT AS chars, count(*) FILTER (WHERE lang = 'en') AS english FROM documents")

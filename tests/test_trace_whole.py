@@ -43,3 +43,54 @@ def test_points_same_as_edges(spark, callers):
     ends = ("callee", "caller") if callers else ("caller", "callee")
     want = sorted(map(tuple, trace.reachable(trace.call_edges(points), start, 3, *ends).collect()))
     assert sorted(map(tuple, trace.reachable_points(points, start, 3, callers).collect())) == want
+
+
+def plain_walk(points, symbol, depth):
+    """(nth, node, depth, direction) rows of the walk as two recursions that share what was visited."""
+    visited, out = set(), []
+
+    def visit(symbol, left, side):
+        met = "symbols" if side == "callees" else "calls"
+        for node in sorted(i for i, p in points.items() if symbol in (p[met] or []))[: 3 if side == "callees" else 5]:
+            if node in visited:
+                continue
+            visited.add(node)
+            out.append((len(out) + 1, node, depth - left + 1, side))
+            if left > 1:
+                names = list(dict.fromkeys(points[node]["calls"] or []))[:5] if side == "callees" else (points[node]["symbols"] or [])[:3]
+                for name in names:
+                    visit(name, left - 1, side)
+
+    visit(symbol, depth, "callees")
+    visit(symbol, depth, "callers")
+    return out
+
+
+@pytest.mark.parametrize("depth", [1, 3, 4])
+def test_walks_of_many_symbols(spark, depth):
+    rnd = random.Random(depth)
+    name = lambda: f"s{rnd.randrange(25)}"
+    data = [(i, [name() for _ in range(rnd.randrange(1, 4))], [name() for _ in range(rnd.randrange(0, 9))]) for i in range(80)] + [(90, None, ["s1"]), (91, ["s2"], None), (92, [], [])]
+    points = spark.createDataFrame([(*r, "x") for r in data], "id long, symbols array<string>, calls array<string>, path string").repartition(3)
+    known = {i: {"symbols": s, "calls": c} for i, s, c in data}
+    starts = [(1, "s3"), (2, "s4"), (3, "missing"), (4, "s3")]
+    got = {}
+    for r in trace.trace_many(points, spark.createDataFrame(starts, "start long, symbol string"), depth).collect():
+        got.setdefault(r["start"], []).append((r["nth"], r["node"], r["depth"], r["direction"]))
+    for start, symbol in starts:
+        assert sorted(got.get(start, [])) == plain_walk(known, symbol, depth)
+    files = points.selectExpr("id", "'f' AS file", "1 AS line_start", "2 AS line_end", "'fn' AS kind", "symbols", "calls", "'fn x()' AS text")
+    tracer = trace.Tracer(files)
+    assert [r["id"] for r in tracer.callees("s3", depth)] == [n for _, n, _, side in sorted(got[1]) if side == "callees"]
+
+
+def test_registered_walks(spark, tmp_path):
+    rnd = random.Random(6)
+    docs = [(i, " ".join(rnd.choice("abcdef") + str(rnd.randrange(9)) for _ in range(rnd.randrange(1, 14)))) for i in range(0, 900, 4)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {i: t.split() for i, t in docs if len(t.split()) >= 3}
+    points = {i: {"symbols": [w[2]], "calls": list(dict.fromkeys(w[3:]))} for i, w in words.items()}
+    got = {}
+    for r in engine.QUERIES["trace_walks"](spark, str(tmp_path)).collect():
+        got.setdefault(r["start"], []).append((r["nth"], r["node"], r["depth"], r["direction"]))
+    assert {k: sorted(v) for k, v in got.items()} == {i: plain_walk(points, p["symbols"][0], 3) for i, p in points.items() if i % 100 == 0}
