@@ -78,6 +78,17 @@ def hard_cap(response: str, cap: int, total: int) -> str:
     return f"{cut}\n\n[Truncated: showing {cut.count(mark)} of {total} results. Use filters (crate=, kind=, subsystem=) or increase max_response_chars to narrow results.]"
 
 
+def capped(response: Column, cap: int, total: Column) -> Column:
+    """``hard_cap`` for a column of responses."""
+    mark = F.lit("--- Result ")
+    head = F.substr(response, F.lit(1), F.lit(cap))
+    before = F.length(head) - F.length(F.substring_index(head, "--- Result ", -1)) - F.length(mark)
+    kept = F.when(before > 0, F.regexp_replace(F.substr(head, F.lit(1), before), "(?U)\\s+\\z", "")).otherwise(head)
+    n = ((F.length(kept) - F.length(F.replace(kept, mark, F.lit("")))) / F.length(mark)).cast("int")
+    note = F.format_string("\n\n[Truncated: showing %d of %d results. Use filters (crate=, kind=, subsystem=) or increase max_response_chars to narrow results.]", n, total)
+    return F.when(F.length(response) <= cap, response).otherwise(F.concat(kept, note))
+
+
 def format_results(rows: DataFrame, cap: int = 12000) -> str:
     """The text of a search answer; ``rows`` are the few that are left after cliff and limit."""
     items = rows.orderBy("rank").select("score", "tier", "output").collect()

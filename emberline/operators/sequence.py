@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.rules import Rule, RuleSnapshot
+from ..sources.shared import cut
 from .sequence_state import MOST_INSTANCES, Completed, Correlator
 
 OUT = "shard string, type string, root_rule_id string, seq_id string, root_order string, step_idx int, matched_rule_id string, path array<string>, steps int, event_order string"
@@ -201,3 +202,68 @@ def correlate(matches: DataFrame, snapshot: RuleSnapshot, most: int = MOST_INSTA
             chosen = rules[at : at + SEQUENCES_PER_PASS]
             out = out.unionByName(_events(_pointers(calm, chosen, scope), chosen))
     return out
+
+
+#: Matches in a block of ``correlate_blocks``, about.
+BLOCK_ROWS = 50_000
+
+
+def _in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """``rows`` dealt by ``block``: spans of time of one length, as many as the rows need."""
+    n, first, last = rows.agg(F.count(F.lit(1)), F.min("t"), F.max("t")).first()
+    width = max(1, -(-((last or 0) - (first or 0) + 1) * block_rows // max(n, 1)))
+    return rows.withColumn("block", F.expr(f"(t - {first or 0}) div {width}"))
+
+
+def _block_pointers(rows: DataFrame, rules: list[Rule], keys: list[str]) -> DataFrame:
+    """Root matches with ``step_<i>_0`` as ``_pointers`` gives them, by a scan of blocks from the end.
+
+    A row finds the next match of a step in its own block, or else takes the first one of the
+    nearest later block that has any. Each level of steps is a pass over the blocks and one over
+    a row a block; no row is in two blocks, and no block is larger for being of a busy container.
+    """
+    order = [F.desc("t"), F.desc("event"), F.desc("pos"), F.desc("pid")]
+    inside = Window.partitionBy(*keys, "block").orderBy(*order)
+    behind = Window.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    here = [F.col("t").alias("t"), F.col("event").alias("event"), F.col("pos").alias("pos")]
+    out = rows
+    for to_go in range(max(len(r.sequence.steps) for r in rules)):
+        found, firsts = {}, {}
+        for i, rule in enumerate(rules):
+            k = len(rule.sequence.steps) - 1 - to_go
+            if k < 0:
+                continue
+            nxt = [F.col(f"step_{i}_{k + 1}").alias("next")] if to_go else []
+            match = F.when(F.col("rule_id") == rule.sequence.steps[k].rule_id, F.struct(*here, *nxt))
+            found[f"step_{i}_{k}"] = F.last(match, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0 if k == 0 else -1))
+            firsts[f"step_{i}_{k}"] = F.min(match).alias(f"step_{i}_{k}")
+        blocks = out.groupBy(*keys, "block").agg(*firsts.values())
+        # One row a block and container.
+        carried = blocks.select(*[F.col(c).alias(f"of_{c}") for c in (*keys, "block")], *[F.last(c, ignorenulls=True).over(behind).alias(f"later_{c}") for c in firsts])
+        same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*keys, "block")]
+        both = out.withColumns(found).join(carried, same).select(*out.columns, *[F.coalesce(c, f"later_{c}").alias(c) for c in found])
+        # The next level reads this one twice: as rows and as the first matches of blocks.
+        spent = {f"step_{i}_{len(r.sequence.steps) - to_go}" for i, r in enumerate(rules) if to_go < len(r.sequence.steps)}
+        out = cut(both.select(*[c for c in both.columns if c not in spent]))
+    return out.where(F.col("rule_id").isin(*[r.id for r in rules]))
+
+
+def correlate_blocks(matches: DataFrame, snapshot: RuleSnapshot, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The records of ``correlate`` without a cap of live instances, for sequences of any length.
+
+    A container with most of the matches is as many blocks as its matches need, however long its
+    sequences are, and no match is copied.
+    """
+    rows = prepared(matches, snapshot).where("t IS NOT NULL")
+    out = None
+    for scope in ("shard", "pid"):
+        chosen = [r for r in snapshot.sequences if (r.sequence.scope == "pid") == (scope == "pid")]
+        for at in range(0, len(chosen), SEQUENCES_PER_PASS):
+            rules = chosen[at : at + SEQUENCES_PER_PASS]
+            wanted = {r.id for r in rules} | {s.rule_id for r in rules for s in r.sequence.steps}
+            own = rows.where(F.col("rule_id").isin(*sorted(wanted)))
+            if scope == "pid":
+                own = own.where(F.col("pid").isNotNull())
+            events = _events(_block_pointers(_in_blocks(cut(own), block_rows), rules, ["shard", "pid"] if scope == "pid" else ["shard"]), rules)
+            out = events if out is None else out.unionByName(events)
+    return out if out is not None else matches.sparkSession.createDataFrame([], OUT)

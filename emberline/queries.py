@@ -15,10 +15,9 @@ from .functions import text as T
 from .functions.hashing import blake2s_hex, stable_uuid
 from .operators import budget, chunking, enrich, incremental, patterns, render, retrieval, sampling, trace, views, watchdog
 from .operators.match import match_rules, respond
-from .operators.sequence import correlate, prepared, run_exact, utc_micros
+from .operators.sequence import correlate, correlate_blocks, prepared, run_exact, utc_micros
 from .plans.catalog import FieldCatalog, bench_catalog, document_catalog
 from .plans.rules import RuleSnapshot, compile_rules
-from .sources.events import hook_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,9 +194,11 @@ def last250_per_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.last_rows(rows, [F.col("tab")], ["ts", "event_id"]).select("tab", "event_id")
 
 
-@query("SELECT count(*) AS n_enabled FROM (SELECT 17 - 2 AS n) CROSS JOIN range(15)")
+@query(f"SELECT count(*) AS n_enabled FROM (SELECT user_id, arg_max({K}, event_id) % 3 <> 0 AS enabled FROM events GROUP BY user_id) WHERE enabled")
 def enabled_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.enabled_hooks(hook_table(spark, disabled=("bpf_map", "task_kill")))
+    """Hooks that are on: each user stands for one, and its last event says whether it is."""
+    last = F.max_by(F.get_json_object("props", "$.k").cast("int"), "event_id")
+    return views.enabled_hooks(table(spark, sf_dir, "events").groupBy("user_id").agg((last % 3 != 0).alias("enabled")))
 
 
 @query(f"SELECT event_id, rule_id, row_number() OVER (ORDER BY event_id, cand_pos) - 1 AS id FROM ({MATCHES_SQL})")
@@ -409,6 +410,26 @@ def correlation_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(event_no("root_order").alias("root_event"), F.coalesce("step_idx", F.lit(2)).alias("ord"), render.correlation_alert().alias("alert"))
 
 
+def one_container(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, RuleSnapshot]:
+    """All events in one container, and sequences that last as long as the data."""
+    c = bench_catalog()
+    catalog = FieldCatalog(list(c.fields.values()), c.kind_column, ("box",), c.order, meta=c.meta)
+    rare = [("event.type", "==", "error"), ("props.k", "==", 7)]
+    late = [("event.type", "==", "signup"), ("event.value", ">", 150)]
+    snapshot = bench(rule_toml("root", CLICK, "high", sequence_toml("s", [("rare", "30d"), ("late", "40d")])), rule_toml("rare", rare), rule_toml("late", late), catalog=catalog)
+    return table(spark, sf_dir, "events").withColumn("box", F.lit("all")), snapshot
+
+
+_HOT = chain_sql([(f"event_type = 'error' AND {K} = 7", "30 days"), (f"event_type = 'signup' AND {VALUE} > 150", "40 days")], part="1")
+
+
+@query(f"{_HOT} SELECT root_event, last_event, 2 AS steps FROM s2")
+def seq_hot_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, snapshot = one_container(spark, sf_dir)
+    out = correlate_blocks(match_rules(events, snapshot), snapshot, block_rows=1000)
+    return out.where("type = 'completed'").select(event_no("root_order").alias("root_event"), event_no("event_order").alias("last_event"), "steps")
+
+
 def grouped_catalog() -> FieldCatalog:
     c = bench_catalog()
     return FieldCatalog(list(c.fields.values()), c.kind_column, ("grp",), c.order, meta=c.meta)
@@ -725,6 +746,22 @@ def tier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.tier_budgets(ranked(spark, sf_dir), ["user_id"]).select("user_id", "event_id", "tier", "budget")
 
 
+_CAP = 120
+_ANSWERS = f"""a AS (SELECT user_id, string_agg('--- Result ' || rank || ' ---' || chr(10) || event_id || repeat('.', user_id % 40), chr(10) || chr(10) ORDER BY rank) AS answer, count(*) AS total FROM ({_RANKED}) GROUP BY user_id),
+  h AS (SELECT *, answer[1:{_CAP}] AS head FROM a), b AS (SELECT *, length(head) - length(split_part(head, '--- Result ', -1)) - 11 AS before FROM h),
+  k AS (SELECT *, CASE WHEN before > 0 THEN regexp_replace(head[1:before], '\\s+$', '') ELSE head END AS kept FROM b)"""
+
+
+@query(f"""WITH {_ANSWERS} SELECT user_id, CASE WHEN length(answer) <= {_CAP} THEN answer ELSE kept || chr(10) || chr(10) || '[Truncated: showing ' || (length(kept) - length(replace(kept, '--- Result ', ''))) // 11 || ' of ' || total
+  || ' results. Use filters (crate=, kind=, subsystem=) or increase max_response_chars to narrow results.]' END AS answer FROM k""")
+def answers_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's ranked results as one answer, cut at the last whole result that fits."""
+    one = F.concat(F.lit("--- Result "), F.col("rank").cast("string"), F.lit(" ---\n"), F.col("event_id").cast("string"), F.expr("repeat('.', int(user_id % 40))"))
+    held = F.array_sort(F.collect_list(F.struct("rank", one.alias("one"))))
+    rows = ranked(spark, sf_dir).groupBy("user_id").agg(F.array_join(F.transform(held, lambda x: x["one"]), "\n\n").alias("answer"), F.count(F.lit(1)).alias("total"))
+    return rows.select("user_id", budget.capped(F.col("answer"), _CAP, F.col("total")).alias("answer"))
+
+
 _QUERIES = ["how does it work", "lock", "find the handler of the lock", "a b c d e f g h i", "why", "the quick brown fox jumps"]
 _QUERY_SQL = "CASE event_id % 6 " + " ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(_QUERIES)) + " END"
 _INTENTS = ["exploration", "lookup", "lookup", "exploration", "lookup", "lookup"]

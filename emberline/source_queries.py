@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import queries as Q
@@ -12,9 +12,10 @@ from .functions import names as N
 from .functions import text as T
 from .operators import budget, listing, patterns, render, retrieval, views
 from .operators.match import match_rules, respond
+from .operators.rule_checks import check_sets, condition_orders
 from .operators.sequence import correlate
-from .plans.catalog import RuleError, host_catalog
-from .plans.rules import compile_rules, parse_rule
+from .plans.catalog import host_catalog
+from .plans.rules import compile_rules
 from .queries import ADDR, MATCHES_SQL, K, case_sql, query, table
 from .sources import events as E
 from .sources import files as files_
@@ -221,27 +222,39 @@ _SETS = {
 }
 
 
-def _code(texts: list[str]) -> str:
-    try:
-        Q.bench(*texts)
-    except RuleError as e:
-        return e.code
-    return ""
+#: Every case as a set of rules; a rule's number is that of the row's value, its text that of the row's type.
+_RULE_SETS = [([text], want) for text, want in _CASES.values()] + list(_SETS.values())
+
 
+def rule_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_id, texts``: a set of rules for each event, with numbers of the event in its conditions."""
+    cases = F.array(*[F.array(*[F.lit(t) for t in texts]).cast("array<string>") for texts, _ in _RULE_SETS])
+    chosen = F.get(cases, (F.col("event_id") % len(_RULE_SETS)).cast("int"))
+    number = F.concat(F.lit("value = "), F.floor("value").cast("string"), F.lit("\n"))
+    return table(spark, sf_dir, "events").select("event_id", F.transform(chosen, lambda t: F.replace(t, F.lit("value = 1\n"), number)).alias("texts"))
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{want}')" for n, (_, want) in {**_CASES, **_SETS}.items()) + ") t(what, code)")
+
+@query("SELECT event_id, [" + ", ".join(f"'{want}'" for _, want in _RULE_SETS) + f"][event_id % {len(_RULE_SETS)} + 1] AS code FROM events")
 def compile_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The error of each rule or rule set that must not compile."""
-    cases = {n: [text] for n, (text, _) in _CASES.items()} | {n: texts for n, (texts, _) in _SETS.items()}
-    return spark.createDataFrame([(n, _code(texts)) for n, texts in cases.items()], "what string, code string")
+    """The error of each event's set of rules: every case that must not compile, and a good one."""
+    return check_sets(rule_sets(spark, sf_dir), Q.bench_catalog()).select("event_id", "code")
+
 
+#: Conditions as they are written, with what testing them costs.
+_WRITTEN = [("event.props", "regex", "a", 7), ("event.props", "contains", "a", 6), ("event.props", "starts_with", "a", 5), ("user.id", "in", [1], 3), ("event.type", "==", "x", 2), ("event.value", ">", 1, 1), ("user.id", "==", 1, 1), ("event.id", "exists", True, 0)]
+_OP_NAMES = {"==": "eq", ">": "gt"}
+_OPS_SQL = ", ".join(f"{{'cost': {cost}, 'op': '{_OP_NAMES.get(op, op)} {field}'}}" for field, op, _, cost in _WRITTEN)
 
-@query("SELECT * FROM (VALUES (0, 'event.id', 'exists'), (1, 'event.value', 'gt'), (2, 'user.id', 'eq'), (3, 'event.type', 'eq'), (4, 'user.id', 'in'), (5, 'event.props', 'starts_with'), (6, 'event.props', 'contains'), (7, 'event.props', 'regex')) t(place, field, op)")
+
+@query(f"""SELECT event_id, string_agg(o.op, ', ' ORDER BY o.cost, nth) AS ops FROM
+  (SELECT event_id, unnest(l) AS o, generate_subscripts(l, 1) AS nth FROM (SELECT event_id, list_concat(c[k + 1 :], c[: k]) AS l FROM (SELECT event_id, {K} % 8 AS k, [{_OPS_SQL}] AS c FROM events))) GROUP BY event_id""")
 def condition_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order in which a rule's conditions are tested: cheap ones first, else as they are written."""
-    written = [("event.props", "regex", "a"), ("event.props", "contains", "a"), ("event.props", "starts_with", "a"), ("user.id", "in", [1]), ("event.type", "==", "x"), ("event.value", ">", 1), ("user.id", "==", 1), ("event.id", "exists", True)]
-    rule = parse_rule(Q.rule_toml("r", written), Q.bench_catalog())
-    return spark.createDataFrame([(i, c.field, c.op) for i, c in enumerate(rule.conditions)], "place int, field string, op string")
+    """The order in which each event's rule tests its conditions: cheap ones first, else as they are written."""
+    turned = [[c[:3] for c in _WRITTEN[k:] + _WRITTEN[:k]] for k in range(len(_WRITTEN))]
+    texts = F.array(*[F.lit(Q.rule_toml("r", conditions)) for conditions in turned])
+    k = F.get_json_object("props", "$.k").cast("int")
+    rules = table(spark, sf_dir, "events").select("event_id", F.get(texts, k % len(_WRITTEN)).alias("text"))
+    return condition_orders(rules, Q.bench_catalog()).select("event_id", F.array_join("ops", ", ").alias("ops"))
 
 
 # --- files ------------------------------------------------------------------------------------
@@ -261,11 +274,11 @@ def files_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_.find_files(rows, ".rs", ["src/", "other/"], ["target"]).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'd' || doc_id % 7 || '/f' || doc_id || '.txt' AS path, length(text)::BIGINT AS n FROM documents WHERE text NOT LIKE '%' || chr(10) || '%' AND text NOT LIKE '%' || chr(13) || '%' AND length(text) > 0")
+@query("SELECT 'd' || doc_id % 7 || '/f' || doc_id || '.txt' AS path, length(text)::BIGINT AS n FROM documents WHERE text IS NOT NULL")
 def files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts written as files of a tree and read as one scan of it."""
     base = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents").where("NOT contains(text, '\\n') AND NOT contains(text, '\\r') AND length(text) > 0")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     rows = docs.select(F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string")).alias("dir"), "doc_id", "text")
     rows.select("dir", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").alias("value")).write.partitionBy("dir", "name").text(base)
     read = files_.read_files(spark, base, "*.txt")
@@ -302,15 +315,32 @@ def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.load_state(spark, base).unionByName(sinks.load_state(spark, f"{base}-none"))
 
 
-@query("SELECT text AS document, 2 * count(*) AS n, 2 * count(*) AS ids FROM documents WHERE length(text) < 200 GROUP BY text")
+@query("SELECT text AS document, 2 * count(*) AS n, 2 * count(*) AS ids FROM documents GROUP BY text")
 def notes_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same notes inserted twice: every one has an id of its own."""
     base = f"{checkpoint_dir(spark)}/notes-{uuid.uuid4().hex}"
     for _ in range(2):
-        sinks.insert_notes(sinks.note_rows(table(spark, sf_dir, "documents").where("length(text) < 200")), base)
+        sinks.insert_notes(sinks.note_rows(table(spark, sf_dir, "documents")), base)
     return spark.read.parquet(base).groupBy("document").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
 
 
+@query("SELECT s AS step, CASE WHEN s = 'emptied' THEN 0 ELSE (SELECT count(*) FROM documents) END AS n, CASE WHEN s = 'emptied' THEN 0 ELSE (SELECT coalesce(sum(length(text)), 0) FROM documents) END::BIGINT AS chars FROM (VALUES ('filled'), ('kept'), ('emptied'), ('filled again')) t(s)")
+def collection_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection of all documents: created and filled, asked for again, made anew, filled again."""
+    name, rows = f"points_{uuid.uuid4().hex}", table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("document"))
+    schema, seen = "id bigint, document string", None
+    try:
+        for step, recreate, fill in (("filled", False, True), ("kept", False, False), ("emptied", True, False), ("filled again", False, True)):
+            sinks.ensure_table(spark, name, schema, recreate)
+            if fill:
+                rows.write.insertInto(name)
+            own = cut(spark.table(name).agg(F.lit(step).alias("step"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("document")), F.lit(0)).cast("long").alias("chars")))
+            seen = own if seen is None else seen.unionByName(own)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return seen
+
+
 @query(f"SELECT strftime(ts, '%Y-%m-%d-%H') AS hour, rule_id, count(*) AS n FROM ({MATCHES_SQL}) GROUP BY ALL")
 def log_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches as JSON lines in one folder an hour, read back."""
@@ -469,20 +499,49 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.signature(source).alias("signature"))
 
 
-@query("""SELECT doc_id, round(a / sqrt(a * a + b * b + 1), 4) AS x, round(b / sqrt(a * a + b * b + 1), 4) AS y FROM (SELECT doc_id, (doc_id % 10 + 2)::DOUBLE AS a, (length('q: ' || lang) * 1.0)::DOUBLE AS b FROM documents WHERE lang IS NOT NULL)""")
+_DIMS = 8
+
+
+def _hashed_words(texts: list[str]) -> list[list[float]]:
+    """A stand-in model over whole texts: words counted by a digest, with a sign of their own."""
+    import hashlib
+    from functools import lru_cache
+
+    @lru_cache(maxsize=100_000)
+    def place(word: str) -> tuple[int, int]:
+        digest = hashlib.md5(word.encode()).hexdigest()
+        return int(digest[0], 16) % _DIMS, 1 if digest[1] in "02468ace" else -1
+
+    out = []
+    for text in texts:
+        vector = [0.0] * _DIMS
+        for word in text.split(" "):
+            at, sign = place(word)
+            vector[at] += sign
+        out.append(vector)
+    return out
+
+
+_HASHED = f"""WITH w AS (SELECT doc_id, md5(unnest(string_split('q: ' || text, ' '))) AS d FROM documents WHERE text IS NOT NULL),
+  p AS (SELECT doc_id, (strpos('0123456789abcdef', d[1:1]) - 1) % {_DIMS} AS slot, CASE WHEN strpos('02468ace', d[2:2]) > 0 THEN 1 ELSE -1 END AS s FROM w),
+  v AS (SELECT doc_id, {", ".join(f"sum(CASE WHEN slot = {i} THEN s ELSE 0 END)::DOUBLE AS x{i}" for i in range(_DIMS))} FROM p GROUP BY doc_id),
+  n AS (SELECT *, greatest(sqrt({" + ".join(f"x{i} * x{i}" for i in range(_DIMS))}), 1e-12) AS norm FROM v)"""
+
+
+@query(f"{_HASHED} SELECT doc_id, {', '.join(f'round(x{i} / norm, 4) AS x{i}' for i in range(_DIMS))} FROM n")
 def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of a stand-in model, called on batches and made unit length."""
-    docs = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", F.concat(F.col("lang"), F.repeat(F.lit("#"), (F.col("doc_id") % 10).cast("int") + 2)).alias("text"))
-    out = retrieval.embed(docs, lambda texts: [[t.count("#"), len(t.rstrip("#")), 1.0] for t in texts], prefix="q: ")
-    return out.select("doc_id", *[F.round(F.get("dense", F.lit(i)).cast("double"), 4).alias(n) for i, n in enumerate("xy")])
+    """Vectors of whole texts by a model that is called on batches, made unit length."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    out = retrieval.embed(docs, _hashed_words, prefix="q: ")
+    return out.select("doc_id", *[F.round(F.get("dense", F.lit(i)).cast("double"), 4).alias(f"x{i}") for i in range(_DIMS)])
 
 
 @query("SELECT step_event, n FROM (SELECT event_id AS step_event, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 3 - 1 END AS s, row_number() OVER (ORDER BY coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 3 - 1 END, 2147483647), event_id) AS n FROM events)")
 def correlation_view_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records in the order of their view: by step, completions last."""
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("event_order"), F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 3 - 1).cast("int")).alias("step_idx"))
-    ordered = views.correlation_order(rows).select("event_order", F.monotonically_increasing_id().alias("at"))
-    return ordered.select(F.col("event_order").alias("step_event"), F.row_number().over(Window.orderBy("at")).cast("long").alias("n"))
+    placed = rows.withColumn("place", F.coalesce("step_idx", F.lit(2147483647)))
+    return views.response_ids(placed, ["place", "event_order"]).select(F.col("event_order").alias("step_event"), (F.col("id") + 1).alias("n"))
 
 
 @query("SELECT 'p' || doc_id AS pattern_id FROM documents WHERE doc_id % 4 = 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_sequences import CATALOG, ROOT, S, TWO, as_rows, rules
 
 from emberline.operators.match import match_rules
-from emberline.operators.sequence import correlate, in_cells, prepared, run_exact
+from emberline.operators.sequence import _in_blocks, correlate, correlate_blocks, in_cells, prepared, run_exact
 from emberline.operators.sequence_state import Completed, Correlator
 from emberline.plans.rules import compile_rules
 from emberline.queries import rule_toml, sequence_toml
@@ -80,3 +80,23 @@ def test_one_shuffle_for_all_sequences(spark):
     final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     dealt = [re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"[-] Exchange hashpartitioning\((.*?), \d+\), REPARTITION", final)]
     assert dealt == ["shard, slab"] and final.count("ReusedExchange") == 2
+
+
+@pytest.mark.parametrize("block_rows", (3, 40, 10**6))
+def test_blocks_same_as_whole_shards(spark, block_rows):
+    """Without a cap of instances, for sequences of all lengths, some as long as the data."""
+    texts = [rule_toml(r, [("e.name", "==", r)]) for r in ("port-scan", "service-probe")]
+    steps = {"a": ("", [("port-scan", "1h"), ("service-probe", "90d"), ("port-scan", "2m")]), "b": ("pid", [("b", "1s"), ("service-probe", "90d")]), "c": ("pid", [("port-scan", "40s")])}
+    texts += [rule_toml(k, [("e.name", "==", ROOT)], tail=sequence_toml(f"s-{k}", v, scope=scope)) for k, (scope, v) in steps.items()]
+    snapshot = compile_rules(texts, CATALOG)
+    matches = match_rules(timeline(spark, 5, shards=2), snapshot).cache()
+    want = plainly(matches, snapshot, most=10**9)
+    assert len(want) > 300 and as_rows(correlate_blocks(matches, snapshot, block_rows)) == want
+    assert as_rows(correlate_blocks(matches.limit(0), snapshot, block_rows)) == []
+    matches.unpersist()
+
+
+def test_one_container_is_many_blocks(spark):
+    rows = spark.range(50_000).selectExpr("'all' AS shard", "id * 1000 AS t", "id AS event", "0 AS pos", "'r' AS rule_id", "1L AS pid")
+    sizes = [r["count"] for r in _in_blocks(rows, 1000).groupBy("shard", "block").count().collect()]
+    assert len(sizes) == 50 and max(sizes) <= 1001

@@ -162,3 +162,13 @@ def test_mined_evidence_and_its_first_rows(spark):
     rows = {r["pattern_name"]: r for r in patterns.mine(files, files, specs).collect()}
     assert (rows["p"]["n_evidence"], rows["p"]["confidence"], rows["p"]["origin_path"], rows["p"]["snippet"]) == (3, 1.0, "a", "fn f\nx\nhit 3")
     assert (rows["q"]["n_evidence"], rows["q"]["confidence"], rows["q"]["origin_path"], rows["q"]["scope_paths"]) == (0, 0.5, "", ["a", "a"])
+
+
+def test_cap_of_a_column_same_as_of_a_text(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["", "short", "--- Result 1 ---\nabc", "--- Result 1 ---\nabc \n\n--- Result 2 ---\nde", "x" * 50, "ab --- Result 1 --- c", "intro\n\n--- Result 1 ---\n" + "y" * 40 + "\n\n--- Result 2 ---\nz"]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "id int, t string, n int")
+    for cap in (5, 14, 20, 30, 45, 200):
+        got = {r["id"]: r["c"] for r in df.select("id", budget.capped(F.col("t"), cap, F.col("n")).alias("c")).collect()}
+        assert got == {i: budget.hard_cap(t, cap, i) for i, t in enumerate(texts)}, cap
