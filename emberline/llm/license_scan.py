@@ -301,7 +301,7 @@ def scan_licenses(
     default = F.startswith(name, F.lit("license")) | F.startswith(name, F.lit("copying")) | (F.col("covered") >= MOST_OF_A_FILE)
     licence_file = F.col("own_license").isNotNull() & F.col("path").isNotNull() & (default if is_license_file is None else F.col("named"))
     own = own.withColumn("dir", F.when(F.contains("path", F.lit("/")), F.expr("left(path, length(path) - length(substring_index(path, '/', -1)) - 1)")).otherwise(F.lit("")))
-    dirs = own.where(licence_file).groupBy("dir").agg(F.min_by("own_license", F.struct(-F.col("score"), F.col("path"))).alias("dir_license"))
+    dirs = own.where(licence_file).groupBy("dir").agg(F.min_by("own_license", F.struct(-F.round("score", 9), F.col("path"))).alias("dir_license"))
     # Files that share a directory share its ancestors: the join is over directories, not files.
     parts = F.split("dir", "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))

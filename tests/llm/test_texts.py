@@ -156,6 +156,35 @@ def test_licenses(spark):
     assert scan_licenses(df.union(df), F.col("path"), named).count() == 20
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_inheritance_over_a_whole_table(spark, most):
+    """Every document of a table in a tree of its own, beside a walk up the tree for each file."""
+    doc = F.col("doc_id")
+    step = lambda k: F.concat(F.lit("d"), F.pmod(F.xxhash64(doc, F.lit(k)), F.lit(3)).cast("string"))
+    depth = F.pmod(F.xxhash64(doc), F.lit(5))
+    tree = F.concat_ws("/", *[F.when(depth > k, step(k)) for k in range(4)], F.concat(doc.cast("string"), F.lit(".txt")))
+    path = F.when(doc % 50 != 7, tree)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = scan_licenses(docs, path, doc % 4 < most).collect()
+    assert len(out) == docs.count()
+    offers = defaultdict(list)
+    for r in out:
+        if r["path"] is not None and r["own_license"] is not None and r["doc_id"] % 4 < most:
+            offers["/".join(r["path"].split("/")[:-1])].append((-r["score"], r["path"], r["own_license"]))
+    inherited = 0
+    for r in out:
+        want = (r["own_license"], None)
+        if r["own_license"] is None and r["path"] is not None:
+            parts = r["path"].split("/")[:-1]
+            for k in range(len(parts), -1, -1):
+                if here := offers.get("/".join(parts[:k])):
+                    want = (min(here)[2], "/".join(parts[:k]))
+                    inherited += 1
+                    break
+        assert (r["license"], r["from_path"]) == want, r
+    assert inherited > 300 and len({r["from_path"] for r in out}) > 5
+
+
 def test_licence_windows_same_as_plain(spark):
     data = [(i, t) for i, t, *_ in ODD if i is not None] + [(100 + i, "some words\n" + t + "\nand more") for i, t in enumerate(TEMPLATES.values())]
     df = spark.createDataFrame(data, "doc_id long, text string")
