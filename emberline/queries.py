@@ -591,22 +591,26 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.total_chunks(chunks, "doc_id").groupBy("doc_id").agg(F.max("total_chunks").alias("n"))
 
 
-_PATHS = ["ws/kernel/boot-core/src/lib.rs", "ws/runtime/net-io/src/a/b_c.rs", "tools/gen/src/main.rs", "docs/x.md", "ws/crypto/hash-fn/src/x/mod.rs", "ws/crucibles/fs/readme.md", "other/y.rs", "tests/t.rs"]
-_PATH_SQL = "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PATHS)) + " END"
-_MODULES = ["boot_core", "net_io::a::b_c", "gen", "", "hash_fn::x::mod", "", "", ""]
-_PACKAGES = ["boot-core", "net-io", "gen", "", "hash-fn", "fs", "", ""]
-
-
-@query(
-    f"SELECT event_id, CASE WHEN starts_with(p, 'ws/kernel/') THEN 'kernel' WHEN starts_with(p, 'ws/runtime/') THEN 'runtime' WHEN starts_with(p, 'ws/crucibles/') THEN 'crucibles' WHEN starts_with(p, 'ws/crypto/') THEN 'crypto' WHEN starts_with(p, 'tools/') THEN 'tools' WHEN starts_with(p, 'tests/') THEN 'tests' WHEN starts_with(p, 'docs/') THEN 'docs' ELSE '' END AS subsystem, "
-    + "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_PACKAGES)) + " END AS package, "
-    + "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MODULES)) + f" END AS module FROM (SELECT event_id, {_PATH_SQL} AS p FROM events)"
-)
+#: Where a path begins, by the event's user; further parts are made of what the event holds.
+_ROOTS = ["ws/kernel", "ws/runtime", "ws/crypto/src", "ws/crucibles", "tools", "docs", "tests", "library", "other", "src"]
+_ENDS = ["src/lib.rs", "src/main.rs", "src/a/b-{k}.rs", "src/mod-{k}.rs", "read-{k}.md", "b_{k}.rs", "src", "kernel/x-{k}.rs"]
+_PATH_SQL = f"[{', '.join(repr(r) for r in _ROOTS)}][user_id % {len(_ROOTS)} + 1] || '/' || event_type || '-' || k % 7 || '/' || replace([{', '.join(repr(e) for e in _ENDS)}][k % {len(_ENDS)} + 1], '{{k}}', k::VARCHAR)"
+_PREFIX_SQL = " ".join(f"WHEN starts_with(path, '{p}') THEN '{n}'" for p, n in [("ws/kernel/", "kernel"), ("ws/runtime/", "runtime"), ("ws/crucibles/", "crucibles"), ("ws/crypto/", "crypto"), *[(f"{n}/", n) for n in ("tools", "tests", "docs", "library")]])
+
+
+@query(f"""WITH p AS (SELECT event_id, {_PATH_SQL} AS path FROM (SELECT *, {K} AS k FROM events)), s AS (SELECT *, string_split(path, '/') AS parts FROM p),
+  g AS (SELECT *, coalesce(parts[list_filter(range(1, len(parts)), lambda i: list_contains([{', '.join(repr(r) for r in T.PACKAGE_ROOTS)}], parts[i]))[1] + 1], '') AS package, coalesce(list_position(parts, 'src'), 0) AS at_src FROM s),
+  r AS (SELECT *, CASE WHEN at_src = 0 THEN [] ELSE parts[at_src + 1 :] END AS rest FROM g),
+  m AS (SELECT *, CASE WHEN len(rest) = 0 THEN [] WHEN rest[len(rest)] IN ('lib.rs', 'main.rs') THEN rest[: len(rest) - 1] ELSE list_append(rest[: len(rest) - 1], regexp_replace(rest[len(rest)], '\\.rs$', '')) END AS modules FROM r)
+  SELECT event_id, path, CASE {_PREFIX_SQL} ELSE '' END AS subsystem, package, CASE WHEN ends_with(path, '.rs') AND package <> '' THEN replace(array_to_string(list_prepend(package, modules), '::'), '-', '_') ELSE '' END AS module FROM m""")
 def subsystem_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.get(F.array(*[F.lit(p) for p in _PATHS]), (F.col("event_id") % 8).cast("int"))
-    rows = table(spark, sf_dir, "events").select("event_id", path.alias("path"))
+    """What the path of each event's file says of it."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), (i % len(values)).cast("int"))
+    middle = F.concat(F.col("event_type"), F.lit("-"), (k % 7).cast("string"))
+    path = F.concat_ws("/", pick(_ROOTS, F.col("user_id")), middle, F.replace(pick(_ENDS, k), F.lit("{k}"), k.cast("string")))
     p = F.col("path")
-    return rows.select("event_id", T.subsystem(p, "ws").alias("subsystem"), T.package_name(p).alias("package"), T.module_path(p).alias("module"))
+    return table(spark, sf_dir, "events").select("event_id", path.alias("path")).select("event_id", "path", T.subsystem(p, "ws").alias("subsystem"), T.package_name(p).alias("package"), T.module_path(p).alias("module"))
 
 
 _LINES = "(SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i, l FROM (SELECT doc_id, CASE WHEN s[len(s)] = '' THEN s[1 : len(s) - 1] ELSE s END AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)))"
@@ -762,15 +766,21 @@ def answers_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", budget.capped(F.col("answer"), _CAP, F.col("total")).alias("answer"))
 
 
-_QUERIES = ["how does it work", "lock", "find the handler of the lock", "a b c d e f g h i", "why", "the quick brown fox jumps"]
-_QUERY_SQL = "CASE event_id % 6 " + " ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(_QUERIES)) + " END"
-_INTENTS = ["exploration", "lookup", "lookup", "exploration", "lookup", "lookup"]
+_OPENINGS, _ASKED_KINDS = ["", "Why ", "is?? ", "show ", "where's "], [None, "Struct", "fn", "trait"]
+_INTENT_SQL = """CASE WHEN lower(kind) IN ('struct', 'enum', 'trait', 'impl', 'module') THEN 'exploration' WHEN len(words) <= 3 THEN 'lookup'
+  WHEN regexp_replace(lower(words[1]), '\\?+$', '') IN ('how', 'what', 'why', 'when', 'where', 'which', 'who', 'does', 'is', 'are') OR len(words) > 8 THEN 'exploration' ELSE 'lookup' END"""
 
 
-@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'exploration' ELSE CASE event_id % 6 " + " ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(_INTENTS)) + " END END AS intent FROM events")
+@query(f"""SELECT doc_id, intent, count(*) AS n FROM (SELECT doc_id, {_INTENT_SQL} AS intent FROM
+  (SELECT doc_id, [NULL, 'Struct', 'fn', 'trait'][doc_id // 5 % 4 + 1] AS kind, list_filter(string_split_regex([{', '.join("'" + o.replace("'", "''") + "'" for o in _OPENINGS)}][doc_id % 5 + 1] || line, '\\s+'), lambda w: w <> '') AS words FROM
+    (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL))) GROUP BY doc_id, intent""")
 def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.get(F.array(*[F.lit(x) for x in _QUERIES]), (F.col("event_id") % 6).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", T.query_intent(q, F.when(F.col("event_id") % 7 == 0, F.lit("Struct"))).alias("intent"))
+    """Every line of every document as a query, some with the opening of a question or a filter by kind."""
+    pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
+    lines = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    asked = F.concat(pick(_OPENINGS, F.col("doc_id") % 5), "line")
+    kind = pick(_ASKED_KINDS, F.expr("doc_id div 5") % 4).cast("string")
+    return lines.select("doc_id", T.query_intent(asked, kind).alias("intent")).groupBy("doc_id", "intent").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- call graph -----------------------------------------------------------------------------
