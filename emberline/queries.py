@@ -672,6 +672,28 @@ def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("file", "chunk_index", "total_chunks", "hash", *[c.alias(n) for n, c in chunking.source_metadata(F.col("text")).items() if n in ("kind", "is_test", "is_unsafe")])
 
 
+def sources_of(docs: DataFrame) -> DataFrame:
+    """``path, text``: each document as a source with comments, attributes, items and calls made of its lines and words."""
+    word = F.regexp_replace(F.regexp_extract("line", "(\\S+)\\s*$", 1), "[^A-Za-z0-9]", "_")
+    n = F.col("at") + F.col("doc_id")
+    shape = F.pmod(F.xxhash64(n), F.lit(9))
+    made = (
+        F.when(shape == 0, F.concat(F.lit("/// "), "line")).when(shape == 1, F.concat(F.lit("pub fn f"), word, F.lit("(x: u8) {"))).when(shape == 2, F.concat(F.lit("    call_"), word, F.lit("(x); if (x) { unsafe { g"), word, F.lit("() } }")))
+        .when(shape == 3, F.concat(F.lit("#[derive(Debug)]\nstruct S"), word, F.lit(";"))).when(shape == 4, F.lit("}")).when(shape == 5, F.concat(F.lit("#[test]\nfn t"), word, F.lit("() {"))).when(shape == 6, F.concat(F.lit("//! "), "line"))
+        .when(shape == 7, F.concat(F.lit("impl T"), word, F.lit(" { const C: u8 = 1; }"))).otherwise(F.concat(F.lit("    "), "line"))
+    )
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
+    whole = lines.select("doc_id", "at", made.alias("made")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "made"))).alias("l"))
+    return whole.select(F.concat(F.col("doc_id").cast("string"), F.lit(".rs")).alias("path"), F.array_join(F.transform("l", lambda x: x["made"]), "\n").alias("text"))
+
+
+@query()
+def chunk_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a source with items: its chunks and all that is known of them."""
+    chunks = chunking.chunk_files(sources_of(table(spark, sf_dir, "documents")))
+    return chunks.select("file", "chunk_index", "total_chunks", "line_start", "line_end", "hash", *[c.alias(n) for n, c in chunking.source_metadata(F.col("text")).items()])
+
+
 # --- retrieval ------------------------------------------------------------------------------
 
 
