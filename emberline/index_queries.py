@@ -31,7 +31,7 @@ def chunk_points(files: DataFrame) -> DataFrame:
 def updated(spark: SparkSession, sf_dir: str) -> tuple[BucketedPoints, DataFrame]:
     """(the store after a first run and an incremental one, the state)."""
     before, now = file_versions(spark, sf_dir)
-    store = BucketedPoints(spark, f"{checkpoint_dir(spark)}/points-{uuid.uuid4().hex}", POINT)
+    store = BucketedPoints(spark, f"{checkpoint_dir(spark)}/points-{uuid.uuid4().hex}", POINT, buckets=32)
     store.upsert(chunk_points(before))
     _, state = apply_changes(store, incremental.file_changes(before, now), chunk_points(now))
     return store, state

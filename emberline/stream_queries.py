@@ -44,8 +44,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
-def dealt_stream(rows: DataFrame, ts: str, micros: int = 1) -> tuple[DataFrame, str]:
-    """(stream of ``rows``, how late they are at most): each part has rows of two neighbouring spans of time.
+def dealt_stream(rows: DataFrame, ts: str, micros: int = 1) -> tuple[DataFrame, str, int]:
+    """(stream of ``rows``, how late they are at most, a sixth of that in ms for spans): each part has rows of two neighbouring spans of time.
 
     ``ts`` is a time without zone, or a number of units of ``micros`` microseconds. The last row of the stream has nothing but a time after the lateness.
     """
@@ -72,7 +72,7 @@ def dealt_stream(rows: DataFrame, ts: str, micros: int = 1) -> tuple[DataFrame,
         for f in fs.listStatus(d.getPath()) if number else ():
             fs.setTimes(f.getPath(), begun + 60_000 * int(number), -1)
     stream = spark.readStream.schema(StructType([*rows.schema.fields, StructField("part", IntegerType())])).option("maxFilesPerTrigger", FILES_AT_ONCE).parquet(folder)
-    return stream.drop("part"), f"{late} microseconds"
+    return stream.drop("part"), f"{late} microseconds", max(1, late // 6000)
 
 
 @query(f"SELECT event_id, rule_id, severity FROM ({Q.MATCHES_SQL})")
@@ -84,31 +84,31 @@ def stream_rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences over files in shuffled order: the rows of the batch."""
     snapshot = Q.two_step()
-    events, late = dealt_stream(table(spark, sf_dir, "events"), "ts")
-    out = drained(stream_sequences(events, snapshot, late))
+    events, late, span = dealt_stream(table(spark, sf_dir, "events"), "ts")
+    out = drained(stream_sequences(events, snapshot, late, span_ms=span))
     return out.where("type = 'completed'").select(Q.event_no("root_order").alias("root_event"), Q.event_no("event_order").alias("last_event"), "steps")
 
 
 @query(f"{Q._THREE} SELECT root_event, 0 AS step_idx, 'look' AS matched_rule_id, last_event AS step_event FROM s1 UNION ALL SELECT root_event, 1, 'buy', last_event FROM s2")
 def stream_sequence_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every step of sequences of two steps, over files in shuffled order."""
-    events, late = dealt_stream(table(spark, sf_dir, "events"), "ts")
-    out = drained(stream_sequences(events, Q.three_step(), late))
+    events, late, span = dealt_stream(table(spark, sf_dir, "events"), "ts")
+    out = drained(stream_sequences(events, Q.three_step(), late, span_ms=span))
     return out.where("type = 'step'").select(Q.event_no("root_order").alias("root_event"), "step_idx", "matched_rule_id", Q.event_no("event_order").alias("step_event"))
 
 
 @query(Q.ORACLE_SQL["progs_dropped"])
 def stream_progs_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, late = dealt_stream(Q.heartbeats(spark, sf_dir), "ts_ms", 1000)
-    return drained(stream_lost_programs(rows, "event_id", late))
+    rows, late, span = dealt_stream(Q.heartbeats(spark, sf_dir), "ts_ms", 1000)
+    return drained(stream_lost_programs(rows, "event_id", late, span_ms=span))
 
 
 @query(Q.ORACLE_SQL["heartbeat_stale"])
 def stream_heartbeat_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stale heartbeats; after the last heartbeat of all, only ticks move the time, and every key fires once."""
-    rows, late = dealt_stream(Q.heartbeats(spark, sf_dir).select("key", "ts_ms"), "ts_ms", 1000)
+    rows, late, span = dealt_stream(Q.heartbeats(spark, sf_dir).select("key", "ts_ms"), "ts_ms", 1000)
     ticks = rows.where("key IS NULL")
-    return drained(stream_stale_heartbeats(rows.where("key IS NOT NULL"), ticks, late))
+    return drained(stream_stale_heartbeats(rows.where("key IS NOT NULL"), ticks, late, span_ms=span))
 
 
 _OLD, _NEW = ("event.value", ">", 60), ("event.value", ">", 90)

@@ -10,7 +10,7 @@ from ..operators.match import match_rules
 from ..operators.sequence import OUT, nanos, prepared
 from ..operators.sequence_state import MOST_INSTANCES, Completed, Correlator
 from ..plans.rules import RuleSnapshot
-from .ordered import Machine, in_order
+from .ordered import SPAN_MS, Machine, in_order
 
 NANOS_PER_MS = 1_000_000
 
@@ -49,7 +49,7 @@ class _Sequences(Machine):
         return None, []
 
 
-def stream_sequences(events: DataFrame, snapshot: RuleSnapshot, late: str, most: int = MOST_INSTANCES) -> DataFrame:
+def stream_sequences(events: DataFrame, snapshot: RuleSnapshot, late: str, most: int = MOST_INSTANCES, span_ms: int = SPAN_MS) -> DataFrame:
     """Step and completion records of the rules' sequences over a stream of ``events``, as ``correlate`` gives them in batch.
 
     ``late`` is how far a row may be behind the newest one, of whatever shard and whether or not
@@ -62,4 +62,4 @@ def stream_sequences(events: DataFrame, snapshot: RuleSnapshot, late: str, most:
     timed = events.withColumn("_at", t).withColumn("_at", F.expr("timestamp_micros(_at div 1000)")).withWatermark("_at", late)
     matched = match_rules(timed, snapshot, keep=("_at",))
     rows = prepared(matched, snapshot, keep=("_at",)).where("t IS NOT NULL").withColumn("at_ms", F.expr("t div 1000000"))
-    return in_order(rows, "shard", ["t", "event", "pos", "rule_id", "pid"], "at_ms", _Sequences(snapshot, most), OUT, {"step_idx": "Int32", "steps": "Int32"})
+    return in_order(rows, "shard", ["t", "event", "pos", "rule_id", "pid"], "at_ms", _Sequences(snapshot, most), OUT, {"step_idx": "Int32", "steps": "Int32"}, span_ms)

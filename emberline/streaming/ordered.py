@@ -22,7 +22,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Event time that waits and is handed over together.
+#: Event time that waits and is handed over together: a longer span has fewer timers and is handed over that much later.
 SPAN_MS = 1000
 
 
@@ -71,6 +71,11 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() // self.span_ms * self.span_ms  # spans that end later still wait
+        # The first timer of a batch hands over all spans that are over; those after it find theirs gone.
+        span = expiredTimerInfo.getExpiryTimeInMs() // self.span_ms - 1
+        if not self.waiting.containsKey((span,)) and not self._due(now):
+            yield self._frame([])
+            return
         state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.machine.fresh()
         over = sorted(span for (span,) in self.waiting.keys() if (span + 1) * self.span_ms <= now)
         out: list[tuple] = []
@@ -91,6 +96,12 @@ class _InOrder(StatefulProcessor):
                 self.handle.registerTimer(-(-due // self.span_ms) * self.span_ms)
         yield self._frame(out)
 
+    def _due(self, now: int) -> bool:
+        if not self.state.exists():
+            return False
+        due = self.machine.due_ms(pickle.loads(self.state.get()[0]))
+        return due is not None and due <= now
+
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=list(self.out)).astype({c: kind for c, kind in self.out.items() if kind})
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.watchdog import CHECK_MS, STALE_MS
-from .ordered import Machine, after_watermark, in_order
+from .ordered import SPAN_MS, Machine, after_watermark, in_order
 
 FIRED = "key string, last_ts long, fired_at long, age_ms long"
 
@@ -42,7 +42,7 @@ class _Silence(Machine):
         return None, [self.alert(key, state)]
 
 
-def stream_stale_heartbeats(heartbeats: DataFrame, ticks: DataFrame | None = None, late: str = "0 seconds", armed_ms: int = 0, check_ms: int = CHECK_MS, stale_ms: int = STALE_MS) -> DataFrame:
+def stream_stale_heartbeats(heartbeats: DataFrame, ticks: DataFrame | None = None, late: str = "0 seconds", armed_ms: int = 0, check_ms: int = CHECK_MS, stale_ms: int = STALE_MS, span_ms: int = SPAN_MS) -> DataFrame:
     """``heartbeats`` (``key, ts_ms``) to the rows of ``stale_heartbeats``, once time has passed a check.
 
     Time is that of the newest heartbeat of any key or of the newest of ``ticks`` (a stream with
@@ -54,7 +54,7 @@ def stream_stale_heartbeats(heartbeats: DataFrame, ticks: DataFrame | None = Non
         rows = rows.unionByName(ticks.select(F.lit(None).cast("string").alias("key"), F.col("ts_ms").cast("long")))
     timed = rows.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", late)
     known = timed.where(after_watermark("key", "at"))
-    return in_order(known, "key", ["ts_ms"], "ts_ms", _Silence(armed_ms, check_ms, stale_ms), FIRED)
+    return in_order(known, "key", ["ts_ms"], "ts_ms", _Silence(armed_ms, check_ms, stale_ms), FIRED, span_ms=span_ms)
 
 
 def clock(spark, per_second: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Machine, after_watermark, in_order
+from .ordered import SPAN_MS, Machine, after_watermark, in_order
 
 ALERTS = "key string, ts_ms long, severity int, kind int, reason string"
 
@@ -29,7 +29,7 @@ class _Latch(Machine):
         return (most, latched), out
 
 
-def stream_lost_programs(heartbeats: DataFrame, arrival: str, late: str = "0 seconds") -> DataFrame:
+def stream_lost_programs(heartbeats: DataFrame, arrival: str, late: str = "0 seconds", span_ms: int = SPAN_MS) -> DataFrame:
     """``heartbeats`` (``key, ts_ms, n_progs``) to records of drops: one until programs are back at their most.
 
     Heartbeats count in the order of time and ``arrival``, however they are dealt over batches, as
@@ -38,4 +38,4 @@ def stream_lost_programs(heartbeats: DataFrame, arrival: str, late: str = "0 sec
     rows = heartbeats.select(F.col("key").cast("string"), F.col("ts_ms").cast("long"), F.col(arrival).alias("arrival"), "n_progs")
     timed = rows.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", late)
     known = timed.where(after_watermark("key", "at") & after_watermark("n_progs", "at"))
-    return in_order(known, "key", ["ts_ms", "arrival", "n_progs"], "ts_ms", _Latch(), ALERTS)
+    return in_order(known, "key", ["ts_ms", "arrival", "n_progs"], "ts_ms", _Latch(), ALERTS, span_ms=span_ms)
