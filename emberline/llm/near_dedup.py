@@ -301,11 +301,13 @@ def near_duplicates(
     posts = classes.select("node", F.posexplode("sig").alias("at", "value")).select("node", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long")).alias("grp"))
     shared = posts.groupBy("grp").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     by_node = posts.join(shared, "grp").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "grp"))).alias("common"))
-    # Posts that nobody shares are the rarest and take their places in the prefix first.
-    taken = F.slice("common", F.lit(1), F.greatest(F.lit(0), F.lit(1 - agree) + F.size("common")))
-    kept_posts = by_node.select("node", F.transform(taken, lambda p: p["grp"]).alias("posts")).where(F.size("posts") > 0)
-    members = classes.select("node", F.col("n_shingles").alias("n"), "low").join(kept_posts, "node").select("node", "n", "low", F.explode("posts").alias("grp"), F.lit(1).alias("weight"))
-    families = close_groups(cut_table(members), ["n", "low"], _matches(agree, percent, coordinates), post_rows, post_rows)
+    # Posts that nobody shares are the rarest and take their places in the prefix first. With one place more than the
+    # prefix, two signatures that match share two posts: the second tells who may match inside a large group.
+    taken = F.slice("common", F.lit(1), F.greatest(F.lit(0), F.lit(2 - agree) + F.size("common")))
+    keys = cut_table(by_node.select("node", F.transform(taken, lambda p: p["grp"]).alias("keys")).where(F.size("keys") > 1))
+    prefix = keys.select("node", F.explode(F.slice("keys", F.lit(1), F.size("keys") - 1)).alias("grp"))
+    members = classes.select("node", F.col("n_shingles").alias("n"), "low").join(prefix, "node").select("node", "n", "low", "grp", F.lit(1).alias("weight"))
+    families = close_groups(cut_table(members), keys, ["n", "low"], _matches(agree, percent, coordinates), post_rows, post_rows)
 
     out = rows.select("doc_id", "text_hash", *sets)
     component = F.col("own_id")
@@ -316,7 +318,7 @@ def near_duplicates(
         wanted = families.join(classes.select("node", "n_shingles", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")), "node")
         text = base.join(wanted, (F.col("doc_id") == F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
         text = text.select(F.col("label").alias("grp"), "node", F.col("n_shingles").alias("weight"), "text")
-        links = close_groups(cut_table(text), ["text"], _links(width, percent), family_rows, family_shingles)
+        links = close_groups(cut_table(text), keys, ["text"], _links(width, percent), family_rows, family_shingles)
     if links is not None:
         smallest = links.join(of_class.select("node", "own_id"), "node").groupBy("label").agg(F.min("own_id").alias("reached"))
         of_class = of_class.join(links.join(smallest, "label").select("node", "reached"), "node", "left")

@@ -5,11 +5,14 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from odd import ODD, PASSAGE, TWICE, frame
 
 from pyspark.sql import functions as F
 
+from emberline.llm import closing
+from emberline.llm.closing import whole_groups
 from emberline.llm.components import connected_components
 from emberline.llm.near_dedup import near_duplicates
 from emberline.llm.prefix_doubling import remove_repeats_by_doubling
@@ -75,6 +78,41 @@ def test_near_large_groups_are_dealt_out(spark, seed):
     assert near(df, width=2, post_rows=20, family_rows=20, family_shingles=500) == plain_components(data, 2)
 
 
+def one_large_group(spark, monkeypatch, n, hot):
+    """Pairs inside one group of ``n`` that share a mark and a key; ``hot`` adds a key that a twentieth of all have. Rows sent to the kernel, and labels."""
+    sent = []
+
+    def same_mark(batches):
+        for rows in whole_groups(batches, "task", 1000):
+            pairs = defaultdict(list)
+            for task, node, mark in zip(*(rows.column(c).to_pylist() for c in ("task", "node", "mark"))):
+                pairs[task, mark].append(node)
+            links = [(p[0], b) for p in pairs.values() for b in p[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    monkeypatch.setattr(closing, "_linked_in", lambda tasks, *rest, to=closing._linked_in: sent.append(tasks.count()) or to(tasks, *rest))
+    nodes = spark.range(n).select(F.col("id").alias("node"), (F.col("id") % (n // 2)).alias("mark"))
+    members = nodes.select("*", F.lit(-1).cast("long").alias("grp"), F.lit(1).alias("weight"))
+    second = F.when(F.col("node") % 20 == 0, F.lit(-2)).otherwise(-10 - F.col("node")) if hot else -10 - F.col("node")
+    keys = nodes.select("node", F.array(F.lit(-1).cast("long"), F.col("mark"), second.cast("long")).alias("keys"))
+    labels = closing.close_groups(members, keys, ["mark"], same_mark, 100, 100)
+    monkeypatch.undo()
+    return sum(sent), {r["node"]: r["label"] for r in labels.collect()}
+
+
+def test_unlinked_members_of_a_large_group_cost_rows_in_proportion(spark, monkeypatch):
+    for n in (2000, 8000):
+        rows, labels = one_large_group(spark, monkeypatch, n, hot=False)
+        assert labels == {x: x % (n // 2) for x in range(n)}
+        assert rows <= 4 * n, (n, rows)
+
+
+def test_members_with_a_second_key_in_common_meet(spark, monkeypatch):
+    rows, labels = one_large_group(spark, monkeypatch, 2000, hot=True)
+    assert labels == {x: x % 1000 for x in range(2000)}
+    assert rows <= 10 * 2000, rows
+
+
 @pytest.mark.parametrize("width", [1, 2, 3, 4, 5, 6])
 def test_near_texts_of_few_words(spark, width):
     for n in range(7):
