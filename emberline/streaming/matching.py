@@ -24,13 +24,13 @@ class _Sequences(Machine):
     """The correlator of one shard; its state outlives a reload of rules, as it refers to them by id."""
 
     def __init__(self, snapshot: RuleSnapshot, most: int):
-        self.snapshot, self.most = snapshot, most
+        self.machine = Correlator(snapshot, most)
 
     def fresh(self) -> tuple:
         return {}, 1
 
     def rows(self, key: str, state: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
-        machine, out = Correlator(self.snapshot, self.most), []
+        machine, out = self.machine, []
         machine.live, machine.next_id = state
         for t, event, pos, rule_id, pid in rows:
             at = f"{t}:{event}:{pos}"

@@ -108,3 +108,13 @@ def test_every_key_fires_when_all_fall_silent(spark, tmp_path):
     got = sorted(map(tuple, out.collect()))
     assert got == sorted(want) and sum(r[1] >= last - 60_000 for r in got) >= 2
     assert progress[-1]["numRowsTotal"] == 0  # no key is kept after its alert
+
+
+def test_many_keys_are_few_groups_of_state(spark, tmp_path):
+    """Entries and timers of state belong to groups: as many keys as events must not mean as many calls; every key's rows stay its own."""
+    keys, second = 3000, 1000
+    beats = [(f"k{i}", second * (1 + i % 3), i, n) for i in range(keys) for n in (2 + i % 2,)]
+    drops = [(f"k{i}", 10 * second, keys + i, 1) for i in range(keys)]
+    out, progress = in_batches(spark, [beats + drops, [(None, 10**9, None, None)]], BEATS, lambda e: stream_lost_programs(e, "nth", "60 seconds"), tmp_path)
+    assert sorted(map(tuple, out.collect())) == sorted((f"k{i}", 10 * second, 3, 1, f"bpf-progs-dropped-1-of-{2 + i % 2}") for i in range(keys))
+    assert max(p["numRowsTotal"] for p in progress) < 2 * keys
