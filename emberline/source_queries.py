@@ -279,12 +279,9 @@ def files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts written as files of a tree and read as one scan of it."""
     base = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    rows = docs.select(F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string")).alias("dir"), "doc_id", "text")
-    rows.select("dir", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").alias("value")).repartition("dir", "name").write.partitionBy("dir", "name").text(base)
-    read = files_.read_files(spark, base, "*.txt")
-    parts = F.split("path", "/")
-    path = F.concat_ws("/", F.regexp_replace(F.get(parts, F.lit(0)), "^dir=", ""), F.regexp_replace(F.get(parts, F.lit(1)), "^name=", ""))
-    return read.select(path.alias("path"), F.length(F.regexp_replace("text", "\\n\\z", "")).cast("long").alias("n"))
+    path = F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string"), F.lit("/f"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files_.write_files(docs.select(path.alias("path"), "text"), base)
+    return files_.read_files(spark, base, "*.txt").select("path", F.length(F.regexp_replace("text", "\\n\\z", "")).cast("long").alias("n"))
 
 
 # --- sinks ------------------------------------------------------------------------------------
