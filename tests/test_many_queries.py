@@ -96,3 +96,18 @@ def test_buckets_below_the_threshold_are_not_read(spark):
     bounds = spark.createDataFrame([(1, 0, 5.0), (1, 1, 2.0), (1, 2, 3.0), (2, 0, 1.0)], "query long, bucket int, bound double")
     threshold = spark.createDataFrame([(1, 3.0)], "query long, least double")
     assert sorted(tuple(r)[:2] for r in postings.reachable(bounds, threshold).select("query", "bucket").collect()) == [(1, 0), (1, 2), (2, 0)]
+
+
+def test_postings_stay_in_their_tasks(spark, monkeypatch):
+    """Every document is in one bucket, built without a shuffle; a pass gives each task's best alone, and passes do not mix; copies tie."""
+    docs = [(i, " ".join(f"w{j}" for j in range(i % 7 + 1))) for i in range(400)]
+    df = spark.createDataFrame(docs, "id long, text string").repartition(4)
+    index = postings.build_postings(df, bucket_docs=16)
+    assert sorted(i for r in index.buckets.select("ids").collect() for i in r["ids"]) == list(range(400))
+    asked = [(q, f"w{q % 8} w0 w0 w{q % 3}") for q in range(20)]
+    queries = spark.createDataFrame(asked, "id long, text string")
+    told = postings._pass(index, postings.spoken(queries, "id", "text"), 3, 1)
+    assert told.count() <= 3 * 20 * told.rdd.getNumPartitions() and "Exchange" not in told._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(postings, "PASS_QUERIES", 6)
+    got = sorted((r["query"], r["rank"], r["id"], round(r["score"], 6)) for r in postings.search_postings(index, queries, 3).collect())
+    assert got == plain_sparse(docs, asked, 3)
