@@ -94,3 +94,17 @@ def test_registered_walks(spark, tmp_path):
     for r in engine.QUERIES["trace_walks"](spark, str(tmp_path)).collect():
         got.setdefault(r["start"], []).append((r["nth"], r["node"], r["depth"], r["direction"]))
     assert {k: sorted(v) for k, v in got.items()} == {i: plain_walk(points, p["symbols"][0], 3) for i, p in points.items() if i % 100 == 0}
+
+
+def test_levels_are_those_of_edges(spark, monkeypatch):
+    """Walks by levels are those of joined edges, whether or not what a level asks for is sent to all tasks."""
+    rnd = random.Random(3)
+    rows = [(i, [f"s{i % 40}"], [f"s{rnd.randrange(60)}" for _ in range(rnd.randrange(4))]) for i in range(80)]
+    points = spark.createDataFrame(rows, "id long, symbols array<string>, calls array<string>")
+    start = spark.createDataFrame([(0,), (7,)], "node long")
+    edges = trace.call_edges(points)
+    for most in (10**6, 0):
+        monkeypatch.setattr(trace, "MOST_SENT", most)
+        for callers, (source, target) in ((False, ("caller", "callee")), (True, ("callee", "caller"))):
+            got = sorted(map(tuple, trace.reachable_points(points, start, 3, callers=callers).collect()))
+            assert got == sorted(map(tuple, trace.reachable(edges, start, 3, source, target).collect())) and len(got) > 4
