@@ -44,13 +44,16 @@ def stale_heartbeats(heartbeats: DataFrame, key: str, armed_ms: int = 0, check_m
 def lost_programs(heartbeats: DataFrame, key: str, arrival: str) -> DataFrame:
     """``key, ts_ms, severity, kind, reason``: the first drop below the most programs ever seen, once until recovery.
 
-    Heartbeats of one millisecond are in the order of ``arrival``.
+    Heartbeats of one millisecond are in the order of ``arrival``, and those of one arrival in that
+    of their numbers, so rows dealt otherwise give the same. One without a number ends a drop.
     """
     rows = in_slabs(heartbeats.select(key, "ts_ms", "n_progs", F.col(arrival).alias("_nth")), key)
-    slabs = rows.groupBy(key, "_slab").agg(F.max("n_progs").alias("hi"), F.max_by("n_progs", F.struct("ts_ms", "_nth")).alias("last"))
+    # Nulls come last, as on a stream.
+    place = F.struct("ts_ms", F.col("_nth").isNull(), "_nth", F.col("n_progs").isNull(), "n_progs")
+    slabs = rows.groupBy(key, "_slab").agg(F.max("n_progs").alias("hi"), F.max_by("n_progs", place).alias("last"))
     earlier = Window.partitionBy(key).orderBy("_slab")
     known = slabs.select(key, "_slab", F.max("hi").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("most_before"), F.lag("last").over(earlier).alias("last_before"))
-    order = Window.partitionBy(key, "_slab").orderBy("ts_ms", "_nth")
+    order = Window.partitionBy(key, "_slab").orderBy("ts_ms", F.col("_nth").asc_nulls_last(), F.col("n_progs").asc_nulls_last())
     so_far = F.max("n_progs").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     seen = rows.join(known, [key, "_slab"]).withColumn("most", F.greatest(so_far, "most_before"))
 
