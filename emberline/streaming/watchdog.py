@@ -19,6 +19,9 @@ class _Latch(Machine):
     def rows(self, key: str, state: tuple[int, bool], rows: list[tuple]) -> tuple[tuple[int, bool], list[tuple]]:
         (most, latched), out = state, []
         for ts, _, n in rows:
+            if n is None or n != n:
+                latched = False
+                continue
             n = int(n)
             most = max(most, n)
             if most and n >= most:
@@ -33,9 +36,9 @@ def stream_lost_programs(heartbeats: DataFrame, arrival: str, late: str = "0 sec
     """``heartbeats`` (``key, ts_ms, n_progs``) to records of drops: one until programs are back at their most.
 
     Heartbeats count in the order of time and ``arrival``, however they are dealt over batches, as
-    long as none is more than ``late`` behind the newest. Those without key, time or number are none.
+    long as none is more than ``late`` behind the newest. Those without key or time are none; one
+    without a number ends a drop, as in batch.
     """
     rows = heartbeats.select(F.col("key").cast("string"), F.col("ts_ms").cast("long"), F.col(arrival).alias("arrival"), "n_progs")
     timed = rows.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", late)
-    known = timed.where(after_watermark("key", "at") & after_watermark("n_progs", "at"))
-    return in_order(known, "key", ["ts_ms", "arrival", "n_progs"], "ts_ms", _Latch(), ALERTS, span_ms=span_ms)
+    return in_order(timed.where(after_watermark("key", "at")), "key", ["ts_ms", "arrival", "n_progs"], "ts_ms", _Latch(), ALERTS, span_ms=span_ms)

@@ -9,6 +9,7 @@ from oracle_compare import rows as counted
 
 from emberline import queries as Q
 from emberline.operators import watchdog
+from emberline.stream_queries import stream_progs_dropped
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -64,3 +65,8 @@ def same_as_sql(query, name, spark, sf_dir):
 def test_batch_is_its_sql(spark, tmp_path, year):
     """Times before 1970 are cut toward zero, as SQL's division of whole numbers does."""
     same_as_sql(Q.progs_dropped, "progs_dropped", spark, odd_events(spark, tmp_path, datetime.datetime(year, 3, 1)))
+
+
+def test_stream_is_its_sql(spark, tmp_path):
+    """A heartbeat without a number ends a drop, so the next one below the most is told."""
+    same_as_sql(stream_progs_dropped, "progs_dropped", spark, odd_events(spark, tmp_path, datetime.datetime(2024, 3, 1)))
